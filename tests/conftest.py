@@ -13,5 +13,5 @@ def spark(tmp_path_factory):
     session = local_session(cpus=4, shuffle_partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     if session.sparkContext.getCheckpointDir() is None:
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
+        session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     return session
