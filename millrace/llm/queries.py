@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import sharding
+from millrace.llm import byte_bpe, sharding, token_counts
 
 QUERIES = {
     "op2_virtual_slots": sharding.op2_virtual_slots,
+    "op6_length_histogram": token_counts.op6_length_histogram,
+    "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 
 ORACLE = {
