@@ -38,8 +38,8 @@ CALIBRATE = 5
 PIECE = 400_000
 #: Rejected: an excess of cross-entropy of more than this (nats a character) plus TIMES the largest one that
 #: calibration shows, which shrinks with the square root of the length.
-MARGIN = 0.5
-TIMES = 2.0
+MARGIN = 1.0
+TIMES = 3.0
 UNDETERMINED = "und"
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
