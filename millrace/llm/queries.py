@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import byte_bpe, language_id, sharding, token_counts
+from millrace.llm import byte_bpe, fingerprints, language_id, sharding, token_counts
 
 QUERIES = {
     "op2_virtual_slots": sharding.op2_virtual_slots,
+    "op4_improbable_features": fingerprints.op4_improbable_features,
     "op6_length_histogram": token_counts.op6_length_histogram,
     "op7_kneser_ney": language_id.op7_kneser_ney,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
