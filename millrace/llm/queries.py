@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from millrace.llm import byte_bpe, fingerprints, language_id, sharding, token_counts
+from millrace.llm import byte_bpe, fingerprints, language_id, mixing, sharding, token_counts, url_filter
 
 QUERIES = {
     "op2_virtual_slots": sharding.op2_virtual_slots,
     "op4_improbable_features": fingerprints.op4_improbable_features,
     "op6_length_histogram": token_counts.op6_length_histogram,
     "op7_kneser_ney": language_id.op7_kneser_ney,
+    "op8_boosted_trees": url_filter.op8_boosted_trees,
+    "op9_raked_mix": mixing.op9_raked_mix,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 
 ORACLE = {
     "op2_virtual_slots": sharding.ORACLE,
+    "op9_raked_mix": mixing.ORACLE,
 }
