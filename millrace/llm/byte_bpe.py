@@ -22,10 +22,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.common import small_batches
+
 #: Encoded pieces that a task remembers; beyond it the table starts anew.
-PIECES = 300_000
+PIECES = 150_000
 #: Documents that are held as Python strings at once.
-ROWS = 256
+ROWS = 64
 
 
 def byte_alphabet() -> list[str]:
@@ -35,14 +37,18 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
 class Codec:
-    """The vocabulary of one ranks file as a tokenizers model, its pattern and its byte table."""
+    """The vocabulary of one ranks file as a tokenizers model, and the pattern that cuts texts."""
 
     def __init__(self, ranks_path: str, pattern: str):
         from tokenizers import Tokenizer, models, pre_tokenizers
 
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        ranks = read_ranks(ranks_path)
         letters = byte_alphabet()
         written = {token: "".join(letters[b] for b in token) for token in ranks}
         merges = [
@@ -61,10 +67,6 @@ class Codec:
         )
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.pattern = regex.compile(pattern)
-        self.table = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.table[rank] = token
-        self.lengths = np.array([len(token) for token in self.table], np.int64)
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -78,8 +80,19 @@ class Codec:
             self.known[piece] = np.array(got.ids, "<u4").tobytes()
         return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
 
+
+class Table:
+    """The bytes of each id: what decoding and offsets need."""
+
+    def __init__(self, ranks_path: str):
+        ranks = read_ranks(ranks_path)
+        self.tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+        self.lengths = np.array([len(token) for token in self.tokens], np.int64)
+
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def offsets(self, text: str, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
         """First character of each token, and the one after its last."""
@@ -96,6 +109,11 @@ def codec(ranks_path: str, pattern: str) -> Codec:
     return Codec(ranks_path, pattern)
 
 
+@lru_cache(maxsize=2)
+def table(ranks_path: str) -> Table:
+    return Table(ranks_path)
+
+
 def public_vocabulary() -> tuple[str, str]:
     """The multilingual byte-level vocabulary that the box offers: path of its ranks and its pattern."""
     import public_tokenizers
@@ -129,7 +147,7 @@ def encode(
             columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
             names = ["doc_id", "n_tokens", "ids"]
             if offsets:
-                spans = [model.offsets(text, x) for text, x in zip(texts, ids)]
+                spans = [table(ranks_path).offsets(text, x) for text, x in zip(texts, ids)]
                 columns += [pa.array([s[k] for s in spans], pa.list_(pa.int64())) for k in (0, 1)]
                 names += ["starts", "ends"]
             yield pa.RecordBatch.from_arrays(columns, names)
@@ -138,13 +156,13 @@ def encode(
     return source.mapInArrow(task, f"doc_id {id_type}, n_tokens bigint, ids binary{more}")
 
 
-def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, n_tokens, ids and the decoded bytes; F.decode(bytes, 'UTF-8') gives the text."""
     source = encoded.select("doc_id", "n_tokens", "ids")
     id_type = source.schema["doc_id"].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = codec(ranks_path, pattern)
+        model = table(ranks_path)
         for batch in _slices(batches):
             data = pa.array([model.decode(x) for x in batch.column(2).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, data], ["doc_id", "n_tokens", "ids", "bytes"])
@@ -157,8 +175,8 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 def round_trip(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document."""
-    vocabulary = public_vocabulary()
-    return decode(encode(docs, *vocabulary), *vocabulary).select(
+    ranks_path, pattern = public_vocabulary()
+    return decode(encode(docs, ranks_path, pattern), ranks_path).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -167,4 +185,5 @@ def round_trip(docs: DataFrame) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
