@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import byte_bpe, chat_format, fingerprints, language_id, mixing, sharding, token_counts, top_k, url_filter
+from millrace.llm import byte_bpe, chat_format, fingerprints, language_id, mixing, near_dup, sharding, token_counts, top_k, url_filter
 
 QUERIES = {
     "op1_pivot_search": top_k.op1_pivot_search,
     "op2_virtual_slots": sharding.op2_virtual_slots,
     "op3_tool_calls": chat_format.op3_tool_calls,
     "op4_improbable_features": fingerprints.op4_improbable_features,
+    "op5_prob_min_hash": near_dup.op5_prob_min_hash,
     "op6_length_histogram": token_counts.op6_length_histogram,
     "op7_kneser_ney": language_id.op7_kneser_ney,
     "op8_boosted_trees": url_filter.op8_boosted_trees,
