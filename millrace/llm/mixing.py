@@ -111,14 +111,24 @@ def probabilities(
 
 
 def calibrated(docs: DataFrame, targets: dict[str, Power | dict[str, float]], rounds: int = ROUNDS) -> DataFrame:
-    """The documents with topic, n_tokens, probability and kept."""
-    frame = described(docs)
+    """doc_id, source, lang, topic, n_tokens, probability and kept of each document."""
+    frame = described(docs.select("doc_id", "text", "lang", "source")).drop("text")
     cells = probabilities(frame, targets, rounds)
     return frame.join(F.broadcast(cells), list(targets), "left").withColumn(
         "kept", uniform(F.col("doc_id")) < F.coalesce("probability", F.lit(0.0))
     )
 
 
+def sampled(docs: DataFrame, targets: dict[str, Power | dict[str, float]]) -> DataFrame:
+    """The sample's documents with their own columns alone."""
+    names = list(docs.columns)
+    whole = docs.withColumn("whole", F.struct(*(F.col(f"`{n}`") for n in names)))
+    frame = described(whole.select("doc_id", "text", "lang", "source", "whole"))
+    cells = probabilities(frame.drop("whole"), targets)
+    kept = uniform(F.col("doc_id")) < F.coalesce("probability", F.lit(0.0))
+    return frame.join(F.broadcast(cells), list(targets), "left").where(kept).select("whole.*")
+
+
 # ---- query ----
 
 #: Sources are evened out (the hot one most), languages half, topics keep their shares.
@@ -128,7 +138,7 @@ TARGETS = {"source": Power(0.3), "lang": Power(0.5), "topic": Power(0.8)}
 def op9_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its cell's probability and whether the sample has it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return calibrated(docs.select("doc_id", "text", "lang", "source"), TARGETS).select(
+    return calibrated(docs, TARGETS).select(
         "doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept"
     )
 
