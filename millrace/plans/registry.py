@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import quotes
+from millrace.plans import cycles, quotes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-for _part in (quotes,):
+for _part in (quotes, cycles):
     QUERIES.update(_part.QUERIES)
     ORACLE.update(_part.ORACLE)
-FLAGSHIP = "quote_spread"
+FLAGSHIP = "episodes"
