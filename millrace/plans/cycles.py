@@ -173,13 +173,13 @@ def touch_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ep.scored(market(spark, sf_dir, "fx_quote"))
     caps = F.array(*(graph.touch_capacity(c) for c in graph.cycles()))
     return rows.withColumn("caps", caps).select(
-        "seq", F.round(F.array_min("caps"), 4).alias("least"), F.round(F.aggregate("caps", F.lit(0e0), lambda a, x: a + x), 2).alias("total")
+        "seq", F.round(F.array_min("caps"), 2).alias("least"), F.round(F.aggregate("caps", F.lit(0e0), lambda a, x: a + x), 2).alias("total")
     )
 
 
 ORACLE["touch_capacity"] = f"""with recursive {_DIMS}, {_STATE},
 c as (select seq, cycle_id, min(case when l.side='SELL' then {_cap("SELL")} else {_cap("BUY")} end) as cap from st cross join cyc_leg l group by all)
-select seq, round(min(cap),4) as least, round(sum(cap),2) as total from c group by seq"""
+select seq, round(min(cap),2) as least, round(sum(cap),2) as total from c group by seq"""
 
 _BEST = lambda fee: f"""best as (select seq, t_us, by_symbol, max({_net(fee)}) as net from edge group by all)"""
 _RUNS = """flagged as (select *, net>0 as f, coalesce(lag(net>0) over (order by t_us, seq), false) as was from best),
