@@ -9,8 +9,9 @@ stop at the latest time that a register still holds, so few are generated.
 Registers are cut into bands; texts that agree in a whole band are candidates, and a candidate pair is a link if its
 exact probability Jaccard is at least THRESHOLD. Classes are the connected components of the links. Equal word
 sequences are one node, so copies are never paired. In each band's bucket the first and the last node are paired with
-every other one; after these pairs are verified, all pairs of nodes of a bucket that aren't yet in one class follow,
-screened by their registers' agreement, so no link is lost by the shortcut.
+every other one; after these pairs are verified, the pairs of nodes of a bucket that aren't yet in one class are compared in
+blocks, screened by their registers' agreement, so no link between classes is lost by the shortcut and none of a
+class's many inner pairs is made.
 
 Bands miss a pair at exactly 0.8 with a probability of 0.0002, and more similar ones more rarely. Nodes are 64-bit
 hashes of word sequences.
@@ -41,6 +42,8 @@ BANDS, ROWS = 36, 7
 SCREEN = 0.675
 #: Characters worked on at once.
 CHUNK = 1 << 20
+#: Nodes of a bucket that are compared with each other, or with as many others, in one group.
+BLOCK = 512
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _LOW = np.uint64((1 << 48) - 1)
@@ -254,6 +257,19 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return source.mapInArrow(task, f"doc_id {kind}, node bigint, bands array<bigint>, registers binary")
 
 
+def own_texts(rows: DataFrame) -> DataFrame:
+    """The rows (node, text) whose text is the node's; else an id that stands for several texts would bring others."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                yield batch.filter(pa.array(nodes(texts, *words(texts)) == batch.column(0).to_numpy()))
+
+    return rows.mapInArrow(task, "node bigint, text string").dropDuplicates(["node"])
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b of the pairs (a, b) whose exact similarity is at least THRESHOLD; texts: node, text."""
     first = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -265,14 +281,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
                 n = batch.num_rows
-                own = np.stack([batch.column(k).to_numpy() for k in (0, 1)])
                 texts = batch.column(2).to_pylist() + batch.column(3).to_pylist()
                 owner, word = words(texts)
-                right = (nodes(texts, owner, word).reshape(2, n) == own).all(axis=0)
                 of, shingle, times = shingles(2 * n, owner, word)
                 cut = np.searchsorted(of, np.arange(2 * n + 1))
                 good = []
-                for i in np.flatnonzero(right):
+                for i in range(n):
                     p, q = slice(cut[i], cut[i + 1]), slice(cut[n + i], cut[n + i + 1])
                     if probability_jaccard(shingle[p], times[p], shingle[q], times[q]) >= THRESHOLD - 1e-9:
                         good.append(i)
@@ -281,21 +295,88 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(task, "a bigint, b bigint").distinct()
 
 
-def screened(pairs: DataFrame, registers: DataFrame) -> DataFrame:
-    """The pairs (a, b) at least SCREEN of whose registers agree; registers: node, registers."""
-    first = registers.select(F.col("node").alias("a"), F.col("registers").alias("r_a"))
-    second = registers.select(F.col("node").alias("b"), F.col("registers").alias("r_b"))
-    both = pairs.join(first, "a").join(second, "b").select("a", "b", "r_a", "r_b")
+def linked_in_buckets(rows: DataFrame) -> DataFrame:
+    """a, b: links that connect all nodes of a bucket whose similarity connects them.
+
+    rows: band, node, label, bands, registers, text. Buckets are cut into blocks of about BLOCK nodes, and each pair
+    of blocks is one group of rows, streamed through a task. A pair of nodes is looked at in the first band that both
+    share, if they aren't connected yet (by label or by a link found before in the group) and enough registers agree;
+    the most agreeing pairs come first. Only links that connect something are returned, at most one for each node.
+    """
+    sizes = rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (
+        rows.join(sizes, "band")
+        .withColumn("own", block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label",
+            "bands", "registers", "text",
+        )
+    )
+    keys = ["band", "i", "j"]
+    ordered = dealt.repartition(*keys).sortWithinPartitions(*keys)
+
+    def links_of(group: list[tuple], shingle: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int]]:
+        own = np.array([r[3] for r in group])
+        label = np.unique([r[5] for r in group], return_inverse=True)[1]
+        bands = np.array([r[6] for r in group])
+        registers = np.frombuffer(b"".join(r[7] for r in group), np.uint8).reshape(-1, REGISTERS)
+        number = int(np.flatnonzero(bands[0] == group[0][0])[0])
+        across = group[0][1] != group[0][2]
+        found: list[tuple[float, int, int]] = []
+        for k in range(len(group) - 1):
+            rest = np.arange(k + 1, len(group))
+            rest = rest[label[rest] != label[k]]
+            if across:
+                rest = rest[own[rest] != own[k]]
+            rest = rest[~(bands[rest, :number] == bands[k, :number]).any(axis=1)]
+            agree = (registers[rest] == registers[k]).mean(axis=1)
+            found += [(-g, k, m) for g, m in zip(agree.tolist(), rest.tolist()) if g >= SCREEN]
+        parent = list(range(int(label.max()) + 1))
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for _, k, m in sorted(found):
+            x, y = top(label[k]), top(label[m])
+            if x != y and probability_jaccard(*shingle[k], *shingle[m]) >= THRESHOLD - 1e-9:
+                parent[x] = y
+                yield group[k][4], group[m][4]
+
+    def linked(held: list[tuple]) -> pa.RecordBatch:
+        texts = [r[8] for r in held]
+        owner, word = words(texts)
+        of, shingle, times = shingles(len(texts), owner, word)
+        cut = np.searchsorted(of, np.arange(len(texts) + 1))
+        each = [(shingle[cut[i] : cut[i + 1]], times[cut[i] : cut[i + 1]]) for i in range(len(texts))]
+        out: list[tuple[int, int]] = []
+        at = 0
+        while at < len(held):
+            end = at
+            while end < len(held) and held[end][:3] == held[at][:3]:
+                end += 1
+            out += links_of(held[at:end], each[at:end])
+            at = end
+        columns = [pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
-            a, b = (
-                np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, REGISTERS) for k in (2, 3)
-            )
-            good = (a == b).mean(axis=1) >= SCREEN
-            yield batch.select([0, 1]).filter(pa.array(good))
+            for at in range(0, batch.num_rows, 64):
+                for row in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
+                    if len(held) >= BLOCK and held[-1][:3] != row[:3]:
+                        yield linked(held)
+                        held = []
+                    held.append(row)
+        if held:
+            yield linked(held)
 
-    return both.mapInArrow(task, "a bigint, b bigint")
+    return ordered.mapInArrow(task, "a bigint, b bigint").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -340,20 +421,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     stars = stored(stars, "pairs")
     candidates = members.select("node").distinct()
     copies = sketched.where(F.size("bands") > 0).join(candidates, "node", "left_semi").groupBy("node")
-    reps = copies.agg(F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers"))
+    reps = copies.agg(*(F.min_by(c, "doc_id").alias(c) for c in ("doc_id", "bands", "registers")))
     reps = stored(reps, "representatives")
-    texts = stored(reps.select("node", "doc_id").join(docs, "doc_id").select("node", "text"), "texts")
+    texts = stored(own_texts(reps.select("node", "doc_id").join(docs, "doc_id").select("node", "text")), "texts")
     links = stored(verified(stars, texts), "links")
     labels = components(links)
 
-    now = F.coalesce("label", "node").alias("label")
-    at = members.select("band", "node").join(labels, "node", "left").select("band", "node", now)
-    mixed = at.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
-    open_rows = stored(at.join(mixed, "band", "left_semi"), "open-buckets")
-    first, second = (open_rows.select("band", F.col("node").alias(k), F.col("label").alias(f"of_{k}")) for k in "ab")
-    rest = first.join(second, "band").where("a < b and of_a <> of_b").select("a", "b").distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    late = stored(verified(screened(rest, reps.select("node", "registers")), texts), "links")
+    at = members.select("band", "node").join(labels, "node", "left")
+    at = at.select("band", "node", F.coalesce("label", "node").alias("label"))
+    spread = at.groupBy("band").agg(
+        F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y")
+    )  # of up to three nodes the stars had all pairs
+    open_rows = at.join(spread.where("n > 3 and x < y").select("band"), "band", "left_semi")
+    details = reps.select("node", "bands", "registers").join(texts, "node")
+    late = stored(linked_in_buckets(open_rows.join(details, "node")), "links")
     if not late.isEmpty():
         labels = components(links.union(late))
 

@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.llm.byte_bpe import public_vocabulary
+from millrace.llm.common import small_batches, stored
+
 #: Lengths in a block of the two-level sums.
 BLOCK = 512
 ROWS = 256
@@ -125,7 +128,7 @@ def totals_at(sums: DataFrame, limits: DataFrame) -> DataFrame:
 
 def op6_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The histogram of documents' lengths with its sums, for every length as a context limit."""
-    from millrace.llm.byte_bpe import public_vocabulary
-
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return suffix_sums(histogram(lengths(docs, *public_vocabulary())))
+    counted = stored(histogram(lengths(docs, *public_vocabulary())), "length-histogram")  # texts are encoded once
+    return suffix_sums(counted)
