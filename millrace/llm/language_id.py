@@ -35,7 +35,7 @@ SAMPLE = 800
 #: Every CALIBRATE-th sampled document calibrates and isn't counted.
 CALIBRATE = 5
 #: Characters scored at once.
-PIECE = 400_000
+PIECE = 100_000
 #: Rejected: an excess of cross-entropy of more than this (nats a character) plus TIMES the largest one that
 #: calibration shows, which shrinks with the square root of the length.
 MARGIN = 1.0

@@ -41,7 +41,7 @@ BANDS, ROWS = 36, 7
 #: Share of agreeing registers under which a pair's similarity isn't 0.8: five standard deviations less.
 SCREEN = 0.675
 #: Characters worked on at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Nodes of a bucket that are compared with each other, or with as many others, in one group.
 BLOCK = 512
 
@@ -75,13 +75,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _pieces(text: str) -> list[str]:
     """The text cut at spaces into pieces of at most CHUNK characters."""
-    out = []
-    while len(text) > CHUNK:
-        cut = max(text.rfind(" ", 1, CHUNK), text.rfind("\n", 1, CHUNK))
-        cut = cut if cut > 0 else CHUNK
-        out.append(text[:cut])
-        text = text[cut:]
-    return [*out, text]
+    out, at = [], 0
+    while len(text) - at > CHUNK:
+        end = at + CHUNK
+        cut = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
+        cut = cut if cut > at else end
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]]
 
 
 def _hash_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
