@@ -1,5 +1,6 @@
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -28,10 +29,13 @@ def bag(text):
 
 
 def similarity(a, b):
+    if {*a.values(), *b.values()} == {1}:  # the sum below is the plain Jaccard similarity then
+        return len(a.keys() & b.keys()) / len(a.keys() | b.keys())
     return sum(1 / sum(max(a[j] / a[i], b[j] / b[i]) for j in a.keys() | b.keys()) for i in a.keys() & b.keys())
 
 
-def brute_classes(rows):
+@lru_cache(maxsize=2)
+def _brute(rows):
     parent = {i: i for i, _ in rows}
 
     def top(x):
@@ -53,6 +57,10 @@ def brute_classes(rows):
     return {i: top(i) for i in ids}
 
 
+def brute_classes(rows):
+    return _brute(tuple(rows))
+
+
 def test_words_and_shingles_equal_plain_python():
     texts = [prose(40, 1), "One, two; three", "", "ÀÉ_9 x\ny" * 30, "a b c d e a b c d e a b c d e", "... !!"]
     owner, word = nd.words(texts)

@@ -1,0 +1,34 @@
+"""The corpus queries with SQL against it, the pipeline's stages against what they promise."""
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+from oracle import assert_same  # noqa: E402
+
+import corpus_pipeline  # noqa: E402
+from millrace.llm import language_id, mixing, near_dup, queries  # noqa: E402
+from millrace.llm.common import small_batches  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_equals_sql(spark, name):
+    assert_same(queries.QUERIES[name](spark, SF), queries.ORACLE[name], SF)
+
+
+def test_pipeline_keeps_what_its_stages_keep(spark):
+    small_batches(spark)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.learn(docs.where(language_id.learnable()))
+    known = {r.doc_id for r in language_id.identify(docs, model).where("accepted").collect()}
+    judged = docs.where(docs.doc_id.isin(list(known)))
+    classes = {r.doc_id: r.class_id for r in near_dup.classes(judged).collect()}
+    one = judged.where(judged.doc_id.isin(sorted(set(classes.values()))))
+    sampled = {r.doc_id for r in mixing.calibrated(one, mixing.TARGETS).where("kept").collect()}
+    got = [r.doc_id for r in corpus_pipeline.run(spark, SF).collect()]
+    assert sorted(got) == sorted(sampled) and 0 < len(got) <= len(set(classes.values())) <= len(known)
