@@ -34,8 +34,9 @@ ORDER = 4
 SAMPLE = 800
 #: Every CALIBRATE-th sampled document calibrates and isn't counted.
 CALIBRATE = 5
-#: Characters scored at once.
+#: Characters scored at once, and characters counted at once.
 PIECE = 100_000
+COUNTED = 400_000
 #: Rejected: an excess of cross-entropy of more than this (nats a character) plus TIMES the largest one that
 #: calibration shows, which shrinks with the square root of the length.
 MARGIN = 1.0
@@ -203,24 +204,26 @@ def _counts(rows: DataFrame) -> DataFrame:
             texts = batch.column(0).to_pylist()
             for lang in sorted(set(langs)):
                 own = [t[k : k + PIECE] for t, x in zip(texts, langs) if x == lang for k in range(0, len(t), PIECE)]
-                if not own:
-                    continue
-                code, _, scored = symbols(own)
-                at = np.flatnonzero(scored)
-                hashes = gram_hashes(code)
-                for n in range(1, ORDER + 1):
-                    gram, first, count = np.unique(hashes[n - 1][at], return_index=True, return_counts=True)
-                    context = hashes[n - 2][at[first] - 1] if n > 1 else np.zeros(len(gram), np.uint64)
-                    lower = hashes[n - 2][at[first]] if n > 1 else np.zeros(len(gram), np.uint64)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([lang] * len(gram), pa.string()),
-                            pa.array(np.full(len(gram), n, np.int32)),
-                            *(pa.array(x.view(np.int64)) for x in (gram, context, lower)),
-                            pa.array(count.astype(np.int64)),
-                        ],
-                        ["lang", "n", "gram", "context", "lower", "count"],
-                    )
+                while own:
+                    size = np.cumsum([len(p) for p in own])
+                    take = max(1, int(np.searchsorted(size, COUNTED, "right")))
+                    part, own = own[:take], own[take:]
+                    code, _, scored = symbols(part)
+                    at = np.flatnonzero(scored)
+                    hashes = gram_hashes(code)
+                    for n in range(1, ORDER + 1):
+                        gram, first, count = np.unique(hashes[n - 1][at], return_index=True, return_counts=True)
+                        context = hashes[n - 2][at[first] - 1] if n > 1 else np.zeros(len(gram), np.uint64)
+                        lower = hashes[n - 2][at[first]] if n > 1 else np.zeros(len(gram), np.uint64)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([lang] * len(gram), pa.string()),
+                                pa.array(np.full(len(gram), n, np.int32)),
+                                *(pa.array(x.view(np.int64)) for x in (gram, context, lower)),
+                                pa.array(count.astype(np.int64)),
+                            ],
+                            ["lang", "n", "gram", "context", "lower", "count"],
+                        )
 
     per_batch = rows.select("text", "lang").mapInArrow(
         task, "lang string, n int, gram bigint, context bigint, lower bigint, count bigint"
