@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import small_batches
 
 #: Encoded pieces that a task remembers; beyond it the table starts anew.
-PIECES = 150_000
+PIECES = 60_000
 #: Documents that are held as Python strings at once.
 ROWS = 64
 
