@@ -4,6 +4,10 @@ Documents are summed into cells (source, language, topic) of tokens. The cells'
 each of the three agree with the targets; a document is then sampled with the ratio of its cell's raked tokens to the
 tokens that are there, scaled so that the largest ratio is 1. Sampling is by a hash of the id, so it is repeatable.
 
+Where all targets are powers and that scale would keep less than SHARE of the tokens (a scarce cell's ratio is large),
+the scale is raised until SHARE is expected, and scarce cells saturate at probability 1: the targets bend, the corpus
+isn't thrown away. Targets that are given as shares are met exactly, however little that keeps.
+
 Only the table of cells leaves the cluster: a row for each combination of categories that occurs, CELLS at most.
 Rows are never shuffled; the probabilities are joined to them by broadcast.
 
@@ -24,6 +28,8 @@ DIMENSIONS = ("source", "lang", "topic")
 ROUNDS = 40
 #: Cells at most: what a driver holds easily. Sources finer than that are to be grouped first.
 CELLS = 1_000_000
+#: Expected share of all tokens that a sample has at least, if its targets are powers.
+SHARE = 0.15
 
 #: Topic of a text: the first whose mark it contains, else prose.
 TOPICS = [("legal", " License"), ("credentials", "token = "), ("contact", "@"), ("table", " | ")]
@@ -77,6 +83,20 @@ def rake(amount: np.ndarray, places: list[np.ndarray], targets: list[np.ndarray]
     return share / share.sum() if share.sum() > 0 else share
 
 
+def scale(amount: np.ndarray, ratio: np.ndarray, share: float) -> float:
+    """The factor c of min(1, c * ratio): 1 / the largest ratio, or more if that keeps less than share of the amount."""
+    order = np.argsort(-ratio, kind="stable")
+    order = order[ratio[order] > 0]
+    if not len(order):
+        return 0.0
+    r, a = ratio[order], amount[order]
+    full = np.cumsum(a) - a  # amount of the cells before each one, which saturate first
+    open_part = np.cumsum((a * r)[::-1])[::-1]
+    c = (share * amount.sum() - full) / open_part
+    fits = np.flatnonzero(c * r <= 1)
+    return max(1 / r[0], c[fits[0]] if len(fits) else 1 / r[-1])
+
+
 def probabilities(
     described_docs: DataFrame, targets: dict[str, Power | dict[str, float]], rounds: int = ROUNDS
 ) -> DataFrame:
@@ -102,10 +122,8 @@ def probabilities(
             places.append(place)
             shares.append(share / share.sum() if share.sum() > 0 else share)
         ratio = rake(amount, places, shares, rounds) / amount
-        top = ratio.max()
-        out = [
-            (*(r[n] for n in names), round(float(x / top), 9) if top > 0 else 0.0) for r, x in zip(cells, ratio)
-        ]
+        c = scale(amount, ratio, SHARE if all(isinstance(t, Power) for t in targets.values()) else 0.0)
+        out = [(*(r[n] for n in names), round(min(1.0, float(x * c)), 9)) for r, x in zip(cells, ratio)]
     schema = ", ".join(f"`{n}` string" for n in names) + ", probability double"
     return described_docs.sparkSession.createDataFrame(out, schema)
 

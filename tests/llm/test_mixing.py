@@ -53,3 +53,30 @@ def test_sampled_keeps_own_columns(docs):
 def test_empty_and_untargeted(spark, docs):
     assert mixing.calibrated(docs.limit(0), mixing.TARGETS).count() == 0
     assert mixing.sampled(docs, {"source": {"none": 1.0}}).count() == 0
+
+
+def test_scale_meets_the_share():
+    rng = np.random.default_rng(5)
+    amount, ratio = rng.uniform(1, 1e6, 300), rng.lognormal(0, 4, 300)
+    ratio[:20] = 0
+    for share in (0.0, 0.1, 0.5, 0.8):
+        p = np.minimum(1, mixing.scale(amount, ratio, share) * ratio)
+        plain = (amount * ratio).sum() / ratio.max() / amount.sum()
+        assert np.isclose((p * amount).sum() / amount.sum(), max(share, plain))
+    assert np.minimum(1, mixing.scale(amount, ratio, 1.0) * ratio)[20:].min() == 1
+    assert mixing.scale(amount, ratio * 0, 0.5) == 0
+
+
+@pytest.mark.parametrize("rare", ["word " * 99 + "end", "x"])
+def test_a_rare_source_and_a_hot_one_leave_the_share(spark, rare):
+    rows = [(i, "word " * (50 + i % 90) + "end", ["en", "fr"][i % 2], "hot" if i % 3 == 0 else f"s{i % 20}") for i in range(6000)]
+    rows += [(7000, rare, "en", "new" if len(rare) > 1 else None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.calibrated(table, mixing.TARGETS).collect()
+    total = sum(r.n_tokens for r in got)
+    assert abs(sum(r.n_tokens * r.probability for r in got) / total - mixing.SHARE) < 1e-6
+    assert abs(sum(r.n_tokens for r in got if r.kept) / total - mixing.SHARE) < 0.02
+    assert next(r for r in got if r.doc_id == 7000).kept
+    hot, cold = ([r.probability for r in got if (r.source == "hot") == is_hot] for is_hot in (True, False))
+    assert max(hot) < min(cold)
+    assert mixing.sampled(table, mixing.TARGETS).count() == sum(r.kept for r in got)
