@@ -9,7 +9,8 @@ All steps are DataFrame operations; JSON is parsed as variants.
 
 Defined cases: a null or malformed argument text is kept as null with the fault `not an object`; calls that repeat an
 identifier are all kept, each with the result; of results that repeat an identifier the least text is the result, and
-n_results counts them; calls that cite each other in a circle, or cite a call of such a circle, have level null and
+n_results counts them, and with repeats=True each further one is a record of its own (`repeated result`, as is every
+exact copy); calls that cite each other in a circle, or cite a call of such a circle, have level null and
 the status `circular`; citations of unknown calls count as none; a null text is written as null; null identifiers
 link nothing; empty tables give no rows.
 """
@@ -80,15 +81,23 @@ def argument_faults(tools: list[Tool], tool: Column, arguments: Column) -> Colum
     return out
 
 
-def link(calls: DataFrame, results: DataFrame) -> DataFrame:
+def _times(frame: DataFrame, n: str, block: int = 10_000) -> DataFrame:
+    """Each row as often as its column n says, which is dropped."""
+    blocks = frame.where(F.col(n) > 0).withColumn("at", F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("bigint"), F.lit(block))))
+    return blocks.withColumn("at", F.explode(F.sequence(F.lit(1), F.least(F.lit(block), F.col(n) - F.col("at"))))).drop("at", n)
+
+
+def link(calls: DataFrame, results: DataFrame, repeats: bool = False) -> DataFrame:
     """Calls with their results, and results without a call (call columns null but for the keys).
+    With repeats, results beyond the first of an identifier too, with the status `repeated result`.
 
     calls: conv_id, call_id, turn, tool, arguments (JSON text), cites (array of call identifiers);
     results: conv_id, call_id, turn, content. Adds result_turn, content, n_results, status.
     """
     keys = ["conv_id", "call_id"]
+    linking = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     one = (
-        results.where(F.col("call_id").isNotNull())
+        results.where(linking)
         .groupBy(*keys)
         .agg(F.min(F.struct("content", "turn")).alias("r"), F.count(F.lit(1)).alias("n_results"))
         .select(*keys, F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), "n_results")
@@ -98,11 +107,25 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     )
     known = calls.select(*keys).distinct()
     orphans = one.join(known, keys, "left_anti").unionByName(
-        results.where(F.col("call_id").isNull()).select(
+        results.where(~linking).select(
             *keys, F.col("turn").alias("result_turn"), "content", F.lit(1).cast("bigint").alias("n_results")
         )
     )
-    return linked.unionByName(orphans.withColumn("status", F.lit("no call")), allowMissingColumns=True)
+    linked = linked.unionByName(orphans.withColumn("status", F.lit("no call")), allowMissingColumns=True)
+    if not repeats:
+        return linked
+    several = one.where("n_results > 1").select(
+        *keys, F.struct("content", "result_turn").alias("first"), "n_results"
+    )
+    further = (
+        results.withColumnRenamed("turn", "result_turn")
+        .join(several, keys)
+        .groupBy(*keys, "result_turn", "content", "first", "n_results")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("n", F.col("n") - F.struct("content", "result_turn").eqNullSafe(F.col("first")).cast("int"))
+        .select(*keys, "result_turn", "content", "n_results", F.lit("repeated result").alias("status"), "n")
+    )
+    return linked.unionByName(_times(further, "n"), allowMissingColumns=True)
 
 
 def call_levels(calls: DataFrame) -> DataFrame:
@@ -142,19 +165,27 @@ def call_levels(calls: DataFrame) -> DataFrame:
     return open_calls.join(settled, keys, "left").select(*keys, "level")
 
 
-def records(messages: DataFrame, calls: DataFrame, results: DataFrame, tools: list[Tool], cited: bool = True) -> DataFrame:
+def records(
+    messages: DataFrame,
+    calls: DataFrame,
+    results: DataFrame,
+    tools: list[Tool],
+    cited: bool = True,
+    repeats: bool = False,
+) -> DataFrame:
     """conv_id, level, turn, kind, call_id, status, faults, json: one canonical JSON line each.
 
     messages: conv_id, turn, role, text. Within a conversation (level, turn, kind, call_id) is a topological order.
-    cited=False says that no call cites another, which spares finding levels.
+    cited=False says that no call cites another, which spares finding levels. repeats=True returns every result, also
+    those beyond the first of an identifier.
     """
-    linked = link(calls, results)
+    linked = link(calls, results, repeats)
     if cited:
         linked = linked.join(call_levels(calls).withColumn("cites_any", F.lit(True)), ["conv_id", "call_id"], "left")
         linked = linked.withColumn("level", F.when(F.col("cites_any"), F.col("level")).otherwise(F.lit(0)))
     else:
         linked = linked.withColumn("level", F.lit(0))
-    is_call = F.col("status") != "no call"
+    is_call = F.col("status").isin("answered", "unanswered")
     status = F.when(is_call & F.col("level").isNull(), "circular").otherwise(F.col("status"))
     linked = linked.withColumns(
         {
@@ -172,8 +203,9 @@ def records(messages: DataFrame, calls: DataFrame, results: DataFrame, tools: li
         F.when(F.size("faults") == 0, "true").otherwise("false"), F.lit("}"),
     )
     result_json = F.concat(
-        F.lit('{"id":'), text("call_id"), F.lit(',"result":'), text("content"), F.lit(',"status":"no call"}')
-    )
+        F.lit('{"id":'), text("call_id"), F.lit(',"result":'), text("content"), F.lit(',"status":'), text("status"),
+        F.lit("}"),
+    )
     lines = linked.select(
         "conv_id", "level", F.col("at_turn").alias("turn"), "kind", "call_id", "status", "faults",
         F.when(is_call, call_json).otherwise(result_json).alias("json"),
@@ -209,9 +241,10 @@ REPLY = Tool(
 
 def as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Messages, calls and results of plain conversations: a user's turn calls `reply`, the assistant's turn after it
-    is the result; both bear the identifier of the user's turn. Other roles are plain messages."""
+    is the result; both bear the identifier of the user's turn, null without conversation or turn. Other roles are
+    plain messages."""
     role = F.coalesce(F.col("role"), F.lit(""))
-    turn_id = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
+    turn_id = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
     calls = conversations.where(role == "user").select(
         "conv_id",
         turn_id(F.col("turn")).alias("call_id"),
@@ -229,7 +262,7 @@ def as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
 def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record of every conversation as canonical JSON, with its place and what its arguments lack."""
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    out = records(*as_calls(table), [REPLY], cited=False)
+    out = records(*as_calls(table), [REPLY], cited=False, repeats=True)
     return out.select(
         "conv_id", "level", "turn", "kind", "call_id", "status", F.array_join("faults", "; ").alias("faults"), "json"
     )

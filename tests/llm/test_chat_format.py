@@ -86,3 +86,28 @@ def test_empty_and_odd_conversations(spark):
     got = cf.records(*cf.as_calls(table), [cf.REPLY], cited=False).collect()
     assert sorted(r.kind for r in got) == ["call", "call", "message"]
     assert {tuple(r.faults) for r in got if r.faults} == {("prompt is missing",), ("prompt is too short",)}
+
+
+def test_every_row_of_a_conversation_comes_out(spark, tmp_path):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "b"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a")]
+    rows += [(1, 1, "assistant", None), (1, 5, "assistant", "y"), (1, 5, "assistant", "x"), (2, 0, "user", "q")]
+    rows += [(None, 1, "assistant", f"n{i % 3}") for i in range(5)] + [(2, None, "assistant", f"t{i}") for i in range(3)]
+    rows += [(None, 0, "user", "q"), (2, None, "user", "q"), (2, None, "system", "s"), (None, None, None, None)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    table.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = cf.op3_tool_calls(spark, str(tmp_path)).collect()
+    contents = [json.loads(r.json).get("result") for r in got if r.kind == "result" or r.status == "answered"]
+    assert sorted(map(str, contents)) == sorted(str(t) for _, _, role, t in rows if role == "assistant")
+    calls = [r for r in got if r.kind == "call"]
+    assert len(calls) == sum(role == "user" for _, _, role, _ in rows)
+    assert [r.status for r in calls].count("answered") == 1
+    assert len(got) == len(rows) - 1  # the answered call's record holds two rows
+    assert all(r.status == "no call" and r.call_id is None for r in got if r.kind == "result" and None in (r.conv_id, r.turn))
+    again = [r for r in got if r.status == "repeated result"]
+    assert sorted((r.turn, json.loads(r.json)["result"]) for r in again) == [(1, "a"), (1, "a"), (1, "b"), (5, "y")]
+
+
+def test_rows_by_their_number(spark):
+    frame = spark.createDataFrame([(1, 0), (2, 1), (3, 3), (4, 7)], "k int, n bigint")
+    got = [r.k for r in cf._times(frame, "n", 3).collect()]
+    assert sorted(got) == [2, 3, 3, 3, *[4] * 7]
