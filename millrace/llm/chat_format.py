@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.llm.common import stored
 
@@ -132,7 +133,8 @@ def call_levels(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, level of the calls that cite others: 1 + the highest level of the calls cited; null in circles.
 
     Calls that cite none have level 0 and aren't listed. Each round settles the calls all of whose cited calls are
-    settled, so there are as many rounds as the longest chain of citations.
+    settled, so there are as many rounds as the longest chain of citations. Where no call cites several, chains are
+    followed by doubling steps instead, in as many rounds as the logarithm of the longest one.
     """
     keys = ["conv_id", "call_id"]
     known = calls.where(F.col("call_id").isNotNull()).select(*keys).distinct()
@@ -143,6 +145,8 @@ def call_levels(calls: DataFrame) -> DataFrame:
         .join(known.withColumnRenamed("call_id", "cited"), ["conv_id", "cited"], "left_semi")
     )
     edges = stored(edges, "citations")
+    if edges.groupBy(*keys).count().where("count > 1").isEmpty():
+        return _chain_levels(edges)
     open_calls = edges.select(*keys).distinct()
     settled = edges.select("conv_id", F.col("cited").alias("call_id")).distinct().join(open_calls, keys, "left_anti")
     settled = stored(settled.withColumn("level", F.lit(0)), "levels")
@@ -165,6 +169,32 @@ def call_levels(calls: DataFrame) -> DataFrame:
     return open_calls.join(settled, keys, "left").select(*keys, "level")
 
 
+def _chain_levels(edges: DataFrame) -> DataFrame:
+    """call_levels() of edges (conv_id, call_id, cited) with one cited call of each call.
+
+    Every call knows the call `at` that is `level` steps down its chain (null at the chain's end), and each round puts
+    that call's steps after its own. A round that finds no further end leaves circles alone: while chains go on, some
+    end at each length.
+    """
+    keys = ["conv_id", "call_id"]
+    citing = edges.select("conv_id", F.col("call_id").alias("cited"), F.lit(True).alias("cites_on"))
+    steps = edges.join(citing, ["conv_id", "cited"], "left").select(
+        *keys, F.when(F.col("cites_on"), F.col("cited")).alias("at"), F.lit(1).cast("bigint").alias("level")
+    )
+    steps = stored(steps, "steps")
+    going = steps.where(F.col("at").isNotNull()).count()
+    while going:
+        on = steps.select("conv_id", F.col("call_id").alias("at"), F.col("at").alias("to"), F.col("level").alias("more"))
+        moved = steps.where(F.col("at").isNotNull()).join(on, ["conv_id", "at"])
+        moved = moved.select(*keys, F.col("to").alias("at"), (F.col("level") + F.col("more")).alias("level"))
+        steps = stored(moved.unionByName(steps.where(F.col("at").isNull())), "steps")
+        left = steps.where(F.col("at").isNotNull()).count()
+        if left == going:
+            break
+        going = left
+    return steps.select(*keys, F.when(F.col("at").isNull(), F.col("level")).cast("int").alias("level"))
+
+
 def records(
     messages: DataFrame,
     calls: DataFrame,
@@ -239,19 +269,39 @@ REPLY = Tool(
 )
 
 
-def as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _cited_turns(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, cited_turn of each user's turn: the last turn before it, in its conversation, with an answer."""
+    role, turn = F.col("role"), F.col("turn")
+    narrow = conversations.where(role.isin("user", "assistant") & F.col("conv_id").isNotNull() & turn.isNotNull())
+    asked = narrow.select(
+        "conv_id",
+        F.when(role == "assistant", turn - 1).otherwise(turn).alias("turn"),
+        (role == "user").alias("asks"),
+    )
+    turns = asked.groupBy("conv_id", "turn").agg(F.bool_or("asks").alias("asks"), (~F.bool_and("asks")).alias("answers"))
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("asks") & F.col("answers"), F.col("turn")), ignorenulls=True).over(before)
+    return turns.withColumn("cited_turn", last).where("asks").select("conv_id", "turn", "cited_turn")
+
+
+def as_calls(conversations: DataFrame, cited: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Messages, calls and results of plain conversations: a user's turn calls `reply`, the assistant's turn after it
     is the result; both bear the identifier of the user's turn, null without conversation or turn. Other roles are
-    plain messages."""
+    plain messages. With cited, a call cites the last answered call before it in its conversation."""
     role = F.coalesce(F.col("role"), F.lit(""))
     turn_id = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
-    calls = conversations.where(role == "user").select(
+    users = conversations.where(role == "user")
+    cites = F.array().cast("array<string>")
+    if cited:
+        users = users.join(_cited_turns(conversations), ["conv_id", "turn"], "left")
+        cites = F.array_compact(F.array(turn_id(F.col("cited_turn"))))
+    calls = users.select(
         "conv_id",
         turn_id(F.col("turn")).alias("call_id"),
         "turn",
         F.lit(REPLY.name).alias("tool"),
         F.to_json(F.struct(F.col("turn").alias("turn"), F.col("text").alias("prompt"))).alias("arguments"),
-        F.array().cast("array<string>").alias("cites"),
+        cites.alias("cites"),
     )
     results = conversations.where(role == "assistant").select(
         "conv_id", turn_id(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content")
@@ -262,8 +312,17 @@ def as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
 def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record of every conversation as canonical JSON, with its place and what its arguments lack."""
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    out = records(*as_calls(table), [REPLY], cited=False, repeats=True)
-    return out.select(
+    return _shown(records(*as_calls(table), [REPLY], cited=False, repeats=True))
+
+
+def op3_cited_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3_tool_calls with levels: a call cites the answered call before it and follows it, as results follow calls."""
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return _shown(records(*as_calls(table, cited=True), [REPLY], repeats=True))
+
+
+def _shown(lines: DataFrame) -> DataFrame:
+    return lines.select(
         "conv_id", "level", "turn", "kind", "call_id", "status", F.array_join("faults", "; ").alias("faults"), "json"
     )
 
@@ -295,3 +354,42 @@ select conv_id, 0, turn, 'message', null, null, null,
   '{"content":' || coalesce(to_json(text), 'null') || ',"role":' || coalesce(to_json(role), 'null') || '}'
 from conversations where role is null or role not in ('user', 'assistant')
 """
+
+CITED_ORACLE = """
+with c as (
+  select conv_id, conv_id::varchar || '-' || turn::varchar as call_id, turn, text
+  from conversations where role = 'user'),
+r as (
+  select conv_id, conv_id::varchar || '-' || (turn - 1)::varchar as call_id, turn as result_turn, text as content,
+    case when conv_id is null or turn is null then 1
+      else row_number() over (partition by conv_id, turn order by text nulls first) end as nth
+  from conversations where role = 'assistant'),
+answered as (select distinct c.conv_id, c.turn from c join r using (conv_id, call_id)),
+called as (
+  select c.conv_id, call_id, c.turn, c.text, content,
+    case when r.call_id is null then 'unanswered' else 'answered' end as status,
+    nullif(concat_ws('; ', case when text is null then 'prompt is missing' when text = '' then 'prompt is too short' end,
+      case when c.turn is null then 'turn is missing' when c.turn < 0 then 'turn is too small' end), '') as wrong,
+    (select count(*) from answered a where a.conv_id = c.conv_id and a.turn < c.turn)::int as level
+  from c left join (from r where nth = 1) r using (conv_id, call_id)),
+loose as (
+  select r.*, case when nth > 1 then 'repeated result' else 'no call' end as status,
+    (select count(*) from answered a where a.conv_id = r.conv_id and a.turn < r.result_turn - 1
+      and exists (from answered b where b.conv_id = r.conv_id and b.turn = r.result_turn - 1))::int as level
+  from r where nth > 1 or not exists (from c where c.conv_id = r.conv_id and c.call_id = r.call_id))
+select conv_id, level, turn, 'call' as kind, call_id, status, coalesce(wrong, '') as faults,
+  '{"arguments":{' || case when text is null then '' else '"prompt":' || to_json(text) || case when turn is null
+    then '' else ',' end end || coalesce('"turn":' || turn, '') || '},"id":' || coalesce(to_json(call_id), 'null')
+    || ',"result":' || coalesce(to_json(content), 'null') || ',"status":"' || status || '","tool":"reply","valid":'
+    || case when wrong is null then 'true' else 'false' end || '}' as json
+from called
+union all
+select conv_id, level, result_turn, 'result', call_id, status, null,
+  '{"id":' || coalesce(to_json(call_id), 'null') || ',"result":' || coalesce(to_json(content), 'null')
+    || ',"status":"' || status || '"}'
+from loose
+union all
+select conv_id, 0, turn, 'message', null, null, null,
+  '{"content":' || coalesce(to_json(text), 'null') || ',"role":' || coalesce(to_json(role), 'null') || '}'
+from conversations where role is null or role not in ('user', 'assistant')
+"""

@@ -1,7 +1,13 @@
 import json
+import sys
+from pathlib import Path
 
 import pytest
 
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+from oracle import assert_same  # noqa: E402
+
 from millrace.llm import chat_format as cf
 
 SEARCH = cf.Tool(
@@ -107,6 +113,32 @@ def test_every_row_of_a_conversation_comes_out(spark, tmp_path):
     assert sorted((r.turn, json.loads(r.json)["result"]) for r in again) == [(1, "a"), (1, "a"), (1, "b"), (5, "y")]
 
 
+def test_levels_follow_answered_calls(spark, tmp_path):
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", "x") for t in range(100) if t != 41]
+    rows += [(1, 4, "user", "twice"), (1, 7, "assistant", "y"), (1, 300, "assistant", "z"), (2, 0, "user", "q"), (2, 2, "user", "q")]
+    rows += [(None, 2, "user", "q"), (2, None, "user", None), (None, 3, "assistant", "n"), (2, None, "assistant", "n")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    table.write.parquet(f"{tmp_path}/conversations.parquet")
+    frame = cf.op3_cited_calls(spark, str(tmp_path))
+    level = {(r.conv_id, r.turn): r.level for r in frame.where("kind = 'call'").collect()}
+    assert [level[1, t] for t in range(0, 100, 2)] == [t // 2 - (t > 40) for t in range(0, 100, 2)]
+    assert level[2, 0] == level[2, 2] == level[None, 2] == level[2, None] == 0
+    assert_same(frame, cf.CITED_ORACLE, str(tmp_path))
+
+
+def test_chains_are_levelled_in_few_rounds(spark, monkeypatch):
+    names = [f"c{i}" for i in range(300)]
+    calls = [(1, b, [a]) for a, b in zip(names, names[1:])] + [(1, "c0", []), (1, "side", ["c9"])]
+    calls += [(2, f"r{i}", [f"r{(i + 1) % 5}"]) for i in range(5)] + [(2, "in", ["r0"]), (2, "in2", ["in"]), (2, "self", ["self"])]
+    rounds = []
+    kept = cf.stored
+    monkeypatch.setattr(cf, "stored", lambda df, what: (rounds.append(what), kept(df, what))[1])
+    got = {r.call_id: r.level for r in cf.call_levels(spark.createDataFrame(calls, "conv_id long, call_id string, cites array<string>")).collect()}
+    assert all(got[n] == i for i, n in enumerate(names) if i) and got["side"] == 10 and "c0" not in got
+    assert all(got[n] is None for n in ("r0", "r4", "in", "in2", "self"))
+    assert len(rounds) < 16
+
+
 def test_rows_by_their_number(spark):
     frame = spark.createDataFrame([(1, 0), (2, 1), (3, 3), (4, 7)], "k int, n bigint")
     got = [r.k for r in cf._times(frame, "n", 3).collect()]
