@@ -228,8 +228,10 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, node (null for a null text), bands (array of keys; empty without words), registers (a byte of each)."""
+    """doc_id, key (hash of the text: with doc_id it tells rows apart), node (null for a null text), bands (array of
+    keys; empty without words), registers (a byte of each)."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    source = source.withColumn("key", F.xxhash64("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,14 +250,15 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, end - at),
+                        batch.column(2).slice(at, end - at),
                         pa.array(node, pa.int64(), mask=none),
                         pa.array([k if w else [] for k, w in zip(keys, with_words)], pa.list_(pa.int64())),
                         pa.array([r.tobytes() for r in byte], pa.binary()),
                     ],
-                    ["doc_id", "node", "bands", "registers"],
+                    ["doc_id", "key", "node", "bands", "registers"],
                 )
 
-    return source.mapInArrow(task, f"doc_id {kind}, node bigint, bands array<bigint>, registers binary")
+    return source.mapInArrow(task, f"doc_id {kind}, key bigint, node bigint, bands array<bigint>, registers binary")
 
 
 def own_texts(rows: DataFrame) -> DataFrame:
@@ -408,6 +411,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id of every row: class_id is the least doc_id of its near-duplicate class."""
+    return _classified(docs, id_col, text_col).select("doc_id", "class_id")
+
+
+def _classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, key, label (of the class; null for a null text), class_id of every row."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sketched = stored(sketches(docs), "sketches")
     keyed = sketched.select(F.explode("bands").alias("band"), "node")
@@ -422,9 +430,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     stars = stored(stars, "pairs")
     candidates = members.select("node").distinct()
     copies = sketched.where(F.size("bands") > 0).join(candidates, "node", "left_semi").groupBy("node")
-    reps = copies.agg(*(F.min_by(c, "doc_id").alias(c) for c in ("doc_id", "bands", "registers")))
-    reps = stored(reps, "representatives")
-    texts = stored(own_texts(reps.select("node", "doc_id").join(docs, "doc_id").select("node", "text")), "texts")
+    row = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")
+    reps = copies.agg(F.min(row).alias("row"), *(F.min_by(c, row).alias(c) for c in ("bands", "registers")))
+    reps = stored(reps.select("node", "row.doc_id", "row.key", "bands", "registers"), "representatives")
+    rows = docs.select(F.col("doc_id").alias("of"), F.xxhash64("text").alias("of_key"), "text")
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key"))
+    texts = reps.select("node", "doc_id", "key").join(rows, same).select("node", "text")
+    texts = stored(own_texts(texts), "texts")
     links = stored(verified(stars, texts), "links")
     labels = components(links)
 
@@ -439,19 +451,35 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     if not late.isEmpty():
         labels = components(links.union(late))
 
-    known = sketched.select("doc_id", "node").join(labels, "node", "left")
-    known = known.select("doc_id", "node", F.coalesce("label", "node").alias("label"))
+    known = sketched.select("doc_id", "key", "node").join(labels, "node", "left")
+    known = known.select("doc_id", "key", "node", F.coalesce("label", "node").alias("label"))
     named = known.groupBy("label").agg(F.min("doc_id").alias("class_id")).where("label is not null")
     return known.join(named, "label", "left").select(
-        "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
+        "doc_id",
+        "key",
+        "label",
+        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
     )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document (all columns) of each class: that with the least doc_id. Rows without doc_id stay."""
-    kept = classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document (all columns) of each class: that with the least doc_id, and of its texts that with the least hash.
+
+    An id that stands for several texts counts for each of them. Rows without doc_id stay, unless their class has a
+    document with one.
+    """
+    found = stored(_classified(docs), "classes")
+    named = found.where("doc_id = class_id").select("doc_id", "key", "label").distinct()
+    alone = named.where("label is null").select("doc_id", "key")
+    first = named.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "key")).alias("row"))
+    kept = first.select("row.doc_id", "row.key").unionByName(alone).distinct()
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
+    hashed = F.xxhash64(F.col("text"))
+    one = docs.join(kept, (docs["doc_id"] == F.col("kept_id")) & (hashed == F.col("kept_key")))
+    one = one.dropDuplicates(["kept_id", "kept_key"])
+    copies = found.where("doc_id is null and class_id is not null").select(F.col("key").alias("kept_key")).distinct()
+    nameless = docs.where(F.col("doc_id").isNull()).join(copies, hashed == F.col("kept_key"), "left_anti")
+    return one.select(*(docs[f"`{c}`"] for c in docs.columns)).unionByName(nameless)
 
 
 # ---- query ----

@@ -128,3 +128,20 @@ def test_deduplicated_keeps_one_of_each_class(spark, rows):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert nd.classes(empty).count() == 0 and nd.deduplicated(empty).count() == 0
+
+
+def test_an_id_of_several_texts_counts_for_each(spark):
+    a, b, c = prose(60, 1), prose(60, 2), prose(60, 3)
+    rows = [(3, a), (5, a), (5, b), (6, b), (7, c), (7, prose(60, 4)), (8, None), (8, prose(60, 5)), (8, None)]
+    rows += [(7, c), (None, changed(a, 1, 9)), (None, prose(60, 6)), (9, c)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in nd.deduplicated(table).collect()), key=str)
+    want = [(3, a), (5, b), (7, c), (7, prose(60, 4)), (8, None), (8, prose(60, 5)), (None, prose(60, 6))]
+    assert got == sorted(want, key=str)
+
+
+def test_rows_without_an_id_are_linked(spark):
+    base = prose(150, 40)
+    rows = [(None, base), (None, changed(base, 1, 1)), (4, changed(base, 2, 2))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.class_id for r in nd.classes(table).collect()] == [4, 4, 4]
