@@ -10,6 +10,9 @@ calibration documents of the same language, for their length, are rejected.
 Text is lower-cased; what is not a letter counts as one space. Texts over PIECE characters are scored in pieces whose
 sums are added.
 
+A language without a calibration document is calibrated by up to 2 * CALIBRATE of its counted ones, each scored by a
+model of the others.
+
 Defined cases: a text that is null or has no letters gets `und`, score 0, and is rejected; without labelled documents
 every text gets that; repeated rows get equal results; an empty table gives no rows; other columns of the input are
 ignored. The number of languages is small (the tables have a column for each).
@@ -194,36 +197,39 @@ def sample_rows(labelled: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     )
 
 
+def _gram_batches(texts: list[str], langs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """lang, n, gram, context, lower, count of the texts' n-grams, in bounded runs of characters."""
+    for lang in sorted(set(langs)):
+        own = [t[k : k + PIECE] for t, x in zip(texts, langs) if x == lang for k in range(0, len(t), PIECE)]
+        while own:
+            size = np.cumsum([len(p) for p in own])
+            take = max(1, int(np.searchsorted(size, COUNTED, "right")))
+            part, own = own[:take], own[take:]
+            code, _, scored = symbols(part)
+            at = np.flatnonzero(scored)
+            hashes = gram_hashes(code)
+            for n in range(1, ORDER + 1):
+                gram, first, count = np.unique(hashes[n - 1][at], return_index=True, return_counts=True)
+                context = hashes[n - 2][at[first] - 1] if n > 1 else np.zeros(len(gram), np.uint64)
+                lower = hashes[n - 2][at[first]] if n > 1 else np.zeros(len(gram), np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([lang] * len(gram), pa.string()),
+                        pa.array(np.full(len(gram), n, np.int32)),
+                        *(pa.array(x.view(np.int64)) for x in (gram, context, lower)),
+                        pa.array(count.astype(np.int64)),
+                    ],
+                    ["lang", "n", "gram", "context", "lower", "count"],
+                )
+
+
 def _counts(rows: DataFrame) -> DataFrame:
     """lang, n, gram, context, lower, count: of each n-gram its hash, that of its first n - 1 symbols, that of its
     last n - 1 ones, and how often it occurs."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = np.array(batch.column(1).to_pylist(), object)
-            texts = batch.column(0).to_pylist()
-            for lang in sorted(set(langs)):
-                own = [t[k : k + PIECE] for t, x in zip(texts, langs) if x == lang for k in range(0, len(t), PIECE)]
-                while own:
-                    size = np.cumsum([len(p) for p in own])
-                    take = max(1, int(np.searchsorted(size, COUNTED, "right")))
-                    part, own = own[:take], own[take:]
-                    code, _, scored = symbols(part)
-                    at = np.flatnonzero(scored)
-                    hashes = gram_hashes(code)
-                    for n in range(1, ORDER + 1):
-                        gram, first, count = np.unique(hashes[n - 1][at], return_index=True, return_counts=True)
-                        context = hashes[n - 2][at[first] - 1] if n > 1 else np.zeros(len(gram), np.uint64)
-                        lower = hashes[n - 2][at[first]] if n > 1 else np.zeros(len(gram), np.uint64)
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array([lang] * len(gram), pa.string()),
-                                pa.array(np.full(len(gram), n, np.int32)),
-                                *(pa.array(x.view(np.int64)) for x in (gram, context, lower)),
-                                pa.array(count.astype(np.int64)),
-                            ],
-                            ["lang", "n", "gram", "context", "lower", "count"],
-                        )
+            yield from _gram_batches(batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), object))
 
     per_batch = rows.select("text", "lang").mapInArrow(
         task, "lang string, n int, gram bigint, context bigint, lower bigint, count bigint"
@@ -316,6 +322,33 @@ def calibrate(model: Model, texts: list[str], langs: list[str]) -> None:
     model.sharpness = max((2.0**i for i in range(-2, 7)), key=likelihood)
 
 
+def cross_calibrate(model: Model, language: str, texts: list[str]) -> None:
+    """Mean and spread of a language without calibration documents, from its counted ones: each is scored by a model
+    of the others, a single one's halves by one of the other half."""
+    texts = [t for t in texts if any(c.isalpha() for c in t)]
+    if len(texts) == 1:
+        half = len(texts[0]) // 2
+        texts = [t for t in (texts[0][:half], texts[0][half:]) if any(c.isalpha() for c in t)]
+    n, entropy = [], []
+    for i, text in enumerate(texts):
+        rest = texts[:i] + texts[i + 1 :]
+        if rest:
+            batches = pa.Table.from_batches(_gram_batches(rest, np.array([language] * len(rest), object)))
+            sums = [("context", "min"), ("lower", "min"), ("count", "sum")]
+            counts = batches.group_by(["lang", "n", "gram"]).aggregate(sums)
+            counts = pa.table({c: counts.column(f"{c}_{f}" if f else c) for c, f in [("lang", ""), ("n", ""), ("gram", ""), *sums]})
+            chars, nats = build(counts).cross_entropies([text])
+            n.append(chars[0])
+            entropy.append(nats[0, 0])
+    k = model.languages.index(language)
+    if n:
+        w, e = np.array(n), np.array(entropy)
+        model.mean[k] = (w * e).sum() / w.sum()
+        model.spread[k] = max(5.0, ((e - model.mean[k]) * np.sqrt(w)).max())
+    else:  # a single letter: no more is known than that no text is likely
+        model.mean[k] = -model.base[k]
+
+
 def learn(labelled: DataFrame, per_language: int = SAMPLE) -> Model:
     """A calibrated model from rows with doc_id, text, lang (rows without text or language don't count)."""
     labelled = labelled.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
@@ -326,6 +359,10 @@ def learn(labelled: DataFrame, per_language: int = SAMPLE) -> Model:
     model = build(counts)
     tests = rows.where("calibrate").toArrow()
     calibrate(model, tests.column("text").to_pylist(), tests.column("lang").to_pylist())
+    for k in np.flatnonzero(model.mean == 0):
+        own = rows.where((F.col("lang") == model.languages[k]) & ~F.col("calibrate"))
+        some = own.where(F.col("text").rlike(r"\p{L}")).orderBy(F.xxhash64("text"), "text").limit(2 * CALIBRATE)
+        cross_calibrate(model, model.languages[k], [r["text"] for r in some.select("text").collect()])
     dropped(rows.sparkSession, rows)
     return model
 

@@ -104,3 +104,16 @@ def test_long_texts_are_scored_in_pieces(model, monkeypatch):
     monkeypatch.setattr(li, "PIECE", 3000)
     parts = model.cross_entropies([text, "", "short bb"])
     assert abs(parts[0][0] - whole[0][0]) <= 10 and np.allclose(parts[1][0], whole[1][0], atol=0.02)
+
+
+@pytest.mark.parametrize("labelled", [1, 2, 4])
+def test_long_documents_of_a_rare_language_stay(spark, labelled):
+    rng = np.random.default_rng(8)
+    stems = ["".join(rng.choice(list("abdefghiklmnoprstuvz"), rng.integers(2, 9))) for _ in range(1500)]
+    wide = lambda n, seed: " ".join(np.random.default_rng(seed).choice(stems, n))
+    rows = [(i, prose(lang, 60, i), lang) for i in range(120) for lang in [["aa", "bb"][i % 2]]]
+    rows += [(1000 + i, wide(150, i), "rare") for i in range(labelled)]
+    model = li.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    names, _, good = model.judge([wide(400 + 20 * i, 500 + i) for i in range(12)])
+    assert set(names) == {"rare"} and good.all()
+    assert not model.judge(["漢字かな交じり文" * 200])[2].any()
