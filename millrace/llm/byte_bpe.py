@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
 Texts are cut by the pattern of the vocabulary; each piece's UTF-8 bytes are written as the byte-level alphabet's
-characters and merged by the library. Pieces that a task meets again come from a bounded table of encoded pieces.
+characters and merged by the library. Pieces that a task meets again come from a bounded table of encoded pieces,
+kept in two generations: those met since the last turn stay, the others go.
 Offsets come from the tokens' byte lengths and the map from bytes to characters, so a token that holds part of a
 character gets that character's place. Decoding puts each id's bytes back by the reversed table; bytes of a
 character that two tokens share meet again as the document's bytes are joined.
@@ -13,8 +14,10 @@ other columns of the input are ignored; texts are encoded whole, whatever their
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +27,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import small_batches
 
-#: Encoded pieces that a task remembers; beyond it the table starts anew.
-PIECES = 60_000
+#: Encoded pieces in a generation of the table that a task remembers; there are two.
+PIECES = 150_000
 #: Documents that are held as Python strings at once.
 ROWS = 64
 
@@ -46,6 +49,7 @@ class Codec:
     """The vocabulary of one ranks file as a tokenizers model, and the pattern that cuts texts."""
 
     def __init__(self, ranks_path: str, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the work; threads of a task only cost more CPU
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         ranks = read_ranks(ranks_path)
@@ -68,16 +72,26 @@ class Codec:
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         cut = [self.pattern.findall(text) for text in texts]
-        new = list(set().union(*cut).difference(self.known))
-        if len(self.known) + len(new) > PIECES:
-            self.known.clear()
-            new = list(set().union(*cut))
-        for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[piece] = np.array(got.ids, "<u4").tobytes()
+        if len(self.known) > PIECES:
+            self.known, self.older = {}, self.known
+        new = []
+        for piece in set().union(*cut).difference(self.known):
+            ids = self.older.get(piece)
+            if ids is None:
+                new.append(piece)
+            else:
+                self.known[piece] = ids
+        found = [got.ids for got in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        data = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+        at = 0
+        for piece, ids in zip(new, found):
+            self.known[piece] = data[at : at + 4 * len(ids)]
+            at += 4 * len(ids)
         return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
 
 
@@ -127,6 +141,12 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    flat = np.concatenate([*arrays, np.zeros(0, np.int32)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
 def encode(
     docs: DataFrame,
     ranks_path: str,
@@ -135,7 +155,8 @@ def encode(
     text_col: str = "text",
     offsets: bool = False,
 ) -> DataFrame:
-    """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit), and with offsets: starts, ends (characters)."""
+    """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit), and with offsets: starts, ends (arrays of the
+    first character of each token and of the one after its last)."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
 
@@ -148,39 +169,42 @@ def encode(
             names = ["doc_id", "n_tokens", "ids"]
             if offsets:
                 spans = [table(ranks_path).offsets(text, x) for text, x in zip(texts, ids)]
-                columns += [pa.array([s[k] for s in spans], pa.list_(pa.int64())) for k in (0, 1)]
+                columns += [_lists([s[k] for s in spans]) for k in (0, 1)]
                 names += ["starts", "ends"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    more = ", starts array<bigint>, ends array<bigint>" if offsets else ""
+    more = ", starts array<int>, ends array<int>" if offsets else ""
     return source.mapInArrow(task, f"doc_id {id_type}, n_tokens bigint, ids binary{more}")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the decoded bytes; F.decode(bytes, 'UTF-8') gives the text."""
-    source = encoded.select("doc_id", "n_tokens", "ids")
-    id_type = source.schema["doc_id"].dataType.simpleString()
+    """The columns of encoded and the decoded bytes; F.decode(bytes, 'UTF-8') gives the text."""
+    at, names = encoded.columns.index("ids"), [*encoded.columns, "bytes"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = table(ranks_path)
         for batch in _slices(batches):
-            data = pa.array([model.decode(x) for x in batch.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, data], ["doc_id", "n_tokens", "ids", "bytes"])
+            data = pa.array([model.decode(x) for x in batch.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, data], names)
 
-    return source.mapInArrow(task, f"doc_id {id_type}, n_tokens bigint, ids binary, bytes binary")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    return encoded.mapInArrow(task, f"{kinds}, bytes binary")
 
 
 # ---- query ----
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, offsets_hash (of starts and ends) of each document."""
     ranks_path, pattern = public_vocabulary()
-    return decode(encode(docs, ranks_path, pattern), ranks_path).select(
+    encoded = encode(docs, ranks_path, pattern, offsets=True)
+    offsets = F.xxhash64("starts", "ends").alias("offsets_hash")
+    return decode(encoded.select("doc_id", "n_tokens", "ids", offsets), ranks_path).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),
+        "offsets_hash",
     )
 
 
