@@ -17,8 +17,11 @@ Bands miss a pair at exactly 0.8 with a probability of 0.0002, and more similar
 hashes of word sequences.
 
 Defined cases: a null text is alone in its class; texts without words are copies if they are equal; rows that repeat
-an id with equal texts share a class; a class is named by its least doc_id; an empty table gives no rows; other
-columns of the input are ignored; texts count whole.
+an id with equal texts share a class; a class is named by its least doc_id (null if none of its rows has one); an
+empty table gives no rows; other columns of the input are ignored; texts count whole.
+
+Groups may be large: rows of equal texts are summed up before they are shuffled, and where rows are joined to a table
+by class or bucket, that table is stored first, so that AQE can split a hot one.
 """
 
 from __future__ import annotations
@@ -429,10 +432,15 @@ def _classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     stars = stored(stars, "pairs")
     candidates = members.select("node").distinct()
-    copies = sketched.where(F.size("bands") > 0).join(candidates, "node", "left_semi").groupBy("node")
     row = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")
-    reps = copies.agg(F.min(row).alias("row"), *(F.min_by(c, row).alias(c) for c in ("bands", "registers")))
-    reps = stored(reps.select("node", "row.doc_id", "row.key", "bands", "registers"), "representatives")
+    firsts = sketched.where(F.size("bands") > 0).groupBy("node").agg(F.min(row).alias("row"))
+    firsts = stored(firsts.join(candidates, "node", "left_semi").select("node", "row.doc_id", "row.key"), "firsts")
+    alike = sketched.select(*(F.col(c).alias(f"of_{c}") for c in ("node", "doc_id", "key")), "bands", "registers")
+    its_own = F.col("doc_id").eqNullSafe(F.col("of_doc_id"))
+    for c in ("node", "key"):
+        its_own = its_own & (F.col(c) == F.col(f"of_{c}"))
+    reps = firsts.join(alike, its_own).dropDuplicates(["node"])
+    reps = stored(reps.select("node", "doc_id", "key", "bands", "registers"), "representatives")
     rows = docs.select(F.col("doc_id").alias("of"), F.xxhash64("text").alias("of_key"), "text")
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key"))
     texts = reps.select("node", "doc_id", "key").join(rows, same).select("node", "text")
@@ -445,7 +453,8 @@ def _classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spread = at.groupBy("band").agg(
         F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y")
     )  # of up to three nodes the stars had all pairs
-    open_rows = at.join(spread.where("n > 3 and x < y").select("band"), "band", "left_semi")
+    spread = stored(spread.where("n > 3 and x < y").select("band"), "open-buckets")
+    open_rows = at.join(spread, "band", "left_semi")
     details = reps.select("node", "bands", "registers").join(texts, "node")
     late = stored(linked_in_buckets(open_rows.join(details, "node")), "links")
     if not late.isEmpty():
@@ -454,6 +463,7 @@ def _classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     known = sketched.select("doc_id", "key", "node").join(labels, "node", "left")
     known = known.select("doc_id", "key", "node", F.coalesce("label", "node").alias("label"))
     named = known.groupBy("label").agg(F.min("doc_id").alias("class_id")).where("label is not null")
+    named = stored(named, "class-names")
     return known.join(named, "label", "left").select(
         "doc_id",
         "key",
@@ -465,21 +475,18 @@ def _classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document (all columns) of each class: that with the least doc_id, and of its texts that with the least hash.
 
-    An id that stands for several texts counts for each of them. Rows without doc_id stay, unless their class has a
-    document with one.
+    An id that stands for several texts counts for each of them; a class without any id keeps one of its rows. Rows
+    with a null text stay, each distinct id once.
     """
-    found = stored(_classified(docs), "classes")
-    named = found.where("doc_id = class_id").select("doc_id", "key", "label").distinct()
-    alone = named.where("label is null").select("doc_id", "key")
-    first = named.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "key")).alias("row"))
-    kept = first.select("row.doc_id", "row.key").unionByName(alone).distinct()
+    found = stored(_classified(docs).select("doc_id", "key", "label"), "classes")
+    row = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")
+    first = found.where("label is not null").groupBy("label").agg(F.min(row).alias("row")).select("row.doc_id", "row.key")
+    alone = found.where("label is null").select("doc_id", "key").distinct()
+    kept = stored(first.unionByName(alone), "kept")
     kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
-    hashed = F.xxhash64(F.col("text"))
-    one = docs.join(kept, (docs["doc_id"] == F.col("kept_id")) & (hashed == F.col("kept_key")))
-    one = one.dropDuplicates(["kept_id", "kept_key"])
-    copies = found.where("doc_id is null and class_id is not null").select(F.col("key").alias("kept_key")).distinct()
-    nameless = docs.where(F.col("doc_id").isNull()).join(copies, hashed == F.col("kept_key"), "left_anti")
-    return one.select(*(docs[f"`{c}`"] for c in docs.columns)).unionByName(nameless)
+    same = docs["doc_id"].eqNullSafe(F.col("kept_id")) & (F.xxhash64(docs["text"]) == F.col("kept_key"))
+    one = docs.join(kept, same).dropDuplicates(["kept_id", "kept_key"])
+    return one.select(*(docs[f"`{c}`"] for c in docs.columns))
 
 
 # ---- query ----
