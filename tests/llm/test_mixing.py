@@ -80,3 +80,35 @@ def test_a_rare_source_and_a_hot_one_leave_the_share(spark, rare):
     hot, cold = ([r.probability for r in got if (r.source == "hot") == is_hot] for is_hot in (True, False))
     assert max(hot) < min(cold)
     assert mixing.sampled(table, mixing.TARGETS).count() == sum(r.kept for r in got)
+
+
+@pytest.mark.parametrize("targets", [mixing.TARGETS, {"source": {"hot": 0.4, "s0": 0.6}, "lang": mixing.Power(0.5), "topic": mixing.Power(1.0)}])
+def test_many_cells_are_raked_by_spark_alike(docs, targets, monkeypatch):
+    frame = mixing.described(docs.select("doc_id", "text", "lang", "source")).drop("text")
+    names = list(targets)
+    few = {tuple(r[n] for n in names): r.probability for r in mixing.probabilities(frame, targets, 4)[0].collect()}
+    monkeypatch.setattr(mixing, "CELLS", 3)
+    cells, is_few = mixing.probabilities(frame, targets, 4)
+    many = {tuple(r[n] for n in names): r.probability for r in cells.collect()}
+    assert not is_few and few.keys() == many.keys() and len(few) > 10
+    assert all(abs(few[k] - many[k]) < 1e-9 for k in few)
+
+
+def test_bounded_raking_takes_no_more_than_there_is():
+    rng = np.random.default_rng(4)
+    amount = rng.lognormal(0, 3, 60)
+    places = [rng.integers(0, 5, 60), rng.integers(0, 4, 60)]
+    targets = [np.full(5, 0.2), np.full(4, 0.25)]
+    part = mixing.rake(amount, places, targets, 60, share=0.3)
+    assert (part <= amount / amount.sum() + 1e-12).all() and 0 < part.sum() <= 0.3 + 1e-9
+    even = mixing.rake(np.ones(60), places, targets, 60, share=0.3)
+    for place, target in zip(places, targets):
+        assert np.allclose(np.bincount(place, even), target * 0.3)
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    rows = [(1, "w " * 400_000, "en", "a", 1, "x"), (2, "", None, None, 2, "y"), (2, "", None, None, 2, "y")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, whole long, topic string")
+    got = mixing.calibrated(table, mixing.TARGETS).collect()
+    assert sorted(r.n_tokens for r in got) == [1, 1, 400_001]
+    assert mixing.sampled(table, mixing.TARGETS).columns == table.columns
