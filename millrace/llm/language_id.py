@@ -7,10 +7,11 @@ column of log probabilities for each language. Every document is scored whole; t
 cross-entropy per character wins, ties to the first by name. Documents whose cross-entropy lies far beyond that of
 calibration documents of the same language, for their length, are rejected.
 
-Text is lower-cased; what is not a letter counts as one space. Texts over PIECE characters are scored in pieces whose
-sums are added.
+Text is lower-cased; what is not a letter counts as one space. Texts over PIECE characters are scored and counted in
+pieces that go on with the last symbols of the piece before, so the sums are those of the whole text.
 
-A language without a calibration document is calibrated by up to 2 * CALIBRATE of its counted ones, each scored by a
+A document is rejected if its excess over its language's mean is more than MARGIN plus TIMES the QUANTILE of what
+calibration documents show, for its length: one odd calibration document doesn't widen the limit for all. A language without a calibration document is calibrated by up to 2 * CALIBRATE of its counted ones, each scored by a
 model of the others.
 
 Defined cases: a text that is null or has no letters gets `und`, score 0, and is rejected; without labelled documents
@@ -40,10 +41,11 @@ CALIBRATE = 5
 #: Characters scored at once, and characters counted at once.
 PIECE = 100_000
 COUNTED = 400_000
-#: Rejected: an excess of cross-entropy of more than this (nats a character) plus TIMES the largest one that
+#: Rejected: an excess of cross-entropy of more than this (nats a character) plus TIMES the QUANTILE of those that
 #: calibration shows, which shrinks with the square root of the length.
 MARGIN = 1.0
 TIMES = 3.0
+QUANTILE = 0.95
 UNDETERMINED = "und"
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -56,29 +58,50 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of the padded texts in a row, the text of each, and which are to be scored.
+#: What leads a text: nothing before its first word.
+_START = "\0" * (ORDER - 1) + " "
 
-    Each text is led by ORDER - 1 zeros and a space; runs of what is no letter are one space.
+
+def symbols(texts: list[str], before: list[str] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of the texts (lower case) in a row, the text of each, and which are to be scored.
+
+    Each text is led by ORDER symbols that aren't scored: zeros and a space, or for a piece that goes on with a text
+    the last symbols before it. Runs of what is no letter are one space.
     """
-    pad = "\0" * (ORDER - 1) + " "
-    low = [pad + text.lower() for text in texts]
+    low = [lead + text for lead, text in zip(before or [_START] * len(texts), texts)]
     code = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.repeat(np.arange(len(low)), [len(x) for x in low])
     start = np.cumsum([0] + [len(x) for x in low])[:-1]
-    padding = (start[:, None] + np.arange(ORDER - 1)).ravel()
+    leading = (start[:, None] + np.arange(ORDER)).ravel()
     letter = _letters()[code]
     keep = letter.copy()
     keep[1:] |= letter[:-1]
-    keep[padding] = True
-    keep[start + ORDER - 1] = True
-    code = np.where(letter, code, np.uint32(_SPACE))
-    code[padding] = 0
-    code, owner = code[keep], owner[keep]
-    scored = code != 0
-    first = np.flatnonzero(np.diff(owner, prepend=-1))
-    scored[first + ORDER - 1] = False
-    return code, owner, scored
+    keep[leading] = True
+    scored = np.ones(len(code), bool)
+    scored[leading] = False
+    code = np.where(letter | (code == 0), code, np.uint32(_SPACE))
+    code[np.flatnonzero(scored & (code == 0))] = _SPACE
+    return code[keep], owner[keep], scored[keep]
+
+
+def _lead(text: str, at: int) -> str:
+    """The ORDER symbols before a place in a text (lower case)."""
+    reach = 64
+    while True:
+        code, _, scored = symbols([text[max(0, at - reach) : at]])
+        last = code[scored]
+        if reach >= at:
+            return (_START + "".join(map(chr, last)))[-ORDER:]
+        if len(last) > ORDER:  # the first one may be the rest of a longer run
+            return "".join(map(chr, last[-ORDER:]))
+        reach *= 4
+
+
+def pieces(text: str) -> Iterator[tuple[str, str]]:
+    """(symbols before, piece) of a text, in lower case, of at most PIECE characters."""
+    text = text.lower()
+    for at in range(0, len(text), PIECE):
+        yield (_lead(text, at) if at else _START), text[at : at + PIECE]
 
 
 def gram_hashes(code: np.ndarray) -> list[np.ndarray]:
@@ -140,17 +163,17 @@ class Model:
         """Characters scored of each text, and nats a character by language."""
         n = np.zeros(len(texts))
         total = np.zeros((len(texts), len(self.languages)))
-        pieces = [(i, text[k : k + PIECE]) for i, text in enumerate(texts) for k in range(0, len(text), PIECE)]
-        while pieces:
-            size = np.cumsum([len(p) for _, p in pieces])
+        rest = [(i, *p) for i, text in enumerate(texts) for p in pieces(text)]
+        while rest:
+            size = np.cumsum([len(p) for _, _, p in rest])
             take = max(1, int(np.searchsorted(size, PIECE, "right")))
-            part, pieces = pieces[:take], pieces[take:]
-            code, owner, scored = symbols([p for _, p in part])
+            part, rest = rest[:take], rest[take:]
+            code, owner, scored = symbols([p for _, _, p in part], [lead for _, lead, _ in part])
             at = np.flatnonzero(scored)
             if not len(at):
                 continue
             logs = self.log_probabilities(gram_hashes(code), at).astype(np.float64)
-            whose = np.array([i for i, _ in part])[owner[at]]
+            whose = np.array([i for i, _, _ in part])[owner[at]]
             first = np.flatnonzero(np.diff(whose, prepend=-1))
             total[whose[first]] -= np.add.reduceat(logs, first, axis=0)
             n += np.bincount(whose, minlength=len(texts))
@@ -200,12 +223,12 @@ def sample_rows(labelled: DataFrame, per_language: int = SAMPLE) -> DataFrame:
 def _gram_batches(texts: list[str], langs: np.ndarray) -> Iterator[pa.RecordBatch]:
     """lang, n, gram, context, lower, count of the texts' n-grams, in bounded runs of characters."""
     for lang in sorted(set(langs)):
-        own = [t[k : k + PIECE] for t, x in zip(texts, langs) if x == lang for k in range(0, len(t), PIECE)]
+        own = [p for t, x in zip(texts, langs) if x == lang for p in pieces(t)]
         while own:
-            size = np.cumsum([len(p) for p in own])
+            size = np.cumsum([len(p) for _, p in own])
             take = max(1, int(np.searchsorted(size, COUNTED, "right")))
             part, own = own[:take], own[take:]
-            code, _, scored = symbols(part)
+            code, _, scored = symbols([p for _, p in part], [lead for lead, _ in part])
             at = np.flatnonzero(scored)
             hashes = gram_hashes(code)
             for n in range(1, ORDER + 1):
@@ -313,7 +336,7 @@ def calibrate(model: Model, texts: list[str], langs: list[str]) -> None:
         if (own == i).any():
             w, e = n[own == i], mine[own == i]
             model.mean[i] = (w * e).sum() / w.sum()
-            model.spread[i] = max(5.0, ((e - model.mean[i]) * np.sqrt(w)).max())
+            model.spread[i] = max(5.0, np.quantile((e - model.mean[i]) * np.sqrt(w), QUANTILE))
 
     def likelihood(sharpness: float) -> float:
         z = -sharpness * (entropy - mine[:, None])

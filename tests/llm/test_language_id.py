@@ -106,6 +106,32 @@ def test_long_texts_are_scored_in_pieces(model, monkeypatch):
     assert abs(parts[0][0] - whole[0][0]) <= 10 and np.allclose(parts[1][0], whole[1][0], atol=0.02)
 
 
+@pytest.mark.parametrize("piece", [1, 7, 64, 1000])
+def test_pieces_change_nothing(model, monkeypatch, piece):
+    texts = [prose("bb", 400, 7), "A" + " -!" * 300 + "b" + "?" * 700 + prose("aa", 60, 3), "", "x\0y \0\0 ÜBER", "9" * 500 + "ab"]
+    whole = model.cross_entropies(texts)
+    counts = pa.Table.from_batches(li._gram_batches(texts, np.array(["aa"] * 5, object))).group_by("gram").aggregate([("count", "sum")])
+    monkeypatch.setattr(li, "PIECE", piece)
+    parts = model.cross_entropies(texts)
+    assert np.array_equal(whole[0], parts[0]) and np.allclose(whole[1], parts[1], rtol=1e-6)
+    again = pa.Table.from_batches(li._gram_batches(texts, np.array(["aa"] * 5, object))).group_by("gram").aggregate([("count", "sum")])
+    key = lambda t: sorted(zip(t.column("gram").to_pylist(), t.column("count_sum").to_pylist()))
+    assert key(counts) == key(again)
+
+
+def test_junk_is_rejected_also_beside_an_odd_calibration_document(spark):
+    rows = [(i, prose(lang, 60 + i % 40, i), lang) for i in range(600) for lang in [list(SYLLABLES)[i % 3]]]
+    rows += [(900 + i, "zq xv wj kp " * 120, "aa") for i in range(3)]  # a few labelled documents that are junk
+    model = li.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    clean = [prose(lang, 80, 5000 + i) for i in range(30) for lang in SYLLABLES]
+    rng = np.random.default_rng(5)
+    shuffled = ["".join(rng.permutation(list(t))) for t in clean]
+    foreign = ["огонь вода земля ветер снова и снова " * 8, "qwxz jvk pfg zzxq wvv kjh " * 12, "漢字かな交じり文" * 40]
+    assert model.judge(clean)[2].all()
+    assert not model.judge(foreign)[2].any()
+    assert model.judge(shuffled)[2].mean() < 0.02
+
+
 @pytest.mark.parametrize("labelled", [1, 2, 4])
 def test_long_documents_of_a_rare_language_stay(spark, labelled):
     rng = np.random.default_rng(8)
