@@ -12,7 +12,7 @@ columns of the input are ignored; texts are counted whole.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -22,9 +22,13 @@ from pyspark.sql.window import Window
 
 from millrace.llm.byte_bpe import public_vocabulary
 from millrace.llm.common import small_batches, stored
+from millrace.operators.timeseries import asof
 
 #: Lengths in a block of the two-level sums.
 BLOCK = 512
+#: Context limits and shares of documents that the query reports beside every length that occurs.
+LIMITS = (128, 512, 1024, 2048, 4096, 8192, 16384, 32768, 65536, 131072)
+QUANTILES = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0)
 ROWS = 256
 
 
@@ -97,38 +101,61 @@ def suffix_sums(hist: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def quantile(sums: DataFrame, q: float) -> DataFrame:
-    """The least length that at least a share q of the documents don't exceed."""
-    return sums.where(F.col("docs_total") - F.col("docs_longer") >= F.ceil(F.col("docs_total") * F.lit(q))).agg(
-        F.min("n_tokens").alias("n_tokens")
+def quantiles(sums: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """q, n_tokens: for each share q the least length that at least this share of the documents don't exceed."""
+    up_to = F.col("docs_total") - F.col("docs_longer")
+    found = sums.agg(
+        F.array(
+            *(
+                F.struct(F.lit(q).alias("q"), F.min(F.when(up_to >= F.ceil(F.col("docs_total") * F.lit(q)), F.col("n_tokens"))).alias("n_tokens"))
+                for q in shares
+            )
+        ).alias("found")
     )
+    return found.select(F.explode("found").alias("f")).select("f.*").where("n_tokens is not null")
 
 
-def totals_at(sums: DataFrame, limits: DataFrame) -> DataFrame:
-    """limit, docs_cut, truncated_total for any context limits (a column `limit`), also between lengths."""
-    ends = sums.select("n_tokens", "docs_longer", "tokens_longer", "docs_total", "tokens_total")
-    last = (
-        limits.join(F.broadcast(ends), F.col("n_tokens") <= F.col("limit"), "left")
-        .groupBy("limit")
-        .agg(F.max_by(F.struct("docs_longer", "tokens_longer"), "n_tokens").alias("s"))
-    )
-    whole = ends.agg(F.max("docs_total").alias("docs_total"), F.max("tokens_total").alias("tokens_total"))
-    docs_cut = F.coalesce("s.docs_longer", "docs_total")
-    return last.crossJoin(F.broadcast(whole)).select(
-        "limit",
+def quantile(sums: DataFrame, q: float) -> DataFrame:
+    """The least length that at least a share q of the documents don't exceed."""
+    return quantiles(sums, [q]).select("n_tokens")
+
+
+def totals_at(sums: DataFrame, limits: DataFrame, block: int = BLOCK) -> DataFrame:
+    """limit, docs_cut, truncated_total for any context limits (a column `limit`), also between lengths: each limit
+    takes the sums of the last length that isn't over it, by an as-of lookup within blocks of lengths."""
+    ends = sums.select(F.col("n_tokens").alias("at"), F.lit(0).cast("bigint").alias("seq"), "docs_longer", "tokens_longer")
+    probes = limits.select(F.col("limit").cast("bigint").alias("at"), F.col("limit").alias("_limit"))
+    last = asof(probes, ends, [], ["docs_longer", "tokens_longer"], time="at", segment=block)
+    whole = sums.agg(F.max("docs_total").alias("docs_total"), F.max("tokens_total").alias("tokens_total"))
+    docs_cut = F.coalesce("docs_longer", "docs_total")
+    return last.crossJoin(F.broadcast(whole)).select(  # one row
+        F.col("_limit").alias("limit"),
         docs_cut.alias("docs_cut"),
-        (F.col("tokens_total") - F.coalesce("s.tokens_longer", "tokens_total") + F.col("limit") * docs_cut).alias(
+        (F.col("tokens_total") - F.coalesce("tokens_longer", "tokens_total") + F.col("_limit") * docs_cut).alias(
             "truncated_total"
         ),
     )
 
 
+def report(sums: DataFrame, limits: Sequence[int] = LIMITS, shares: Sequence[float] = QUANTILES) -> DataFrame:
+    """Rows of suffix_sums() (kind `length`), one for each limit (docs_longer and truncated_total there) and one for
+    each quantile (q and its length)."""
+    asked = sums.sparkSession.createDataFrame([(int(x),) for x in limits], "limit bigint")
+    at = totals_at(sums, asked).select(
+        F.lit("limit").alias("kind"), F.col("limit").alias("n_tokens"), F.col("docs_cut").alias("docs_longer"), "truncated_total"
+    )
+    by_share = quantiles(sums, shares).select(F.lit("quantile").alias("kind"), "n_tokens", "q")
+    rows = sums.withColumn("kind", F.lit("length")).unionByName(at.where("docs_longer is not null"), allowMissingColumns=True)
+    return rows.unionByName(by_share, allowMissingColumns=True)
+
+
 # ---- query ----
 
 
 def op6_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The histogram of documents' lengths with its sums, for every length as a context limit."""
+    """The histogram of documents' lengths with its sums, for every length as a context limit; totals at LIMITS, also
+    where no document has that length; lengths at QUANTILES."""
     small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     counted = stored(histogram(lengths(docs, *public_vocabulary())), "length-histogram")  # texts are encoded once
-    return suffix_sums(counted)
+    return report(stored(suffix_sums(counted), "length-sums"))

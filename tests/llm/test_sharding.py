@@ -56,3 +56,16 @@ def test_empty_table(spark):
     assert sharding.slot_map(sharding.slot_sizes(sharding.records(docs, slots=16), 16), 3).select(
         F.count_distinct("shard")
     ).first()[0] == 3
+
+
+def test_hot_ids_repeated_rows_and_a_long_text(spark):
+    rows = [(5, f"text {i}") for i in range(300)] + [(None, f"n{i}") for i in range(300)] + [(9, "same")] * 400 + [(1, "ü" * 600_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard_documents(docs, shards=4, slots=64).collect()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((i, len(t.encode()) + 16) for i, t in rows)
+    for shard in {r.shard for r in got}:
+        own = [r.slot for r in got if r.shard == shard]
+        assert sorted(own) == list(range(len(own)))
+    assert len({r.virtual_slot for r in got if r.doc_id == 5}) > 30 and len({r.virtual_slot for r in got if r.doc_id is None}) > 30
+    assert len({r.virtual_slot for r in got if r.doc_id == 9}) == 1
+    assert all(r.next_shard in (r.shard, 4) for r in got)

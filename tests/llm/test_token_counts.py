@@ -28,6 +28,18 @@ def test_sums_equal_brute_force(spark):
         assert token_counts.quantile(sums, q).first().n_tokens == least
 
 
+def test_report_has_lengths_limits_and_quantiles(spark):
+    lengths = [0, 3, 3, 700, 5000, 5000, 140000]
+    sums = token_counts.suffix_sums(token_counts.histogram(spark.createDataFrame([(x,) for x in lengths], "n_tokens long")))
+    rows = token_counts.report(sums).collect()
+    of = {k: {r.n_tokens: r for r in rows if r.kind == k} for k in ("length", "limit")}
+    assert of["length"].keys() == set(lengths) and of["limit"].keys() == set(token_counts.LIMITS)
+    for r in [*of["length"].values(), *of["limit"].values()]:
+        assert r.truncated_total == brute(lengths, r.n_tokens) and r.docs_longer == sum(x > r.n_tokens for x in lengths)
+    by_share = {r.q: r.n_tokens for r in rows if r.kind == "quantile"}
+    assert by_share == {q: sorted(lengths)[max(0, -int(-len(lengths) * q // 1) - 1)] for q in token_counts.QUANTILES}
+
+
 def test_counts_whole_texts_and_nulls(spark):
     from millrace.llm.byte_bpe import public_vocabulary
 
@@ -41,4 +53,5 @@ def test_counts_whole_texts_and_nulls(spark):
 
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "n_tokens long")
-    assert token_counts.suffix_sums(token_counts.histogram(docs)).count() == 0
+    sums = token_counts.suffix_sums(token_counts.histogram(docs))
+    assert sums.count() == 0 and token_counts.report(sums).count() == 0
