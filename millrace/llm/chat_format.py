@@ -21,9 +21,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.llm.common import stored
+from millrace.operators.timeseries import carry
+
+#: Turns of a conversation that one task holds in order; a longer conversation is carried on from part to part.
+TURNS = 1024
 
 #: JSON types of a schema as patterns of variants' SQL types.
 _TYPES = {
@@ -279,9 +282,9 @@ def _cited_turns(conversations: DataFrame) -> DataFrame:
         (role == "user").alias("asks"),
     )
     turns = asked.groupBy("conv_id", "turn").agg(F.bool_or("asks").alias("asks"), (~F.bool_and("asks")).alias("answers"))
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("asks") & F.col("answers"), F.col("turn")), ignorenulls=True).over(before)
-    return turns.withColumn("cited_turn", last).where("asks").select("conv_id", "turn", "cited_turn")
+    answered = F.when(F.col("asks") & F.col("answers"), F.col("turn"))
+    found = carry(turns, {"cited_turn": answered}, ["turn"], ["conv_id"], time="turn", segment=TURNS, before=True)
+    return found.where("asks").select("conv_id", "turn", "cited_turn")
 
 
 def as_calls(conversations: DataFrame, cited: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -310,13 +313,8 @@ def as_calls(conversations: DataFrame, cited: bool = False) -> tuple[DataFrame,
 
 
 def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record of every conversation as canonical JSON, with its place and what its arguments lack."""
-    table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    return _shown(records(*as_calls(table), [REPLY], cited=False, repeats=True))
-
-
-def op3_cited_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op3_tool_calls with levels: a call cites the answered call before it and follows it, as results follow calls."""
+    """Every record of every conversation as canonical JSON, with its place and what its arguments lack: a call cites
+    the answered call before it in its conversation and follows it, as results follow calls."""
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     return _shown(records(*as_calls(table, cited=True), [REPLY], repeats=True))
 
@@ -328,34 +326,6 @@ def _shown(lines: DataFrame) -> DataFrame:
 
 
 ORACLE = """
-with c as (
-  select conv_id, concat_ws('-', conv_id, turn) as call_id, turn, text from conversations where role = 'user'),
-r as (
-  select conv_id, concat_ws('-', conv_id, turn - 1) as call_id, min({'content': text, 'turn': turn}) as m
-  from conversations where role = 'assistant' group by all),
-linked as (
-  select conv_id, call_id, c.turn, c.text, r.m['content'] as content, r.m['turn'] as result_turn,
-    case when c.call_id is null then 'no call' when r.call_id is null then 'unanswered' else 'answered' end as status,
-    nullif(concat_ws('; ', case when text is null then 'prompt is missing' when text = '' then 'prompt is too short' end,
-      case when c.turn is null then 'turn is missing' when c.turn < 0 then 'turn is too small' end), '') as wrong
-  from c full join r using (conv_id, call_id))
-select conv_id, 0 as level, coalesce(turn, result_turn) as turn,
-  case when status = 'no call' then 'result' else 'call' end as kind, call_id, status,
-  case when status = 'no call' then null else coalesce(wrong, '') end as faults,
-  case when status = 'no call' then
-    '{"id":' || to_json(call_id) || ',"result":' || coalesce(to_json(content), 'null') || ',"status":"no call"}'
-  else '{"arguments":{' || case when text is null then '' else '"prompt":' || to_json(text) || ',' end
-    || '"turn":' || turn || '},"id":' || to_json(call_id) || ',"result":' || coalesce(to_json(content), 'null')
-    || ',"status":"' || status || '","tool":"reply","valid":' || case when wrong is null then 'true' else 'false' end
-    || '}' end as json
-from linked
-union all
-select conv_id, 0, turn, 'message', null, null, null,
-  '{"content":' || coalesce(to_json(text), 'null') || ',"role":' || coalesce(to_json(role), 'null') || '}'
-from conversations where role is null or role not in ('user', 'assistant')
-"""
-
-CITED_ORACLE = """
 with c as (
   select conv_id, conv_id::varchar || '-' || turn::varchar as call_id, turn, text
   from conversations where role = 'user'),

@@ -423,6 +423,7 @@ def _classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sketched = stored(sketches(docs), "sketches")
     keyed = sketched.select(F.explode("bands").alias("band"), "node")
     ends = keyed.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    ends = stored(ends, "ends")
     members = stored(keyed.join(ends, "band").distinct(), "buckets")  # band, node, low, high
     stars = (
         members.select(F.explode(F.array("low", "high")).alias("hub"), "node")

@@ -8,7 +8,6 @@ QUERIES = {
     "op1_pivot_search": top_k.op1_pivot_search,
     "op2_virtual_slots": sharding.op2_virtual_slots,
     "op3_tool_calls": chat_format.op3_tool_calls,
-    "op3_cited_calls": chat_format.op3_cited_calls,
     "op4_improbable_features": fingerprints.op4_improbable_features,
     "op5_prob_min_hash": near_dup.op5_prob_min_hash,
     "op6_length_histogram": token_counts.op6_length_histogram,
@@ -22,6 +21,5 @@ ORACLE = {
     "op1_pivot_search": top_k.ORACLE,
     "op2_virtual_slots": sharding.ORACLE,
     "op3_tool_calls": chat_format.ORACLE,
-    "op3_cited_calls": chat_format.CITED_ORACLE,
     "op9_raked_mix": mixing.ORACLE,
 }

@@ -119,11 +119,11 @@ def test_levels_follow_answered_calls(spark, tmp_path):
     rows += [(None, 2, "user", "q"), (2, None, "user", None), (None, 3, "assistant", "n"), (2, None, "assistant", "n")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     table.write.parquet(f"{tmp_path}/conversations.parquet")
-    frame = cf.op3_cited_calls(spark, str(tmp_path))
+    frame = cf.op3_tool_calls(spark, str(tmp_path))
     level = {(r.conv_id, r.turn): r.level for r in frame.where("kind = 'call'").collect()}
     assert [level[1, t] for t in range(0, 100, 2)] == [t // 2 - (t > 40) for t in range(0, 100, 2)]
     assert level[2, 0] == level[2, 2] == level[None, 2] == level[2, None] == 0
-    assert_same(frame, cf.CITED_ORACLE, str(tmp_path))
+    assert_same(frame, cf.ORACLE, str(tmp_path))
 
 
 def test_chains_are_levelled_in_few_rounds(spark, monkeypatch):
