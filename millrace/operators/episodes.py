@@ -6,80 +6,91 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.functions.stats import at_share, median
-from millrace.model import SYMBOLS
-from millrace.operators import graph
-from millrace.operators import timeseries as ts
+from millrace.operators.screen import LENGTHS
 
-BOOK = ("bid", "ask", "bid_qty", "ask_qty")
 
-
-def scored(quotes: DataFrame) -> DataFrame:
-    """Every quote once the book is complete: seq, t_us, symbol, the wide book, and edges (all cycles' gross edges)."""
-    state = ts.book_state(quotes, list(SYMBOLS), BOOK)
-    return graph.edges(state, state.columns)
-
-
-def best_by_length(edges: str = "edges") -> Column:
-    """For each number of legs, struct(edge, cycle_id) of the best cycle: with one fee for all symbols, the best net
-    cycle is among these, so fee scenarios needn't look at all cycles."""
-    ids: dict[int, list[int]] = {}
-    for i, legs in enumerate(graph.cycles()):
-        ids.setdefault(len(legs), []).append(i)
-    pick = lambda n: F.array_max(
-        F.array(*(F.struct(F.col(edges)[i].alias("edge"), F.lit(i).alias("cycle_id")) for i in ids[n]))
-    )
-    return F.array(*(F.struct(F.lit(n).alias("n_legs"), pick(n).alias("best")) for n in sorted(ids)))
-
-
-def net_of(best: Column, fee_bps: float) -> Column:
-    """struct(net, cycle_id, n_legs) at a flat fee, from best_by_length()."""
+def net_of(fee_bps: float) -> Column:
+    """struct(net, cycle_id, n_legs, capacity) of the best cycle at a flat fee, over scored(): with one fee for all
+    symbols it is the best one of its length."""
     log_fee = math.log1p(-fee_bps / 1e4)
     return F.array_max(
-        F.transform(
-            best,
-            lambda x: F.struct(
-                (x["best"]["edge"] + x["n_legs"] * F.lit(log_fee)).alias("net"),
-                x["best"]["cycle_id"].alias("cycle_id"),
-                x["n_legs"].alias("n_legs"),
-            ),
+        F.array(
+            *(
+                F.struct(
+                    (F.col(f"e_{n}") + n * log_fee).alias("net"),
+                    F.col(f"c_{n}").alias("cycle_id"),
+                    F.lit(n).alias("n_legs"),
+                    F.col(f"k_{n}").alias("capacity"),
+                )
+                for n in LENGTHS
+            )
         )
     )
 
 
 def scenarios(rows: DataFrame, fees_bps: tuple[float, ...]) -> DataFrame:
     """Rows of scored() for every flat fee: fee, net, cycle_id, n_legs, capacity (USDT at the touch)."""
-    best = rows.withColumn("best", best_by_length())
-    per_fee = best.withColumn(
-        "s", F.explode(F.array(*(F.struct(F.lit(f).alias("fee"), net_of(F.col("best"), f).alias("n")) for f in fees_bps)))
+    per_fee = rows.withColumn(
+        "s", F.explode(F.array(*(F.struct(F.lit(f).alias("fee"), net_of(f).alias("n")) for f in fees_bps)))
     )
-    return per_fee.select(
-        "s.fee", "t_us", "seq", "symbol", "s.n.net", "s.n.cycle_id", "s.n.n_legs",
-        F.when(F.col("s.n.net") > 0, graph.capacity_of(F.col("s.n.cycle_id"))).alias("capacity"),
-    )
+    return per_fee.select("_seg", "s.fee", "t_us", "seq", "symbol", "s.n.*")
 
 
 def episodes(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Runs of net > 0: keys, run (first seq), start_us, end_us, ms, opened_by, closed_by, peak, cycle_id, n_legs,
-    capacity (those of the peak's first row). A run open at the end closes there."""
-    marked = ts.runs(rows, F.col("net") > 0, keys)
-    inside, order = ~F.col("closing"), F.struct("t_us", "seq")
-    peak = F.struct(-F.col("net"), F.col("t_us"), F.col("seq"))
-    out = marked.groupBy(*keys, "run").agg(
-        F.min(F.when(inside, F.col("t_us"))).alias("start_us"),
-        F.max(F.when(F.col("closing"), F.col("t_us"))).alias("closed_us"),
-        F.min_by("symbol", F.when(inside, order)).alias("opened_by"),
-        F.max(F.when(F.col("closing"), F.col("symbol"))).alias("closed_by"),
-        F.max(F.when(inside, F.col("net"))).alias("peak"),
-        F.min_by(F.struct("cycle_id", "n_legs", "capacity"), F.when(inside, peak)).alias("at"),
+    capacity (those of the peak's first row). A run open at the end closes there.
+
+    Rows come in segments (_seg). Within each, runs are found by windows and summed up; only what is left of them (a row
+    for each run and segment) is joined over the segments' ends.
+    """
+    order, inside = F.struct("t_us", "seq"), F.col("_flag")
+    w = Window.partitionBy(*keys, "_seg").orderBy("t_us", "seq")
+    was = F.coalesce(F.lag("_flag").over(w), F.lit(False))
+    marked = rows.withColumn("_flag", F.col("net") > 0).withColumn("_was", was)
+    marked = marked.withColumn("_part", F.last(F.when(inside & ~F.col("_was"), F.col("seq")), True).over(w))
+    marked = marked.withColumn("_part", F.when(inside | F.col("_was"), F.col("_part")))
+    peak = F.struct(F.col("net"), -F.col("t_us"), -F.col("seq"))
+    parts = marked.groupBy(*keys, "_seg", "_part").agg(
+        F.min(F.struct("t_us", "seq", "symbol", "_flag")).alias("head"),
+        F.max("t_us").alias("last_us"),
+        F.max(F.when(~inside, F.struct("t_us", "symbol"))).alias("closed"),
+        F.max_by(F.struct("net", "cycle_id", "n_legs", "capacity"), F.when(inside, peak)).alias("at"),
+        F.max(F.when(inside, peak)).alias("peak"),
+    )
+    own = F.col("_part").isNotNull()
+    segments = parts.groupBy(*keys, "_seg").agg(
+        F.min("head").alias("first"),
+        F.max("last_us").alias("last_us"),
+        F.max(F.when(own & F.col("closed").isNull(), F.col("_part"))).alias("open"),
     )
-    last = rows.groupBy(*keys).agg(F.max("t_us").alias("last_us"), F.min("t_us").alias("first_us"))
-    out = out.join(F.broadcast(last), keys) if keys else out.crossJoin(F.broadcast(last))
-    end = F.coalesce("closed_us", "last_us")
+    by_seg = Window.partitionBy(*keys).orderBy("_seg")
+    whole = Window.partitionBy(*keys)
+    goes_on = (F.col("open") == F.col("first.seq")) & F.lag("open").over(by_seg).isNotNull()
+    segments = segments.withColumn("_starts", F.when(~F.coalesce(goes_on, F.lit(False)), F.col("open")))
+    segments = segments.select(
+        *keys, "_seg", "first", F.lead("first").over(by_seg).alias("then"), F.lag("open").over(by_seg).isNotNull().alias("_held"),
+        F.last("_starts", True).over(by_seg.rowsBetween(Window.unboundedPreceding, -1)).alias("_from"),
+        F.max("last_us").over(whole).alias("end_of_all"), F.min("first.t_us").over(whole).alias("first_us"),
+    )
+    found = parts.where(own).join(segments, [*keys, "_seg"])
+    continues = F.col("_held") & (F.col("_part") == F.col("first.seq"))
+    next_row = F.when(~F.col("then._flag"), F.struct("then.t_us", "then.symbol"))
+    out = found.select(
+        *keys, F.when(continues, F.col("_from")).otherwise(F.col("_part")).alias("run"), "head", "at", "peak",
+        F.coalesce("closed", next_row).alias("closed"), "first_us", "end_of_all",
+    ).groupBy(*keys, "run").agg(
+        F.min("head").alias("head"), F.max("closed").alias("closed"), F.max_by("at", "peak").alias("at"),
+        F.max("first_us").alias("first_us"), F.max("end_of_all").alias("last_us"),
+    )
+    end = F.coalesce("closed.t_us", "last_us")
     return out.select(
-        *keys, "run", "start_us", end.alias("end_us"), ((end - F.col("start_us")) / 1e3).alias("ms"), "opened_by",
-        F.coalesce("closed_by", F.lit("(end of recording)")).alias("closed_by"), "peak", "at.*", "first_us", "last_us",
+        *keys, "run", F.col("head.t_us").alias("start_us"), end.alias("end_us"),
+        ((end - F.col("head.t_us")) / 1e3).alias("ms"), F.col("head.symbol").alias("opened_by"),
+        F.coalesce("closed.symbol", F.lit("(end of recording)")).alias("closed_by"), F.col("at.net").alias("peak"),
+        "at.cycle_id", "at.n_legs", "at.capacity", "first_us", "last_us",
     )
 
 
@@ -97,21 +108,3 @@ def episode_stats(found: DataFrame, keys: list[str]) -> DataFrame:
         median("capacity").alias("median_capacity"),
         *(F.count_if(F.col("n_legs") == n).alias(f"legs_{n}") for n in (3, 4, 5)),
     )
-
-
-def time_shares(rows: DataFrame, hurdles: list[float], near: float) -> DataFrame:
-    """cycle_id, above_us, near_us, max_edge, max_net: how long each cycle's gross edge was above 0, and its net edge
-    above -near; the state before each event counts for the time up to it."""
-    held = ts.carry(rows.select("t_us", "seq", "edges"), {"was": F.col("edges"), "was_us": F.col("t_us")}, ["t_us", "seq"], before=True)
-    held = held.withColumn("dt", F.col("t_us") - F.col("was_us"))
-    per_cycle = []
-    for i, h in enumerate(hurdles):
-        was, now = F.col("was")[i], F.col("edges")[i]
-        per_cycle.append(F.struct(
-            F.lit(i).alias("cycle_id"),
-            F.coalesce(F.sum(F.when(was > 0, F.col("dt"))), F.lit(0)).alias("above_us"),
-            F.coalesce(F.sum(F.when(was - h > -near, F.col("dt"))), F.lit(0)).alias("near_us"),
-            F.max(now).alias("max_edge"),
-            (F.max(now) - h).alias("max_net"),
-        ))
-    return held.agg(F.array(*per_cycle).alias("c")).select(F.explode("c").alias("c")).select("c.*")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions.stats import median
 from millrace.model import ASSETS, FEES_BPS, NEAR_BPS, SCHEDULE, SYMBOLS, fee_table, parse_fees
 from millrace.operators import episodes as ep
-from millrace.operators import graph
+from millrace.operators import graph, screen
 from millrace.operators import timeseries as ts
 from millrace.sources.market import VIEWS, duck_ctes, market
 
@@ -110,10 +110,9 @@ def hurdle_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["hurdle_families"] = f"""with recursive {_DIMS}, {_FEES}, {_HURDLES}
 select round(h*1e4,2) as hurdle_bps, count(*) as n, min_by(path, cycle_id) as example from hurdle group by 1 order by 1 limit 8"""
 
-_COLS = [f"{c}_{s}" for s in SYMBOLS for c in ep.BOOK]
 _QUOTES = duck_ctes("fx_quote").removeprefix(f"fx_symbol as ({VIEWS['fx_symbol']}),\n")
 _STATE = f"""{_QUOTES},
-st as (select * from (select seq, t_us, symbol, {", ".join(f"last_value(case when symbol='{s}' then {c} end ignore nulls) over w as {c}_{s}" for s in SYMBOLS for c in ep.BOOK)}
+st as (select * from (select seq, t_us, symbol, {", ".join(f"last_value(case when symbol='{s}' then {c} end ignore nulls) over w as {c}_{s}" for s in SYMBOLS for c in screen.BOOK)}
  from fx_quote window w as (order by t_us, seq rows unbounded preceding)) where {" and ".join(f"bid_{s} is not null" for s in SYMBOLS)})"""
 
 
@@ -131,16 +130,18 @@ edge as (select seq, t_us, by_symbol, cycle_id, n_legs, path, sum(lr) as e from
 _WITH = f"with recursive {_DIMS}, {_EDGES}"
 
 
+def _wide(rows: DataFrame, column: str, digits: int, prefix: str) -> DataFrame:
+    return rows.select("seq", *(F.round(F.col(column)[i], digits).alias(f"{prefix}{i}") for i in range(len(graph.cycles()))))
+
+
 @query
 def cycle_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event's best gross edge by number of legs, and the sum over all cycles."""
-    rows = ep.scored(market(spark, sf_dir, "fx_quote")).withColumn("best", ep.best_by_length())
-    total = F.aggregate("edges", F.lit(0e0), lambda a, x: a + x)
-    return rows.select("seq", *(F.round(F.col("best")[i]["best"]["edge"], 9).alias(f"best_{i + 3}") for i in range(3)), F.round(total, 7).alias("total"))
+    """Every event's gross log edge of each cycle."""
+    return _wide(screen.every_cycle(market(spark, sf_dir, "fx_quote")), "edges", 9, "edge_")
 
 
-ORACLE["cycle_edges"] = f"""{_WITH} select seq, round(max(e) filter (n_legs=3),9) as best_3, round(max(e) filter (n_legs=4),9) as best_4,
- round(max(e) filter (n_legs=5),9) as best_5, round(sum(e),7) as total from edge group by seq"""
+ORACLE["cycle_edges"] = f"""{_WITH} select seq, {", ".join(f"round(max(e) filter (cycle_id={i}),9) as edge_{i}" for i in range(74))}
+ from edge group by seq"""
 
 
 def _net(fee: float) -> str:
@@ -149,13 +150,10 @@ def _net(fee: float) -> str:
 
 @query
 def best_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ep.scenarios(ep.scored(market(spark, sf_dir, "fx_quote")), (FLAT,))
-    return rows.select("seq", F.round("net", 9).alias("net"), "n_legs")
+    rows = ep.scenarios(screen.scored(market(spark, sf_dir, "fx_quote")), (FLAT,))
+    return rows.select("seq", F.round("net", 9).alias("net"), "cycle_id", "n_legs", F.round("capacity", 4).alias("capacity"))
 
 
-ORACLE["best_cycle"] = f"""{_WITH} select seq, round(max({_net(FLAT)}),9) as net,
- arg_max(n_legs, {{'net': round({_net(FLAT)},13), 'i': cycle_id}})::int as n_legs from edge group by seq"""
-
 _PX = {"USDT": "1e0", **{a: f"(bid_{a}USDT+ask_{a}USDT)/2" for a in ASSETS[1:]}}
 
 
@@ -169,71 +167,81 @@ def _cap(side: str) -> str:
 
 @query
 def touch_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event's capacity at the touch, summed and least over the cycles."""
-    rows = ep.scored(market(spark, sf_dir, "fx_quote"))
-    caps = F.array(*(graph.touch_capacity(c) for c in graph.cycles()))
-    return rows.withColumn("caps", caps).select(
-        "seq", F.round(F.array_min("caps"), 2).alias("least"), F.round(F.aggregate("caps", F.lit(0e0), lambda a, x: a + x), 2).alias("total")
-    )
+    """Every event's capacity of each cycle at the touch, in USDT."""
+    return _wide(screen.every_cycle(market(spark, sf_dir, "fx_quote")), "capacities", 6, "usdt_")
 
 
-ORACLE["touch_capacity"] = f"""with recursive {_DIMS}, {_STATE},
-c as (select seq, cycle_id, min(case when l.side='SELL' then {_cap("SELL")} else {_cap("BUY")} end) as cap from st cross join cyc_leg l group by all)
-select seq, round(min(cap),2) as least, round(sum(cap),2) as total from c group by seq"""
+_CAPS = f"""caps as (select seq, cycle_id, min(case when l.side='SELL' then {_cap("SELL")} else {_cap("BUY")} end) as cap
+ from st cross join cyc_leg l group by all)"""
+ORACLE["touch_capacity"] = f"""with recursive {_DIMS}, {_STATE}, {_CAPS}
+select seq, {", ".join(f"round(max(cap) filter (cycle_id={i}),6) as usdt_{i}" for i in range(74))} from caps group by seq"""
+
+_BEST_OF = lambda fee: f"""best as (select seq, t_us, by_symbol, net, cycle_id, n_legs, cap from (
+ select *, {_net(fee)} as net, row_number() over (partition by seq order by round({_net(fee)},12) desc, cycle_id desc) as r
+ from edge join caps using (seq, cycle_id)) where r=1)"""
+ORACLE["best_cycle"] = f"""{_WITH}, {_CAPS}, {_BEST_OF(FLAT)}
+select seq, round(net,9) as net, cycle_id::int as cycle_id, n_legs::int as n_legs, round(cap,4) as capacity from best"""
 
-_BEST = lambda fee: f"""best as (select seq, t_us, by_symbol, max({_net(fee)}) as net from edge group by all)"""
 _RUNS = """flagged as (select *, net>0 as f, coalesce(lag(net>0) over (order by t_us, seq), false) as was from best),
 opened as (select *, last_value(case when f and not was then seq end ignore nulls) over (order by t_us, seq rows unbounded preceding) as run from flagged),
 ended as (select (select max(t_us) from best) as last_us, (select min(t_us) from best) as first_us),
 eps as (select run, min(t_us) filter (f) as start_us, coalesce(max(t_us) filter (not f), last_us) as end_us, arg_min(by_symbol, seq) filter (f) as opened_by,
- coalesce(max(by_symbol) filter (not f), '(end of recording)') as closed_by, max(net) filter (f) as peak, first_us, last_us
+ coalesce(max(by_symbol) filter (not f), '(end of recording)') as closed_by, max(net) filter (f) as peak,
+ arg_min({'c': cycle_id, 'n': n_legs, 'k': cap}, {'n': -net, 't': t_us, 's': seq}) filter (f) as top, first_us, last_us
  from opened, ended where f or was group by run, first_us, last_us)"""
 
 
+def _found(spark: SparkSession, sf_dir: str, fees: tuple[float, ...]) -> DataFrame:
+    return ep.episodes(ep.scenarios(screen.scored(market(spark, sf_dir, "fx_quote")), fees), ["fee"])
+
+
 @query
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ep.episodes(ep.scenarios(ep.scored(market(spark, sf_dir, "fx_quote")), (FLAT,)), ["fee"])
-    return found.select("start_us", "end_us", "ms", "opened_by", "closed_by", F.round("peak", 9).alias("peak"))
+    found = _found(spark, sf_dir, (FLAT,))
+    return found.select(
+        "run", "start_us", "end_us", "ms", "opened_by", "closed_by", F.round("peak", 9).alias("peak"), "cycle_id", "n_legs",
+        F.round("capacity", 4).alias("capacity"),
+    )
 
 
-ORACLE["episodes"] = f"""{_WITH}, {_BEST(FLAT)}, {_RUNS}
-select start_us, end_us, (end_us-start_us)/1e3 as ms, opened_by, closed_by, round(peak,9) as peak from eps"""
+ORACLE["episodes"] = f"""{_WITH}, {_CAPS}, {_BEST_OF(FLAT)}, {_RUNS}
+select run, start_us, end_us, (end_us-start_us)/1e3 as ms, opened_by, closed_by, round(peak,9) as peak, top.c::int as cycle_id,
+ top.n::int as n_legs, round(top.k,4) as capacity from eps"""
 
 
 @query
 def episode_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes at every flat fee."""
-    found = ep.episodes(ep.scenarios(ep.scored(market(spark, sf_dir, "fx_quote")), FEES_BPS), ["fee"])
-    stats = ep.episode_stats(found, ["fee"])
-    rounded = ("per_hour", "percent_of_time", "median_peak_bps")
-    return stats.select("fee", "n", *(F.round(c, 6).alias(c) for c in rounded), "p50_ms", "p90_ms", "max_ms", "legs_3", "legs_4", "legs_5")
+    stats = ep.episode_stats(_found(spark, sf_dir, FEES_BPS), ["fee"])
+    rounded = {"per_hour": 6, "percent_of_time": 6, "median_peak_bps": 6, "median_capacity": 4}
+    return stats.select(
+        "fee", "n", *(F.round(c, d).alias(c) for c, d in rounded.items()), "p50_ms", "p90_ms", "max_ms", "legs_3", "legs_4", "legs_5"
+    )
 
 
 def _stats_sql(fee: float) -> str:
-    runs = _RUNS.replace("max(net) filter (f) as peak", "max(net) filter (f) as peak, arg_min(legs, {'n': -round(net,13), 't': t_us, 's': seq}) filter (f) as legs")
-    best = f"best as (select seq, t_us, by_symbol, max({_net(fee)}) as net, arg_max(n_legs, {{'net': round({_net(fee)},13), 'i': cycle_id}}) as legs from edge group by all)"
-    return f"""(with {best}, {runs}
- select {fee}e0::double as fee, count(*) as n, round(count(*)/((max(last_us)-max(first_us))/3.6e9),6) as per_hour,
+    return f"""(with {_BEST_OF(fee)}, {_RUNS}
+ select {fee}::double as fee, count(*) as n, round(count(*)/((max(last_us)-max(first_us))/3.6e9),6) as per_hour,
  round(sum((end_us-start_us)/1e3)/36e3/((max(last_us)-max(first_us))/3.6e9),6) as percent_of_time, round(median(peak)*1e4,6) as median_peak_bps,
+ round(median(top.k),4) as median_capacity,
  list_sort(list((end_us-start_us)/1e3))[least(count(*)-1, floor(count(*)*5e-1)::bigint)+1] as p50_ms,
  list_sort(list((end_us-start_us)/1e3))[least(count(*)-1, floor(count(*)*9e-1)::bigint)+1] as p90_ms, max((end_us-start_us)/1e3) as max_ms,
- count_if(legs=3)::bigint as legs_3, count_if(legs=4)::bigint as legs_4, count_if(legs=5)::bigint as legs_5 from eps having count(*)>0)"""
+ count_if(top.n=3)::bigint as legs_3, count_if(top.n=4)::bigint as legs_4, count_if(top.n=5)::bigint as legs_5 from eps having count(*)>0)"""
 
 
-ORACLE["episode_stats"] = f"{_WITH} " + " union all ".join(_stats_sql(f).replace("e0::double", "::double") for f in FEES_BPS)
+ORACLE["episode_stats"] = f"{_WITH}, {_CAPS} " + " union all ".join(_stats_sql(f) for f in FEES_BPS)
 
 
 @query
 def episode_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six most frequent pairs of symbols that open and close episodes; of equal ones the first seen."""
-    found = ep.episodes(ep.scenarios(ep.scored(market(spark, sf_dir, "fx_quote")), (FLAT,)), ["fee"])
-    pairs = found.groupBy("opened_by", "closed_by").agg(
+    pairs = _found(spark, sf_dir, (FLAT,)).groupBy("opened_by", "closed_by").agg(
         F.count(F.lit(1)).alias("n"), median("ms").alias("median_ms"), F.min("run").alias("first_seq")
     )
     return pairs.orderBy(F.desc("n"), "first_seq").limit(6)
 
 
-ORACLE["episode_attribution"] = f"""{_WITH}, {_BEST(FLAT)}, {_RUNS}
+ORACLE["episode_attribution"] = f"""{_WITH}, {_CAPS}, {_BEST_OF(FLAT)}, {_RUNS}
 select opened_by, closed_by, count(*) as n, median((end_us-start_us)/1e3) as median_ms, min(run) as first_seq from eps
 group by 1,2 order by n desc, first_seq limit 6"""
 
@@ -241,7 +249,7 @@ group by 1,2 order by n desc, first_seq limit 6"""
 def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     fees = parse_fees(SCHEDULE)
     costs = [-sum(math.log1p(-fees[leg.symbol]) for leg in legs) for legs in graph.cycles()]
-    return ep.time_shares(ep.scored(market(spark, sf_dir, "fx_quote")), costs, NEAR_BPS / 1e4)
+    return screen.time_shares(market(spark, sf_dir, "fx_quote"), costs, NEAR_BPS / 1e4)
 
 
 @query
