@@ -32,11 +32,10 @@ def net_of(fee_bps: float) -> Column:
 
 
 def scenarios(rows: DataFrame, fees_bps: tuple[float, ...]) -> DataFrame:
-    """Rows of scored() for every flat fee: fee, net, cycle_id, n_legs, capacity (USDT at the touch)."""
-    per_fee = rows.withColumn(
-        "s", F.explode(F.array(*(F.struct(F.lit(f).alias("fee"), net_of(f).alias("n")) for f in fees_bps)))
-    )
-    return per_fee.select("_seg", "s.fee", "t_us", "seq", "symbol", "s.n.*")
+    """Rows of scored() for every flat fee: scenario (the fee's place), fee, net, cycle_id, n_legs, capacity (USDT at
+    the touch)."""
+    each = (F.struct(F.lit(i).alias("scenario"), F.lit(f).alias("fee"), net_of(f).alias("n")) for i, f in enumerate(fees_bps))
+    return rows.withColumn("s", F.explode(F.array(*each))).select("_seg", "s.scenario", "s.fee", "t_us", "seq", "symbol", "s.n.*")
 
 
 def episodes(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -46,12 +46,13 @@ def dealt(quotes: DataFrame, segment: int = DAY) -> DataFrame:
     )
     last = F.max_by(F.struct("t_us", *BOOK), F.struct("t_us", "seq")).alias("end")
     ends = rows.groupBy("_seg", "symbol").agg(last)
-    places = ends.select("_seg").distinct().withColumn("symbol", F.explode(F.array(*map(F.lit, SYMBOLS))))
-    before = Window.partitionBy("symbol").orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    seeds = places.join(ends, ["_seg", "symbol"], "left").withColumn("end", F.last("end", True).over(before))
-    seeds = seeds.where(F.col("end").isNotNull()).select(
-        "_seg", F.lit(True).alias("_seed"), "end.t_us", F.lit(-1).cast("bigint").alias("seq"), "symbol", *(f"end.{c}" for c in BOOK)
-    )
+    # A symbol's last row of a segment seeds the segments after it, up to the next one in which it has rows.
+    after = F.coalesce(F.lead("_seg").over(Window.partitionBy("symbol").orderBy("_seg")), F.max("_seg").over(Window.partitionBy()))
+    seeds = ends.withColumn("after", after).where(F.col("after") > F.col("_seg"))
+    seeds = seeds.select(
+        F.explode(F.sequence(F.col("_seg") + 1, "after")).alias("_seg"), F.lit(True).alias("_seed"), "end.t_us",
+        F.lit(-1).cast("bigint").alias("seq"), "symbol", *(f"end.{c}" for c in BOOK),
+    )
     return rows.unionByName(seeds).repartition("_seg").sortWithinPartitions("_seg", F.desc("_seed"), "t_us", "seq")
 
 

@@ -151,7 +151,7 @@ def _net(fee: float) -> str:
 @query
 def best_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ep.scenarios(screen.scored(market(spark, sf_dir, "fx_quote")), (FLAT,))
-    return rows.select("seq", F.round("net", 9).alias("net"), "cycle_id", "n_legs", F.round("capacity", 4).alias("capacity"))
+    return rows.select("seq", F.round("net", 9).alias("net"), "cycle_id", "n_legs", F.round("capacity", 6).alias("capacity"))
 
 
 _PX = {"USDT": "1e0", **{a: f"(bid_{a}USDT+ask_{a}USDT)/2" for a in ASSETS[1:]}}
@@ -180,7 +180,7 @@ _BEST_OF = lambda fee: f"""best as (select seq, t_us, by_symbol, net, cycle_id,
  select *, {_net(fee)} as net, row_number() over (partition by seq order by round({_net(fee)},12) desc, cycle_id desc) as r
  from edge join caps using (seq, cycle_id)) where r=1)"""
 ORACLE["best_cycle"] = f"""{_WITH}, {_CAPS}, {_BEST_OF(FLAT)}
-select seq, round(net,9) as net, cycle_id::int as cycle_id, n_legs::int as n_legs, round(cap,4) as capacity from best"""
+select seq, round(net,9) as net, cycle_id::int as cycle_id, n_legs::int as n_legs, round(cap,6) as capacity from best"""
 
 _RUNS = """flagged as (select *, net>0 as f, coalesce(lag(net>0) over (order by t_us, seq), false) as was from best),
 opened as (select *, last_value(case when f and not was then seq end ignore nulls) over (order by t_us, seq rows unbounded preceding) as run from flagged),
@@ -192,7 +192,8 @@ eps as (select run, min(t_us) filter (f) as start_us, coalesce(max(t_us) filter
 
 
 def _found(spark: SparkSession, sf_dir: str, fees: tuple[float, ...]) -> DataFrame:
-    return ep.episodes(ep.scenarios(screen.scored(market(spark, sf_dir, "fx_quote")), fees), ["fee"])
+    found = ep.episodes(ep.scenarios(screen.scored(market(spark, sf_dir, "fx_quote")), fees), ["scenario"])
+    return found.withColumn("fee", F.element_at(F.array(*map(F.lit, fees)), F.col("scenario") + 1))
 
 
 @query
@@ -200,20 +201,20 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _found(spark, sf_dir, (FLAT,))
     return found.select(
         "run", "start_us", "end_us", "ms", "opened_by", "closed_by", F.round("peak", 9).alias("peak"), "cycle_id", "n_legs",
-        F.round("capacity", 4).alias("capacity"),
+        F.round("capacity", 6).alias("capacity"),
     )
 
 
 ORACLE["episodes"] = f"""{_WITH}, {_CAPS}, {_BEST_OF(FLAT)}, {_RUNS}
 select run, start_us, end_us, (end_us-start_us)/1e3 as ms, opened_by, closed_by, round(peak,9) as peak, top.c::int as cycle_id,
- top.n::int as n_legs, round(top.k,4) as capacity from eps"""
+ top.n::int as n_legs, round(top.k,6) as capacity from eps"""
 
 
 @query
 def episode_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes at every flat fee."""
     stats = ep.episode_stats(_found(spark, sf_dir, FEES_BPS), ["fee"])
-    rounded = {"per_hour": 6, "percent_of_time": 6, "median_peak_bps": 6, "median_capacity": 4}
+    rounded = {"per_hour": 6, "percent_of_time": 6, "median_peak_bps": 6, "median_capacity": 6}
     return stats.select(
         "fee", "n", *(F.round(c, d).alias(c) for c, d in rounded.items()), "p50_ms", "p90_ms", "max_ms", "legs_3", "legs_4", "legs_5"
     )
@@ -223,7 +224,7 @@ def _stats_sql(fee: float) -> str:
     return f"""(with {_BEST_OF(fee)}, {_RUNS}
  select {fee}::double as fee, count(*) as n, round(count(*)/((max(last_us)-max(first_us))/3.6e9),6) as per_hour,
  round(sum((end_us-start_us)/1e3)/36e3/((max(last_us)-max(first_us))/3.6e9),6) as percent_of_time, round(median(peak)*1e4,6) as median_peak_bps,
- round(median(top.k),4) as median_capacity,
+ round(median(top.k),6) as median_capacity,
  list_sort(list((end_us-start_us)/1e3))[least(count(*)-1, floor(count(*)*5e-1)::bigint)+1] as p50_ms,
  list_sort(list((end_us-start_us)/1e3))[least(count(*)-1, floor(count(*)*9e-1)::bigint)+1] as p90_ms, max((end_us-start_us)/1e3) as max_ms,
  count_if(top.n=3)::bigint as legs_3, count_if(top.n=4)::bigint as legs_4, count_if(top.n=5)::bigint as legs_5 from eps having count(*)>0)"""

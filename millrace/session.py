@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int = 8, shuffle_partitions: int = 8, app: str = "millrace") -> SparkSession:
+    root = str(Path(__file__).resolve().parent.parent)  # Python workers import the package by name
+    os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [root, os.environ.get("PYTHONPATH")]))
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
