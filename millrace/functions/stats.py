@@ -14,13 +14,13 @@ def median(x: Column | str) -> Column:
 def at_share(x: Column | str, q: float) -> Column:
     """The value at place min(n - 1, floor(q * n)) of the ascending values."""
     s = F.sort_array(F.collect_list(x))
-    return s[F.least(F.size(s) - 1, F.floor(F.size(s) * F.lit(q)).cast("int"))]
+    return F.get(s, F.least(F.size(s) - 1, F.floor(F.size(s) * F.lit(q)).cast("int")))
 
 
 def at_ratio(x: Column | str, numerator: int, denominator: int) -> Column:
     """The value at place n * numerator div denominator of the ascending values."""
     s = F.sort_array(F.collect_list(x))
-    return s[F.floor(F.size(s) * numerator / denominator).cast("int")]
+    return F.get(s, F.floor(F.size(s) * numerator / denominator).cast("int"))
 
 
 def share_above(x: Column, threshold: float) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.stats import median
-from millrace.model import ASSETS, SYMBOLS, make_leg
+from millrace.model import ASSETS, LEGS, SYMBOLS
 
 ESTIMATORS = ("own", "routes", "usdt", "routes_vw", "all_vw")
 
@@ -18,7 +18,7 @@ def mid(symbol: str) -> Column:
 
 
 def _rate(src: str, dst: str) -> Column:
-    leg = make_leg(src, dst)
+    leg = LEGS[src, dst]
     return mid(leg.symbol) if leg.side == "SELL" else 1e0 / mid(leg.symbol)
 
 
@@ -47,7 +47,7 @@ def usdt(symbol: str) -> Column:
 def weights(symbol: str) -> list[Column]:
     """Of each route: the smaller traded volume (vol_<symbol>) of its two legs."""
     base, quote = SYMBOLS[symbol]
-    volume = lambda a, b: F.col(f"vol_{make_leg(a, b).symbol}")
+    volume = lambda a, b: F.col(f"vol_{LEGS[a, b].symbol}")
     return [F.least(volume(base, x), volume(x, quote)) for x in between(symbol)]
 
 

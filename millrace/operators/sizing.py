@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def leg_levels(side: Column, bids: Column, asks: Column, fee: Column) -> Column:
@@ -73,56 +73,95 @@ def size_cycles(df: DataFrame, keys: list[str], legs: str = "legs", most: str |
     """keys, start_in, start_out, profit, leg_in, leg_base_qty, limit_px.
 
     legs: array of struct(side, levels: array of struct(cap, rate, px)); most: column with the largest input (none: no
-    bound). Rows are worked on in Arrow batches, those with equally many legs together.
+    bound). Rows are worked on in Arrow batches, those with equally many legs together. Null or no legs size to zero.
     """
     arrays = ["leg_in", "leg_base_qty", "limit_px"]
-    source = df.select(*keys, F.col(legs).alias("legs"), (F.col(most) if most else F.lit(float("inf"))).alias("most"))
-    schema = ", ".join(f"{k} {source.schema[k].dataType.simpleString()}" for k in keys)
-
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = frame[keys].copy()
-            found = {c: np.zeros(len(frame)) for c in ("start_in", "start_out")}
-            lists: dict[str, list] = {c: [None] * len(frame) for c in arrays}
-            numbers = frame["legs"].map(len).to_numpy()
-            for n_legs in np.unique(numbers):
-                rows = np.flatnonzero(numbers == n_legs)
-                books = [frame["legs"].iloc[r] for r in rows]
-                n = np.array([[len(leg["levels"]) for leg in b] for b in books]).reshape(len(rows), n_legs)
-                shape = (len(rows), n_legs, max(1, int(n.max(initial=1))))
-                cap, rate, px = np.zeros(shape), np.ones(shape), np.ones(shape)
-                for i, b in enumerate(books):
-                    for j, leg in enumerate(b):
-                        for k, lv in enumerate(leg["levels"]):
-                            cap[i, j, k], rate[i, j, k], px[i, j, k] = lv["cap"], lv["rate"], lv["px"]
-                sell = np.array([[leg["side"] == "SELL" for leg in b] for b in books]).reshape(len(rows), n_legs)
-                start_in, start_out, *more = walk(cap, rate, px, n, sell, frame["most"].to_numpy(float)[rows], edge)
-                found["start_in"][rows], found["start_out"][rows] = start_in, start_out
-                for name, values in zip(arrays, more):
-                    for i, r in enumerate(rows):
-                        lists[name][r] = values[i].tolist()
-            yield out.assign(**found, profit=found["start_out"] - found["start_in"], **lists)
+    source = df.select(
+        *keys, F.coalesce(F.col(legs), F.array().cast(df.schema[legs].dataType)).alias("legs"),
+        (F.col(most) if most else F.lit(float("inf"))).alias("most"),
+    )
+    schema = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keys)
+
+    def sized(batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = batch.column(len(keys))
+        ends = column.offsets.to_numpy().astype(np.int64)
+        sell = pc.equal(column.values.field("side"), "SELL").to_numpy(zero_copy_only=False)
+        levels = column.values.field("levels")
+        first = levels.offsets.to_numpy().astype(np.int64)
+        n = np.diff(first)
+        place = first[:-1, None] + np.arange(max(1, int(n.max(initial=1))))
+        inside = place < first[1:, None]
+        padded = []
+        for name, empty in (("cap", 0.0), ("rate", 1.0), ("px", 1.0)):
+            flat = np.append(levels.values.field(name).to_numpy(zero_copy_only=False), empty)
+            padded.append(np.where(inside, flat[np.where(inside, place, len(flat) - 1)], empty))
+        most_in = batch.column(len(keys) + 1).to_numpy(zero_copy_only=False)
+        start = np.zeros((2, batch.num_rows))
+        per_leg = [np.zeros(len(n)), np.zeros(len(n)), np.full(len(n), np.nan)]
+        numbers = np.diff(ends)
+        for n_legs in np.unique(numbers[numbers > 0]):
+            rows = np.flatnonzero(numbers == n_legs)
+            at = ends[rows][:, None] + np.arange(n_legs)
+            start_in, start_out, *more = walk(*(p[at] for p in padded), n[at], sell[at], most_in[rows], edge)
+            start[0, rows], start[1, rows] = start_in, start_out
+            for out, values in zip(per_leg, more):
+                out[at] = values
+        offsets = pa.array(ends.astype(np.int32))
+        columns = [*map(pa.array, (start[0], start[1], start[1] - start[0])), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in per_leg)]
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *columns], [*keys, "start_in", "start_out", "profit", *arrays])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield sized(batch)
 
     more = ", ".join(f"{c} array<double>" for c in arrays)
-    return source.mapInPandas(task, f"{schema}, start_in double, start_out double, profit double, {more}")
-
+    return source.mapInArrow(task, f"{schema}, start_in double, start_out double, profit double, {more}")
+
+
+def filled(legs: Column, amount: Column) -> Column:
+    """struct(out, leg_in, base_qty, limit_px) of an amount of the first leg's source pushed through a path's legs
+    (array of struct(side, levels)); out is null where the depth doesn't suffice. Two nested folds in one expression:
+    over the legs, and over a leg's levels, each of which takes what the ones before leave."""
+    none = F.array().cast("array<double>")
+
+    def through(state: Column, leg: Column) -> Column:
+        start = F.struct(
+            state["out"].alias("left"), F.lit(0e0).alias("got"), F.lit(0e0).alias("base"), F.lit(None).cast("double").alias("px")
+        )
+
+        def take(s: Column, level: Column) -> Column:
+            part = F.when(s["left"] > level["cap"], level["cap"]).otherwise(s["left"])
+            base = F.when(leg["side"] == "SELL", part).otherwise(part / level["px"])
+            more = F.struct(
+                (s["left"] - part).alias("left"), (s["got"] + part * level["rate"]).alias("got"),
+                (s["base"] + base).alias("base"), level["px"].alias("px"),
+            )
+            return F.when((s["left"] > 0) | s["px"].isNull(), more).otherwise(s)
+
+        def joined(done: Column) -> Column:
+            return F.struct(
+                done["got"].alias("out"),
+                (state["enough"] & (done["left"] <= 0)).alias("enough"),
+                F.concat(state["leg_in"], F.array(state["out"])).alias("leg_in"),
+                F.concat(state["base_qty"], F.array(done["base"])).alias("base_qty"),
+                F.concat(state["limit_px"], F.array(done["px"])).alias("limit_px"),
+            )
+
+        return F.transform(F.array(F.aggregate(leg["levels"], start, take)), joined)[0]
+
+    # A fold takes its state's nullability from the first one, so what is missing is a flag, not a null.
+    begin = F.struct(
+        amount.alias("out"), F.lit(True).alias("enough"), none.alias("leg_in"), none.alias("base_qty"), none.alias("limit_px")
+    )
+    ended = lambda s: F.struct(F.when(s["enough"], s["out"]).alias("out"), *(s[c].alias(c) for c in ("leg_in", "base_qty", "limit_px")))
+    return F.transform(F.array(F.aggregate(legs, begin, through)), ended)[0]
 
-def fill_leg(df: DataFrame, keys: list[str], amount: str, levels: str, side: str) -> DataFrame:
-    """One leg of a path: keys and amount become out, base_qty, limit_px; null where the depth doesn't suffice.
 
-    levels: array of struct(cap, rate, px), best first. Each level takes what earlier ones leave of the amount.
-    """
-    rows = df.select(*keys, amount, side, F.posexplode(levels).alias("lvl", "l"))
-    w = Window.partitionBy(*keys).orderBy("lvl")
-    prior = F.coalesce(F.sum("l.cap").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0e0))
-    taken = rows.withColumn("prior", prior).withColumn(
-        "take", F.greatest(F.lit(0e0), F.least(F.col("l.cap"), F.col(amount) - F.col("prior")))
-    )
-    base = F.when(F.col(side) == "SELL", F.col("take")).otherwise(F.col("take") / F.col("l.px"))
-    depth = F.sum("l.cap") >= F.first(amount)
-    filled = taken.groupBy(*keys).agg(
-        F.when(depth, F.sum(F.col("take") * F.col("l.rate"))).alias("out"),
-        F.when(depth, F.sum(base)).alias("base_qty"),
-        F.when(depth, F.max_by("l.px", F.when((F.col("take") > 0) | (F.col("lvl") == 0), F.col("lvl")))).alias("limit_px"),
+def best_route(routes: Column, amount: Column) -> Column:
+    """struct(out, place, path) of the route that delivers most of an amount; of equal ones the first. routes: array of
+    struct(path, legs) in order; null if no route has the depth."""
+    tried = F.transform(
+        routes,
+        lambda r, i: F.struct(filled(r["legs"], amount)["out"].alias("out"), (-i).alias("place"), r["path"].alias("path")),
     )
-    return filled
+    return F.array_max(F.filter(tried, lambda t: t["out"].isNotNull()))

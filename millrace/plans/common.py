@@ -7,3 +7,4 @@ HORIZONS = (600 * SECOND, 3_600 * SECOND, 21_600 * SECOND)
 GRID = 3_600 * SECOND
 MAKER_BPS = 7.5
 FRESH = 36_000 * SECOND
+FLAT = 7.5

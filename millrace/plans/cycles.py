@@ -12,10 +12,10 @@ from millrace.model import ASSETS, FEES_BPS, NEAR_BPS, SCHEDULE, SYMBOLS, fee_ta
 from millrace.operators import episodes as ep
 from millrace.operators import graph, screen
 from millrace.operators import timeseries as ts
+from millrace.plans.common import FLAT
 from millrace.sources.market import VIEWS, duck_ctes, market
 
 QUERIES, ORACLE = {}, {}
-FLAT = 7.5
 
 
 def query(f):
@@ -249,7 +249,7 @@ group by 1,2 order by n desc, first_seq limit 6"""
 
 def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     fees = parse_fees(SCHEDULE)
-    costs = [-sum(math.log1p(-fees[leg.symbol]) for leg in legs) for legs in graph.cycles()]
+    costs = [graph.hurdle_of(legs, fees) for legs in graph.cycles()]
     return screen.time_shares(market(spark, sf_dir, "fx_quote"), costs, NEAR_BPS / 1e4)
 
 
