@@ -48,4 +48,6 @@ def r2_two(x1: str, x2: str, y: str) -> Column:
 def gap_closure(gap: str, move: str) -> tuple[Column, Column]:
     """Slope and correlation of move on gap; null where the gap hardly varies."""
     varies = F.var_pop(gap) >= 1e-18
-    return F.when(varies, F.covar_pop(gap, move) / F.var_pop(gap)), F.when(varies, F.corr(gap, move))
+    cov = F.covar_pop(gap, move)
+    both = F.sqrt(F.var_pop(gap) * F.var_pop(move))
+    return F.when(varies, F.try_divide(cov, F.var_pop(gap))), F.when(varies, F.try_divide(cov, both))

@@ -58,3 +58,13 @@ def kept(edge: Column, thresholds: Sequence[float], gain: Column, weight: Column
         out.append(F.sum(F.when(there, weight).otherwise(0e0)).alias(f"kept_{n:g}"))
         out.append(F.sum(F.when(there, gain * weight).otherwise(0e0)).alias(f"pnl_{n:g}"))
     return out
+
+
+def kept_report(thresholds: Sequence[float], weight: str = "w") -> list[Column]:
+    """For each threshold: share_<N> of the weight that kept() keeps, and its gain pnl_<N> (null if nothing is kept)."""
+    out = []
+    for n in thresholds:
+        out.append(F.round(F.col(f"kept_{n:g}") / F.col(weight), 6).alias(f"share_{n:g}"))
+        gain = F.when(F.col(f"kept_{n:g}") > 0, F.try_divide(F.col(f"pnl_{n:g}"), F.col(f"kept_{n:g}")))
+        out.append(F.round(gain, 6).alias(f"pnl_{n:g}"))
+    return out

@@ -197,17 +197,13 @@ KEPT = (0.0, 1.0, 2.0)
 def markout_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notional kept, and its P&L at the second horizon, if only fills with an edge of N or more are taken."""
     rows = marked_trades(spark, sf_dir).groupBy("symbol").agg(
-        F.sum("w").alias("w"), *mk.kept(F.round("m_0", 6), KEPT, F.col("m_2"), F.col("w"))
+        F.sum("w").alias("w"), *mk.kept(F.col("m_0"), KEPT, F.col("m_2"), F.col("w"))
     )
-    cells = []
-    for n in KEPT:
-        cells.append(F.round(F.col(f"kept_{n:g}") / F.col("w"), 6).alias(f"share_{n:g}"))
-        cells.append(F.round(F.when(F.col(f"kept_{n:g}") > 0, F.try_divide(F.col(f"pnl_{n:g}"), F.col(f"kept_{n:g}"))), 6).alias(f"pnl_{n:g}"))
-    return rows.select("symbol", *cells)
+    return rows.select("symbol", *mk.kept_report(KEPT))
 
 
 ORACLE["markout_kept"] = f"""with {_MARKED}
-select symbol, {", ".join(f"round(sum(case when round(m_0,6)>={n} then w else 0 end)/sum(w),6) as share_{n:g}, round(sum(m_2*w) filter (round(m_0,6)>={n})/nullif(sum(w) filter (round(m_0,6)>={n}),0),6) as pnl_{n:g}" for n in KEPT)}
+select symbol, {", ".join(f"round(sum(case when m_0>={n} then w else 0 end)/sum(w),6) as share_{n:g}, round(sum(m_2*w) filter (m_0>={n})/nullif(sum(w) filter (m_0>={n}),0),6) as pnl_{n:g}" for n in KEPT)}
 from marked group by symbol"""
 
 

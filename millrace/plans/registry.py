@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import cycles, depth, quotes
+from millrace.plans import cycles, depth, fair_values, quotes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-for _part in (quotes, cycles, depth):
+for _part in (quotes, cycles, depth, fair_values):
     QUERIES.update(_part.QUERIES)
     ORACLE.update(_part.ORACLE)
 FLAGSHIP = "episodes"
