@@ -55,6 +55,21 @@ from {part} p join {lineitem} l on l.l_partkey=p.p_partkey""",
 select seq, t_us, symbol, quote, bid, ask, (bid+ask)*5e-1*(1e0+cast((seq%101)-50 as double)*1e-5) as pool_price,
  case when seq%2=0 then 1e-4 else 5e-4 end as pool_fee
 from {fx_tick} where event_type='view'""",
+    "fx_listing": """
+select distinct concat(base,quote) as symbol, base, quote, case when pair_id%10=7 then 'BREAK' else 'TRADING' end as status from {fx_snapshot}""",
+    "fx_touch": """
+select concat(base,quote) as symbol, bid, bid+(ask-bid)*(case when pair_id%6=0 then 2e-1 else 1e0 end)*(case when pair_id%17=5 then -1e0 else 1e0 end) as ask
+from {fx_snapshot}""",
+    "fx_day": """
+select concat(base,quote) as symbol, sum(bid)*(case when pair_id%3=0 then 1.5e2 when pair_id%3=1 then 1e1 else 1.25e-4 end) as quote_volume
+from {fx_snapshot} group by base, quote, pair_id""",
+    "fx_capture": """
+select seq, t_us, event_type, t_us + seq*7919%50000 as now_us, case when seq%2=0 then t_us else (t_us-t_us%1000)/1000 end as event_time,
+ concat('C',cast(idx as string)) as coin, cast(seq%1000 as string) as price_text, cast(1+k as string) as qty_text,
+ case when seq%3=0 then 'True' when seq%3=1 then 'true' else 'false' end as maker_text,
+ concat('0x000000000000000000000000', substring(concat(md5(cast(seq as string)), md5(cast(seq+1 as string))), 1, 40)) as slot0,
+ concat('0x', md5(concat('base',cast(idx as string)))) as base_address, concat('0x', md5(concat('quote',cast(seq%7 as string)))) as quote_address
+from {fx_tick}""",
 }
 SPARK_US = "unix_micros(cast(ts as timestamp))"
 DUCK_US = "epoch_us(ts)"
