@@ -55,6 +55,10 @@ from {part} p join {lineitem} l on l.l_partkey=p.p_partkey""",
 select seq, t_us, symbol, quote, bid, ask, (bid+ask)*5e-1*(1e0+cast((seq%101)-50 as double)*1e-5) as pool_price,
  case when seq%2=0 then 1e-4 else 5e-4 end as pool_fee
 from {fx_tick} where event_type='view'""",
+    "fx_perp": """
+select distinct concat(case when idx%5=0 then '' when idx%5 in (1,2) then '1000' else '1000000' end, 'C', cast(idx as string), 'USDT') as perp
+from {fx_tick} where idx%5<>4
+union select distinct concat('1000000C', cast(idx as string), 'USDT') from {fx_tick} where idx%4=1""",
     "fx_listing": """
 select distinct concat(base,quote) as symbol, base, quote, case when pair_id%10=7 then 'BREAK' else 'TRADING' end as status from {fx_snapshot}""",
     "fx_touch": """
