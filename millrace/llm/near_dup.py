@@ -302,18 +302,18 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(task, "a bigint, b bigint").distinct()
 
 
-def linked_in_buckets(rows: DataFrame) -> DataFrame:
+def linked_in_buckets(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """a, b: links that connect all nodes of a bucket whose similarity connects them.
 
-    rows: band, node, label, bands, registers, text. Buckets are cut into blocks of about BLOCK nodes, and each pair
+    rows: band, node, label, bands, registers, text; sizes: band, n (its nodes). Buckets are cut into blocks of about BLOCK nodes, and each pair
     of blocks is one group of rows, streamed through a task. A pair of nodes is looked at in the first band that both
     share, if they aren't connected yet (by label or by a link found before in the group) and enough registers agree;
     the most agreeing pairs come first. Only links that connect something are returned, at most one for each node.
     """
-    sizes = rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = sizes.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (
-        rows.join(sizes, "band")
+        rows.join(blocks, "band")
         .withColumn("own", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
@@ -454,10 +454,10 @@ def _classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spread = at.groupBy("band").agg(
         F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y")
     )  # of up to three nodes the stars had all pairs
-    spread = stored(spread.where("n > 3 and x < y").select("band"), "open-buckets")
-    open_rows = at.join(spread, "band", "left_semi")
+    spread = stored(spread.where("n > 3 and x < y").select("band", "n"), "open-buckets")
+    open_rows = at.join(spread.select("band"), "band", "left_semi")
     details = reps.select("node", "bands", "registers").join(texts, "node")
-    late = stored(linked_in_buckets(open_rows.join(details, "node")), "links")
+    late = stored(linked_in_buckets(open_rows.join(details, "node"), spread), "links")
     if not late.isEmpty():
         labels = components(links.union(late))
 
