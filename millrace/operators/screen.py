@@ -84,6 +84,15 @@ class Scores:
         return own[at], edges[np.arange(len(edges)), at]
 
 
+def books_after(book: np.ndarray, code: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """(rows, symbols, 4): the whole book after each update (symbol's number, its values) of a book."""
+    out = np.empty((len(code), *book.shape))
+    for s in range(len(book)):
+        at = np.maximum.accumulate(np.where(code == s, np.arange(len(code)), -1))
+        out[:, s] = np.where((at >= 0)[:, None], values[at], book[s])
+    return out
+
+
 def folded(
     source: DataFrame, schema: str, emit: Callable[[pa.RecordBatch, np.ndarray, Scores, np.ndarray | None], pa.RecordBatch]
 ) -> DataFrame:
@@ -106,10 +115,7 @@ def folded(
                 time = part.column(2).to_numpy()
                 code = np.array([names.index(s) for s in part.column(4).to_pylist()])
                 values = np.stack([part.column(5 + k).to_numpy(zero_copy_only=False) for k in range(len(BOOK))], axis=1)
-                books = np.empty((len(code), len(names), len(BOOK)))
-                for s in range(len(names)):
-                    at = np.maximum.accumulate(np.where(code == s, np.arange(len(code)), -1))
-                    books[:, s] = np.where((at >= 0)[:, None], values[at], book[s])
+                books = books_after(book, code, values)
                 entry, book, held = book, books[-1].copy(), since
                 since = max(held, int(time.max()))
                 live = ~np.isnan(books[:, :, 0]).any(axis=1) & ~seed

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import anchors, archives, carry, cycles, depth, fair_values, quotes, screening
+from millrace.plans import anchors, archives, carry, cycles, depth, fair_values, quotes, screening, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-for _part in (quotes, cycles, depth, fair_values, carry, screening, archives, anchors):
+for _part in (quotes, cycles, depth, fair_values, carry, screening, archives, anchors, streams):
     QUERIES.update(_part.QUERIES)
     ORACLE.update(_part.ORACLE)
 FLAGSHIP = "episodes"
