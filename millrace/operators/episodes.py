@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.functions.stats import at_share, median
+from millrace.functions.stats import MIDDLE, order_statistics, share_pick
 from millrace.operators.screen import LENGTHS
 
 
@@ -94,16 +94,23 @@ def episodes(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def episode_stats(found: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts, rates, durations, peaks and capacities of episodes by keys."""
+    """Counts, rates, durations, peaks and capacities of episodes by keys; found is read several times."""
     hours = (F.max("last_us") - F.max("first_us")) / 3.6e9
-    return found.groupBy(*keys).agg(
+    sums = found.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.try_divide(F.count(F.lit(1)), hours).alias("per_hour"),
         F.try_divide(F.sum("ms") / 36e3, hours).alias("percent_of_time"),
-        at_share("ms", 0.5).alias("p50_ms"),
-        at_share("ms", 0.9).alias("p90_ms"),
         F.max("ms").alias("max_ms"),
-        (median("peak") * 1e4).alias("median_peak_bps"),
-        median("capacity").alias("median_capacity"),
         *(F.count_if(F.col("n_legs") == n).alias(f"legs_{n}") for n in (3, 4, 5)),
     )
+    each = F.array(*(F.struct(F.lit(c).alias("what"), F.col(c).alias("value")) for c in ("ms", "peak", "capacity")))
+    picks = {"p50": share_pick(0.5), "p90": share_pick(0.9), **MIDDLE}
+    long = found.select(*keys, F.explode(each).alias("e")).select(*keys, "e.*")
+    ranks = order_statistics(long, [*keys, "what"], "value", picks).drop("n")
+    of = lambda what, c: F.max(F.when(F.col("what") == what, c))
+    middle = (F.col("low") + F.col("high")) / 2
+    wide = ranks.groupBy(*keys).agg(
+        of("ms", F.col("p50")).alias("p50_ms"), of("ms", F.col("p90")).alias("p90_ms"), (of("peak", middle) * 1e4).alias("median_peak_bps"),
+        of("capacity", middle).alias("median_capacity"),
+    )
+    return sums.join(wide, keys)

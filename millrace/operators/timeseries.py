@@ -7,8 +7,10 @@ than a segment of one key, whatever the length of a recording.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -105,18 +107,6 @@ def book_state(quotes: DataFrame, symbols: Sequence[str], columns: Sequence[str]
     return rows.where(complete).select("seq", "t_us", "symbol", *values)
 
 
-def runs(df: DataFrame, flag: Column, keys: Sequence[str] = (), segment: int = DAY) -> DataFrame:
-    """Rows (t_us, seq and others) of runs of a true flag, and the row that ends each: adds run (the first row's seq)
-    and closing. Runs go on over segments."""
-    order = ["t_us", "seq"]
-    rows = df.withColumn("_flag", flag)
-    rows = carry(rows, {"_was": F.col("_flag")}, order, keys, segment=segment, before=True)
-    was = F.coalesce("_was", F.lit(False))
-    rows = rows.withColumn("_opens", F.when(F.col("_flag") & ~was, F.col("seq")))
-    rows = carry(rows, {"run": F.col("_opens")}, order, keys, segment=segment)
-    return rows.where(F.col("_flag") | was).withColumn("closing", ~F.col("_flag")).drop("_flag", "_was", "_opens")
-
-
 def trade_mids(trades: DataFrame, fresh: int, keys: Sequence[str], segment: int = DAY) -> DataFrame:
     """keys, t_us, seq, mid: after each trade, midway between the last seller's and the last buyer's price, if both
     are known and the older is at most `fresh` old."""
@@ -137,19 +127,43 @@ def rolling_sum(df: DataFrame, value: str, span: int, keys: Sequence[str], time:
 def requotes(series: DataFrame, bps: float, keys: Sequence[str]) -> DataFrame:
     """keys, n, per_minute: how often a value drifts by bps or more from the level of the last re-quote.
 
-    A fold over each key's values in time order, inside one expression; n and the level pass from value to value.
+    Each level depends on the one before, so a key's values pass through one task in order of time; they are sorted by
+    Spark and streamed, and the task holds the level and the count.
     """
-    ordered = series.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t_us", "seq", "v"))).alias("s"))
-
-    def step(state: Column, x: Column) -> Column:
-        moved = F.abs(x["v"] / state["level"] - 1) * 1e4 >= bps
-        return F.struct(
-            F.when(moved, x["v"]).otherwise(state["level"]).alias("level"),
-            (state["n"] + F.when(moved, F.lit(1)).otherwise(F.lit(0)).cast("bigint")).alias("n"),
-        )
-
-    start = F.struct(F.col("s")[0]["v"].alias("level"), F.lit(0).cast("bigint").alias("n"))
-    span = (F.element_at("s", -1)["t_us"] - F.col("s")[0]["t_us"]) / F.lit(6e7)
-    return ordered.select(*keys, F.aggregate("s", start, step)["n"].alias("n"), span.alias("minutes")).select(
-        *keys, "n", F.try_divide(F.col("n"), "minutes").alias("per_minute")
-    )
+    source = series.select(*keys, "t_us", "seq", "v").where(F.col("v").isNotNull())
+    source = source.repartition(*keys).sortWithinPartitions(*keys, "t_us", "seq").drop("seq")
+    names = [*keys, "n", "minutes"]
+    fields = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keys)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, level, n, first, last = None, 0.0, 0, 0, 0
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array([k.as_py()], k.type) for k in key]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([n], pa.int64()), pa.array([(last - first) / 6e7])], names)
+
+        for batch in batches:
+            cells = [batch.column(i) for i in range(len(keys))]
+            time, value = (batch.column(len(keys) + i).to_numpy() for i in (0, 1))
+            change = np.zeros(batch.num_rows, bool)
+            for c in cells:
+                codes = c.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                change[1:] |= codes[1:] != codes[:-1]
+            cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+            for low, high in zip(cuts, cuts[1:]):
+                if low == high:
+                    continue
+                here = [c[low] for c in cells]
+                if key is None or [k.as_py() for k in here] != [k.as_py() for k in key]:
+                    if key is not None:
+                        yield out()
+                    key, level, n, first = here, value[low], 0, int(time[low])
+                last = int(time[high - 1])
+                for v in value[low:high].tolist():
+                    if abs(v / level - 1) * 1e4 >= bps:
+                        level, n = v, n + 1
+        if key is not None:
+            yield out()
+
+    found = source.mapInArrow(task, f"{fields}, n bigint, minutes double")
+    return found.select(*keys, "n", F.try_divide(F.col("n"), "minutes").alias("per_minute"))

@@ -13,6 +13,7 @@ from millrace.operators import episodes as ep
 from millrace.operators import graph, screen
 from millrace.operators import timeseries as ts
 from millrace.plans.common import FLAT
+from millrace.session import stored
 from millrace.sources.market import VIEWS, duck_ctes, market
 
 QUERIES, ORACLE = {}, {}
@@ -213,7 +214,9 @@ select run, start_us, end_us, (end_us-start_us)/1e3 as ms, opened_by, closed_by,
 @query
 def episode_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes at every flat fee."""
-    stats = ep.episode_stats(_found(spark, sf_dir, FEES_BPS), ["fee"])
+    found = stored(_found(spark, sf_dir, FEES_BPS), "episodes")
+    fee = F.element_at(F.array(*map(F.lit, FEES_BPS)), F.col("scenario") + 1)
+    stats = ep.episode_stats(found, ["scenario"]).withColumn("fee", fee)
     rounded = {"per_hour": 6, "percent_of_time": 6, "median_peak_bps": 6, "median_capacity": 6}
     return stats.select(
         "fee", "n", *(F.round(c, d).alias(c) for c, d in rounded.items()), "p50_ms", "p90_ms", "max_ms", "legs_3", "legs_4", "legs_5"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.functions.stats import at_ratio, median
+from millrace.functions.stats import MIDDLE, median, order_statistics, ratio_pick
 from millrace.model import STABLES, SYMBOLS
 from millrace.operators import markout as mk
 from millrace.operators import timeseries as ts
@@ -29,14 +29,12 @@ def mids(quotes: DataFrame) -> DataFrame:
 def quote_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     bid, ask = F.col("bid"), F.col("ask")
     rows = market(spark, sf_dir, "fx_quote").withColumn("bps", (ask - bid) / ((ask + bid) / 2) * 1e4)
-    return rows.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(median("bps"), 6).alias("median_bps"),
-        F.round(at_ratio("bps", 19, 20), 6).alias("p95_bps"),
-        F.round(F.min("bps"), 6).alias("min_bps"),
-        F.round(F.max("bps"), 6).alias("max_bps"),
-        F.round(F.avg((bid + ask) / 2), 6).alias("mean_mid"),
-    )
+    sums = rows.groupBy("symbol").agg(F.min("bps").alias("min_bps"), F.max("bps").alias("max_bps"), F.avg((bid + ask) / 2).alias("mean_mid"))
+    ranks = order_statistics(rows, ["symbol"], "bps", {"p95_bps": ratio_pick(19, 20), **MIDDLE})
+    return ranks.join(sums, "symbol").select(
+        "symbol", "n", F.round((F.col("low") + F.col("high")) / 2, 6).alias("median_bps"),
+        *(F.round(c, 6).alias(c) for c in ("p95_bps", "min_bps", "max_bps", "mean_mid")),
+    )
 
 
 ORACLE["quote_spread"] = f"""with {duck_ctes("fx_quote")},

@@ -252,6 +252,20 @@ def test_requotes_and_ranks_equal_plain_python(spark):
         assert (r.a, r.b, r.c) == (s[int(0.9 * 400)], s[400 * 19 // 20], s[-1])
 
 
+def test_order_statistics_are_exact_for_many_values_and_ties(spark):
+    rng = np.random.default_rng(6)
+    values = {"many": rng.normal(size=60_000), "ties": np.concatenate([np.full(30_000, 1.0), rng.normal(1, 1e-3, 31_000)]), "few": rng.normal(size=7), "one": np.array([2.0])}
+    frame = spark.createDataFrame([(k, float(v)) for k, x in values.items() for v in x] + [("many", None), ("none", None)], "k string, v double")
+    picks = {"a": stats.share_pick(0.5), "b": stats.share_pick(0.999), "c": stats.ratio_pick(1, 20), "d": stats.share_pick(1.0), **stats.MIDDLE}
+    got = {r.k: r for r in stats.order_statistics(frame, ["k"], "v", picks).collect()}
+    assert got.keys() == values.keys()
+    for k, x in values.items():
+        s, n = np.sort(x), len(x)
+        r = got[k]
+        assert (r.n, r.a, r.b, r.c, r.d) == (n, s[n // 2], s[min(n - 1, int(0.999 * n))], s[n // 20], s[-1])
+        assert (r.low + r.high) / 2 == np.median(x)
+
+
 def test_recordings_stop_at_their_first_bad_line(spark, tmp_path):
     line = lambda t: '{"t":%d,"m":{"stream":"btcusdt@bookTicker","data":{"s":"BTCUSDT","b":"1.5","B":"2","a":"1.6","A":"3"}}}' % t
     whole = tmp_path / "a.jsonl.gz"
