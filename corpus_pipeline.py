@@ -6,6 +6,10 @@ mix           samples documents so that tokens meet target weights by source, la
 encode        encodes each document to token ids, decodes them again and returns their digests
 
 Every stage is handed over as Parquet in the shared folder, so each starts from files and survives lost executors.
+
+Defined cases: a null or empty text, or one without letters, goes in the first stage; rows that repeat a text stay
+once, whatever their ids, null ones too; null categories are categories of their own in the mix; very long texts are
+worked on whole; extra columns are kept by all stages but the last; an empty table gives no rows in every stage.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import byte_bpe, language_id, mixing, near_dup
-from millrace.llm.common import small_batches, stored
+from millrace.llm.common import dropped, scratch, small_batches, stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), name, keep=True)
+        if last is not None:
+            dropped(spark, last)
+        last = docs
     return docs
 
 
