@@ -149,22 +149,23 @@ def scored(quotes: DataFrame, segment: int = DAY) -> DataFrame:
     return folded(dealt(quotes, segment), f"_seg bigint, t_us bigint, seq bigint, symbol string, {kinds}", emit)
 
 
-def every_cycle(quotes: DataFrame, segment: int = DAY) -> DataFrame:
-    """seq, t_us, symbol, edges and capacities (arrays by cycle number) of every update with a complete book."""
-
-    def lists(values: np.ndarray) -> pa.Array:
-        offsets = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
+def every_cycle(quotes: DataFrame, what: str = "edges", segment: int = DAY) -> DataFrame:
+    """seq, t_us, symbol and an array by cycle number of every update with a complete book: all cycles' gross log
+    edges, or their capacities."""
 
     def emit(rows: pa.RecordBatch, time: np.ndarray, scores: Scores, since: np.ndarray) -> pa.RecordBatch:
-        count = len(_cycles()[2])
-        caps = np.stack([scores.capacities(np.full(len(scores.edges), i)) for i in range(count)], axis=1)
-        columns = [rows.column(3), rows.column(2), rows.column(4), lists(scores.edges[1:]), lists(caps[1:])]
-        return pa.RecordBatch.from_arrays(columns, ["seq", "t_us", "symbol", "edges", "capacities"])
+        if what == "edges":
+            values = scores.edges[1:]
+        else:
+            legs = _cycles()[1]
+            values = scores.sizes[1:, legs[:, 0]]
+            for k in range(1, legs.shape[1]):
+                values = np.minimum(values, scores.sizes[1:, legs[:, k]])
+        offsets = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(values).ravel()))
+        return pa.RecordBatch.from_arrays([rows.column(3), rows.column(2), rows.column(4), lists], ["seq", "t_us", "symbol", what])
 
-    return folded(
-        dealt(quotes, segment), "seq bigint, t_us bigint, symbol string, edges array<double>, capacities array<double>", emit
-    )
+    return folded(dealt(quotes, segment), f"seq bigint, t_us bigint, symbol string, {what} array<double>", emit)
 
 
 def time_shares(quotes: DataFrame, hurdles: list[float], near: float, segment: int = DAY) -> DataFrame:

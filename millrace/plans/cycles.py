@@ -169,7 +169,7 @@ def _cap(side: str) -> str:
 @query
 def touch_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event's capacity of each cycle at the touch, in USDT."""
-    return _wide(screen.every_cycle(market(spark, sf_dir, "fx_quote")), "capacities", 6, "usdt_")
+    return _wide(screen.every_cycle(market(spark, sf_dir, "fx_quote"), "capacities"), "capacities", 6, "usdt_")
 
 
 _CAPS = f"""caps as (select seq, cycle_id, min(case when l.side='SELL' then {_cap("SELL")} else {_cap("BUY")} end) as cap
