@@ -10,7 +10,8 @@ from millrace.model import QUOTES
 from millrace.operators import timeseries as ts
 from millrace.plans.quotes import mids
 from millrace.sources.captures import archive_trades as parsed
-from millrace.sources.captures import hex_double, normalised_ms, split_symbol as split
+from millrace.sources.captures import hex_double, normalised_ms, unzipped, zipped
+from millrace.sources.captures import split_symbol as split
 from millrace.sources.market import duck_ctes, market
 
 QUERIES, ORACLE = {}, {}
@@ -46,6 +47,23 @@ select seq, case when event_time>1e14 then event_time::bigint//1000 else event_t
  lower(maker_text)='true' as buyer_maker from fx_capture"""
 
 
+@query
+def scan_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades zipped into a CSV for each day and coin, and read back."""
+    cells = ("seq", "price_text", "qty_text", "coin", "event_type", "event_time", "maker_text")
+    day = F.to_date(F.timestamp_micros("t_us")).cast("string").alias("day")
+    text = F.concat_ws(",", *(F.col(c).cast("bigint" if c == "event_time" else "string").cast("string") for c in cells)).alias("line")
+    zips = zipped(market(spark, sf_dir, "fx_capture").select(day, "coin", "seq", text), ["day", "coin"], "line", "seq", "id,p,q,f,l,T,m")
+    found = parsed(unzipped(zips))
+    return found.select("file", "nth", F.get("cells", F.lit(0)).cast("bigint").alias("seq"), "t_ms", "price", "qty", "buyer_maker")
+
+
+ORACLE["scan_archive"] = f"""with {duck_ctes("fx_capture")}
+select make_timestamp(t_us)::date::varchar||'-'||coin||'.zip' as file, row_number() over (partition by make_timestamp(t_us)::date, coin order by seq)-1 as nth, seq,
+ case when event_time>1e14 then event_time::bigint//1000 else event_time::bigint end as t_ms, price_text::double as price, qty_text::double as qty,
+ lower(maker_text)='true' as buyer_maker from fx_capture"""
+
+
 @query
 def split_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = spark.createDataFrame([("USDT",), ("ABCXYZ",), ("FDUSDUSDT",), ("BTCFDUSD",), ("ETHBTC",), ("USDCBNB",)], "symbol string")

@@ -69,9 +69,13 @@ def quotes_of(recording: DataFrame) -> DataFrame:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """file, nth, cells (array of texts) of the CSV in each zip file under a path; a first line that doesn't begin with
-    a digit is a header and left out. Each zip file is one row, unzipped as a stream by the task that reads it."""
-    zips = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
+    """file, nth, cells of the CSV in each zip file under a path, as unzipped() gives them."""
+    return unzipped(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path))
+
+
+def unzipped(zips: DataFrame) -> DataFrame:
+    """file, nth, cells (array of texts) of the CSV in each zip file (path, content); a first line that doesn't begin
+    with a digit is a header and left out. Each zip file is one row, unzipped as a stream by the task that reads it."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,6 +95,20 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return zips.select("path", "content").mapInArrow(task, "file string, nth bigint, cells array<string>")
 
 
+def zipped(rows: DataFrame, keys: list[str], line: str, order: str, header: str) -> DataFrame:
+    """path, content: a zip file with a CSV of the lines of each key, in order, behind a header."""
+
+    def task(group: pa.Table) -> pa.Table:
+        group = group.sort_by(order)
+        text, out = "\n".join([header, *group.column(line).to_pylist()]), io.BytesIO()
+        name = "-".join(str(group.column(k)[0].as_py()) for k in keys)
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr(f"{name}.csv", text)
+        return pa.table({"path": [f"{name}.zip"], "content": pa.array([out.getvalue()], pa.binary())})
+
+    return rows.select(*keys, line, order).groupBy(*keys).applyInArrow(task, "path string, content binary")
+
+
 def _cells(file: str, nth: int, rows: list[list[str]]) -> pa.RecordBatch:
     columns = [pa.array([file] * len(rows), pa.string()), pa.array(range(nth, nth + len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.string()))]
     return pa.RecordBatch.from_arrays(columns, ["file", "nth", "cells"])
