@@ -171,7 +171,7 @@ def anchor_markout(spark: SparkSession, sf_dir: str) -> DataFrame:
         for c in ("fair", "spot"):
             known = known & F.coalesce(F.col(f"at_{i}.{c}") != 0, F.lit(False))
     rows = found.where(known).withColumns({
-        "w": F.col("price") * F.col("qty"), "edge": mk.gain_bps(F.col("at_0.fair")), "fill": mk.gain_bps(F.col("at_0.spot")),
+        "w": F.col("price") * F.col("qty"), "edge": F.round(mk.gain_bps(F.col("at_0.fair")), 9),  # exp and ln aren't exact to the last bit "fill": mk.gain_bps(F.col("at_0.spot")),
         "own": mk.gain_bps(F.col("at_1.spot")), "anchor": mk.gain_bps(F.col("at_1.fair")),
     })
     per = rows.withColumn("of", F.explode(F.array(F.col("coin"), F.lit("all")))).groupBy("of").agg(
@@ -182,7 +182,7 @@ def anchor_markout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["anchor_markout"] = f"""with {_T}, pr as (select coin, t_us, seq, price, qty, buyer_maker, o, t_us+o as p_us from fx_alt_trade, (values (-{PRE}),({HORIZON})) v(o), span
  where market='spot' and t_us+{HORIZON}<=end_us), {_FAIR},
-m as (select a.coin, a.price*a.qty as w, s*(a.fair/a.price-1)*1e4 as edge, s*(a.spot/a.price-1)*1e4 as fill, s*(b.spot/a.price-1)*1e4 as own, s*(b.fair/a.price-1)*1e4 as anchor
+m as (select a.coin, a.price*a.qty as w, round(s*(a.fair/a.price-1)*1e4,9) as edge, s*(a.spot/a.price-1)*1e4 as fill, s*(b.spot/a.price-1)*1e4 as own, s*(b.fair/a.price-1)*1e4 as anchor
  from (select *, case when buyer_maker then 1e0 else -1e0 end as s from at_) a join at_ b using (seq) where a.o=-{PRE} and b.o={HORIZON}
  and a.fair is not null and b.fair is not null and a.spot is not null and b.spot is not null),
 c as (select *, unnest([coin, 'all']) as of from m)
