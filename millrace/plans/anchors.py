@@ -170,8 +170,9 @@ def anchor_markout(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i in (0, 1):
         for c in ("fair", "spot"):
             known = known & F.coalesce(F.col(f"at_{i}.{c}") != 0, F.lit(False))
+    # exp and ln aren't exact to the last bit, so edges are compared with the thresholds at nine digits.
     rows = found.where(known).withColumns({
-        "w": F.col("price") * F.col("qty"), "edge": F.round(mk.gain_bps(F.col("at_0.fair")), 9),  # exp and ln aren't exact to the last bit "fill": mk.gain_bps(F.col("at_0.spot")),
+        "w": F.col("price") * F.col("qty"), "edge": F.round(mk.gain_bps(F.col("at_0.fair")), 9), "fill": mk.gain_bps(F.col("at_0.spot")),
         "own": mk.gain_bps(F.col("at_1.spot")), "anchor": mk.gain_bps(F.col("at_1.fair")),
     })
     per = rows.withColumn("of", F.explode(F.array(F.col("coin"), F.lit("all")))).groupBy("of").agg(
