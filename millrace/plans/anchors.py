@@ -178,7 +178,7 @@ def anchor_markout(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = rows.withColumn("of", F.explode(F.array(F.col("coin"), F.lit("all")))).groupBy("of").agg(
         F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), *mk.weighted(["fill", "own", "anchor"]), *mk.kept(F.col("edge"), KEPT, F.col("anchor"), F.col("w"))
     )
-    return per.select("of", "n", F.round("w", 2).alias("notional"), *(F.round(c, 6).alias(c) for c in ("fill", "own", "anchor")), *mk.kept_report(KEPT))
+    return per.select("of", "n", F.round("w", 5).alias("notional"), *(F.round(c, 6).alias(c) for c in ("fill", "own", "anchor")), *mk.kept_report(KEPT))
 
 
 ORACLE["anchor_markout"] = f"""with {_T}, pr as (select coin, t_us, seq, price, qty, buyer_maker, o, t_us+o as p_us from fx_alt_trade, (values (-{PRE}),({HORIZON})) v(o), span
@@ -187,7 +187,7 @@ m as (select a.coin, a.price*a.qty as w, round(s*(a.fair/a.price-1)*1e4,9) as ed
  from (select *, case when buyer_maker then 1e0 else -1e0 end as s from at_) a join at_ b using (seq) where a.o=-{PRE} and b.o={HORIZON}
  and a.fair is not null and b.fair is not null and a.spot is not null and b.spot is not null),
 c as (select *, unnest([coin, 'all']) as of from m)
-select of, count(*) as n, round(sum(w),2) as notional, {", ".join(f"round(sum({c}*w)/sum(w),6) as {c}" for c in ("fill", "own", "anchor"))},
+select of, count(*) as n, round(sum(w),5) as notional, {", ".join(f"round(sum({c}*w)/sum(w),6) as {c}" for c in ("fill", "own", "anchor"))},
  {", ".join(f"round(sum(case when edge>={n} then w else 0 end)/sum(w),6) as share_{n:g}, round(sum(anchor*w) filter (edge>={n})/nullif(sum(w) filter (edge>={n}),0),6) as pnl_{n:g}" for n in KEPT)}
  from c group by of"""
 
@@ -198,12 +198,12 @@ def anchor_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = trades.groupBy("coin").agg(
         F.count_if(F.col("market") == "spot").alias("fills"), *(F.sum(F.when(F.col("market") == m, usd)).alias(m) for m in ("spot", "perp"))
     )
-    return rows.select("coin", "fills", F.round("spot", 2).alias("spot"), F.round("perp", 2).alias("perp"), F.round(F.try_divide("perp", "spot"), 6).alias("ratio"))
+    return rows.select("coin", "fills", F.round("spot", 5).alias("spot"), F.round("perp", 5).alias("perp"), F.round(F.try_divide("perp", "spot"), 6).alias("ratio"))
 
 
 ORACLE["anchor_volume"] = f"""with {duck_ctes("fx_alt_trade")},
 v as (select coin, count(*) filter (market='spot') as fills, sum(price*qty) filter (market='spot') as spot, sum(price*qty) filter (market='perp') as perp from fx_alt_trade group by 1)
-select coin, fills, round(spot,2) as spot, round(perp,2) as perp, round(perp/spot,6) as ratio from v"""
+select coin, fills, round(spot,5) as spot, round(perp,5) as perp, round(perp/spot,6) as ratio from v"""
 
 
 @query
