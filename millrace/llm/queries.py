@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import byte_bpe, chat_format, fingerprints, language_id, mixing, near_dup, sharding, token_counts, top_k, url_filter
+from millrace.llm import alignment, byte_bpe, chat_format, fingerprints, language_id, mixing, near_dup, sharding, token_counts, top_k, url_filter
 
 QUERIES = {
     "op1_pivot_search": top_k.op1_pivot_search,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_boosted_trees": url_filter.op8_boosted_trees,
     "op9_raked_mix": mixing.op9_raked_mix,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
+    "op11_token_alignment": alignment.op11_token_alignment,
 }
 
 ORACLE = {
