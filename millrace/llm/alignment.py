@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import small_batches, stored
+from millrace.llm.common import dropped, small_batches, stored
 
 #: Visible characters in any version of Unicode, and not U+2581: next to such a space both tokenizers cut.
 _VISIBLE = r"[!-~\u00A1-\u1679\u1681-\u180D\u180F-\u1FFF\u2C00-\u2FFF\u3001-\uD7FF]"
@@ -193,12 +193,12 @@ def pair_counts(grouped: DataFrame) -> DataFrame:
 
 
 def summed(grouped: DataFrame, pairs: DataFrame) -> DataFrame:
-    """key, n_a, n_b, n_groups, n_links, n_best, count_sum, ids of each text that has tokens."""
+    """key, whole, n_a, n_b, n_groups, n_links, n_best, count_sum, ids of each text (zeros where it isn't whole)."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    own = ["key", "n_a", "n_b", "ids"]
-    links = grouped.select(*own, F.explode("links").alias("l")).select(*own, "l.*")
+    own = ["key", "whole", "n_a", "n_b", "ids"]
+    links = grouped.select(*own, "links").repartition("key").select(*own, F.explode_outer("links").alias("l")).select(*own, "l.*")
     return links.join(pairs, ["a", "b"], "left").groupBy(*own).agg(
-        F.count("*").alias("n_groups"), F.count("*").alias("n_links"), total(F.col("best").cast("int")).alias("n_best"), total("pair_n").alias("count_sum")
+        F.count("a").alias("n_groups"), F.count("a").alias("n_links"), total(F.col("best").cast("int")).alias("n_best"), total("pair_n").alias("count_sum")
     )
 
 
@@ -280,18 +280,18 @@ def _lost(docs: DataFrame, units: DataFrame, bad: DataFrame) -> DataFrame:
 
 
 def aligned_units(docs: DataFrame, units: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """The alignment of every distinct unit of coded documents, with counts over all of them: key, whole and the
-    columns of summed(), which are null where a unit isn't whole."""
+    """The alignment of every distinct unit of coded documents, with counts over all of them: columns of summed()."""
     found = units.groupBy("unit").agg(F.sum("n").alias("n")).select(key_of(F.col("unit")).alias("key"), F.col("unit").alias("text"), "n")
-    tokens = stored(tokenized(found, a_path, b_path), "tokens")
+    tokens = stored(tokenized(found, a_path, b_path), "tokens", True, "zstd")
     bad, weighted = tokens.where("not whole").select("key"), tokens.where("whole")
     if not bad.isEmpty():
         left = weighted.join(_lost(docs, units, bad), "key", "left")
         weighted = left.select("key", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n"), "a", "b")
-    grouped = stored(groups(weighted.select("key", "n", "a", "b"), *lengths(docs.sparkSession, a_path, b_path)), "groups")
+    good = groups(weighted.select("key", "n", "a", "b"), *lengths(docs.sparkSession, a_path, b_path)).withColumn("whole", F.lit(True))
+    grouped = stored(good.unionByName(bad.withColumn("whole", F.lit(False)), True), "groups", codec="zstd")
+    dropped(docs.sparkSession, tokens)
     pairs = stored(pair_counts(grouped), "pairs")
-    small = pairs.count() <= PAIRS_BROADCAST
-    return summed(grouped, F.broadcast(pairs) if small else pairs).withColumn("whole", F.lit(True)).unionByName(bad.withColumn("whole", F.lit(False)), True)
+    return summed(grouped, F.broadcast(pairs) if pairs.count() <= PAIRS_BROADCAST else pairs)
 
 
 _NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -320,10 +320,10 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each row of docs."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
-    both = stored(coded(source.where("text <> ''")), "coded")
+    both = stored(coded(source.where("text <> ''")), "coded", codec="zstd")
     texts = both.where("codes is not null").select("chunk", "doc_id", "codes")
     units = both.where("codes is null").select("chunk", "code", "unit", "n")
-    known = stored(aligned_units(texts, units, a_path, b_path), "units")
+    known = aligned_units(texts, units, a_path, b_path)
     wanted = units.select(F.col("chunk").alias("of"), "code", key_of(F.col("unit")).alias("key")).join(known, "key").drop("key")
     result = f"doc_id {id_type}, " + "".join(f"{c} bigint, " for c in _NUMBERS) + "groups_sha256 string"
     full = texts.groupBy("chunk").cogroup(wanted.groupBy("of")).applyInArrow(_put_together, result)

@@ -27,12 +27,12 @@ def small_batches(spark: SparkSession) -> None:
 _open_scopes: list[list[str]] = []
 
 
-def stored(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
+def stored(df: DataFrame, what: str, keep: bool = False, codec: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: its lineage ends there, and lost executors don't matter.
-    Inside scratch() the table goes with it, unless keep is set."""
+    Inside scratch() the table goes with it, unless keep is set. codec: of the Parquet files, else the session's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     if _open_scopes and not keep:
         _open_scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

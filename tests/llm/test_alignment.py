@@ -31,10 +31,14 @@ def plain(texts, both):
                 found[at] = i
             ends.append(found)
         cuts = sorted(set(ends[0]) & set(ends[1]))
-        parts, last = [], 0
+        parts = []
+        left = [sorted(side.items(), reverse=True) for side in ends]
         for cut in cuts:
-            parts.append("|".join(",".join(str(i) for end, i in side.items() if last < end <= cut) for side in ends))
-            last = cut
+            now = [[], []]
+            for k in (0, 1):
+                while left[k] and left[k][-1][0] <= cut:
+                    now[k].append(str(left[k].pop()[1]))
+            parts.append("|".join(map(",".join, now)))
         links = [(ends[0][c], ends[1][c]) for c in cuts]
         linked.update(links)
         rows.append((len(a), len(b), links, ";".join(parts)))
