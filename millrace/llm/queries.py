@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import alignment, byte_bpe, chat_format, fingerprints, language_id, mixing, near_dup, sharding, token_counts, top_k, url_filter
+from millrace.llm import alignment, byte_bpe, chat_format, decontamination, fingerprints, language_id, mixing, near_dup, sharding, token_counts, top_k, url_filter
 
 QUERIES = {
     "op1_pivot_search": top_k.op1_pivot_search,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_raked_mix": mixing.op9_raked_mix,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     "op11_token_alignment": alignment.op11_token_alignment,
+    "op12_wu_manber": decontamination.op12_wu_manber,
 }
 
 ORACLE = {
@@ -23,4 +24,5 @@ ORACLE = {
     "op2_virtual_slots": sharding.ORACLE,
     "op3_tool_calls": chat_format.ORACLE,
     "op9_raked_mix": mixing.ORACLE,
+    "op12_wu_manber": decontamination.ORACLE,
 }
