@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import alignment, byte_bpe, chat_format, decontamination, fingerprints, language_id, mixing, near_dup, sharding, token_counts, top_k, url_filter
+from millrace.llm import alignment, byte_bpe, chat_format, decontamination, fingerprints, language_id, mixing, near_dup, periodicity, sharding, token_counts, top_k, url_filter
 
 QUERIES = {
     "op1_pivot_search": top_k.op1_pivot_search,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     "op11_token_alignment": alignment.op11_token_alignment,
     "op12_wu_manber": decontamination.op12_wu_manber,
+    "op13_bit_parallel_lags": periodicity.op13_bit_parallel_lags,
 }
 
 ORACLE = {
