@@ -48,7 +48,7 @@ def episodes(rows: DataFrame, keys: list[str]) -> DataFrame:
     order, inside = F.struct("t_us", "seq"), F.col("_flag")
     w = Window.partitionBy(*keys, "_seg").orderBy("t_us", "seq")
     was = F.coalesce(F.lag("_flag").over(w), F.lit(False))
-    marked = rows.withColumn("_flag", F.col("net") > 0).withColumn("_was", was)
+    marked = rows.withColumn("_flag", F.coalesce(F.col("net") > 0, F.lit(False))).withColumn("_was", was)
     marked = marked.withColumn("_part", F.last(F.when(inside & ~F.col("_was"), F.col("seq")), True).over(w))
     marked = marked.withColumn("_part", F.when(inside | F.col("_was"), F.col("_part")))
     peak = F.struct(F.col("net"), -F.col("t_us"), -F.col("seq"))

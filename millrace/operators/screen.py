@@ -61,9 +61,13 @@ class Scores:
 
     def __init__(self, books: np.ndarray):
         bid, ask, bid_qty, ask_qty = (books[:, :, k] for k in range(4))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            logs = np.concatenate([np.log(bid), np.log(1e0 / ask)], axis=1)
-            self.edges = logs @ _cycles()[0].T
+        prices = np.concatenate([bid, ask], axis=1)
+        quoted = prices > 0
+        rates = np.where(quoted, prices, 1e0)
+        rates[:, bid.shape[1] :] = 1e0 / rates[:, bid.shape[1] :]
+        self.edges = np.log(rates) @ _cycles()[0].T
+        if not quoted.all():  # only cycles over such a side have no edge
+            self.edges[(~quoted).astype(float) @ _cycles()[0].T > 0] = np.nan
         mid = (bid + ask) / 2
         names = list(SYMBOLS)
         price = {a: mid[:, names.index(a + "USDT")] for a in {x for pair in SYMBOLS.values() for x in pair} - {"USDT"}}
@@ -142,7 +146,9 @@ def scored(quotes: DataFrame, segment: int = DAY) -> DataFrame:
         out = []
         for n in LENGTHS:
             cycle, edge = scores.best(n)
-            out += [pa.array(edge[1:]), pa.array(cycle[1:].astype(np.int32)), pa.array(scores.capacities(cycle)[1:])]
+            none = np.isneginf(edge[1:])
+            found = edge[1:], cycle[1:].astype(np.int32), scores.capacities(cycle)[1:]
+            out += [pa.array(x, mask=none) for x in found]
         return pa.RecordBatch.from_arrays([rows.column(k) for k in (0, 2, 3, 4)] + out, ["_seg", "t_us", "seq", "symbol", *columns])
 
     kinds = ", ".join(f"e_{n} double, c_{n} int, k_{n} double" for n in LENGTHS)
@@ -162,7 +168,7 @@ def every_cycle(quotes: DataFrame, what: str = "edges", segment: int = DAY) -> D
             for k in range(1, legs.shape[1]):
                 values = np.minimum(values, scores.sizes[1:, legs[:, k]])
         offsets = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(values).ravel()))
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(values).ravel(), from_pandas=True))
         return pa.RecordBatch.from_arrays([rows.column(3), rows.column(2), rows.column(4), lists], ["seq", "t_us", "symbol", what])
 
     return folded(dealt(quotes, segment), f"seq bigint, t_us bigint, symbol string, {what} array<double>", emit)
@@ -178,7 +184,7 @@ def time_shares(quotes: DataFrame, hurdles: list[float], near: float, segment: i
         with np.errstate(invalid="ignore"):
             above, close = since @ (was > 0), since @ (was - costs > -near)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(costs), dtype=np.int32)), pa.array(above), pa.array(close), pa.array(np.nanmax(now, axis=0))],
+            [pa.array(np.arange(len(costs), dtype=np.int32)), pa.array(above), pa.array(close), pa.array(np.fmax.reduce(now, axis=0), from_pandas=True)],
             ["cycle_id", "above_us", "near_us", "max_edge"],
         )
 
