@@ -483,10 +483,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     row = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")
     first = found.where("label is not null").groupBy("label").agg(F.min(row).alias("row")).select("row.doc_id", "row.key")
     alone = found.where("label is null").select("doc_id", "key").distinct()
-    kept = stored(first.unionByName(alone), "kept")
-    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
-    same = docs["doc_id"].eqNullSafe(F.col("kept_id")) & (F.xxhash64(docs["text"]) == F.col("kept_key"))
-    one = docs.join(kept, same).dropDuplicates(["kept_id", "kept_key"])
+    own = "_kept"
+    while own in map(str.lower, docs.columns):
+        own += "_"
+    kept = stored(first.unionByName(alone), "kept").select(F.struct("doc_id", "key").alias(own))
+    same = docs["doc_id"].eqNullSafe(F.col(f"{own}.doc_id")) & (F.xxhash64(docs["text"]) == F.col(f"{own}.key"))
+    one = docs.join(kept, same).dropDuplicates([own])
     return one.select(*(docs[f"`{c}`"] for c in docs.columns))
 
 
