@@ -203,17 +203,20 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def sample_rows(labelled: DataFrame, per_language: int = SAMPLE) -> DataFrame:
-    """At most per_language rows of each language, by a hash of the id; columns doc_id, text, lang."""
-    sizes = labelled.groupBy("lang").count().collect()
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    """At most per_language different rows of each language, by a hash of id and text; columns text, lang, calibrate."""
+    row = ("lang", "doc_id", F.xxhash64("text").alias("digest"))
+    sizes = labelled.select(*row).distinct().groupBy("lang").count().collect()
+    spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
     share = F.lit(0)
     for r in sizes:
         if r["lang"] is not None:
             most = (1 << 30) if r["count"] <= per_language else int((1 << 30) * per_language / r["count"])
             share = F.when(F.col("lang") == r["lang"], most).otherwise(share)
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(spread, "doc_id", F.xxhash64("text")))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("spread", "doc_id", "digest"))
     return (
         labelled.where(spread < share)
+        .select(*row, "text", spread.alias("spread"))
+        .dropDuplicates(["lang", "doc_id", "digest"])
         .withColumn("nth", nth)
         .where(F.col("nth") <= per_language)
         .select("text", "lang", (F.col("nth") % CALIBRATE == 0).alias("calibrate"))

@@ -143,3 +143,11 @@ def test_long_documents_of_a_rare_language_stay(spark, labelled):
     names, _, good = model.judge([wide(400 + 20 * i, 500 + i) for i in range(12)])
     assert set(names) == {"rare"} and good.all()
     assert not model.judge(["漢字かな交じり文" * 200])[2].any()
+
+
+def test_one_id_for_a_whole_language_neither_loses_nor_gathers_it(spark):
+    rows = [(7, f"english words number {i}", "en") for i in range(400)] + [(i, f"mots et phrases {i}", "fr") for i in range(400)]
+    rows += [(8, "same row", "de")] * 300 + [(9, "another", "de")]
+    got = li.sample_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 100).collect()
+    count = lambda lang: sum(r.lang == lang for r in got)
+    assert 60 <= count("en") <= 100 and 60 <= count("fr") <= 100 and count("de") == 2
