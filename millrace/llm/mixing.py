@@ -58,9 +58,10 @@ def topic(text: Column) -> Column:
     return out
 
 
-def uniform(record_id: Column, seed: str = "mix") -> Column:
-    """A number in [0, 1) from a hash of the id."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(record_id.cast("string"), F.lit(""))))
+def uniform(record_id: Column, text: Column, seed: str = "mix") -> Column:
+    """A number in [0, 1) from a hash of the id and the text: only rows that repeat both share it."""
+    own = F.md5(F.coalesce(text, F.lit("")))
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(record_id.cast("string"), F.lit("")), F.lit(":"), own))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
@@ -196,7 +197,7 @@ def calibrated(docs: DataFrame, targets: dict[str, Power | dict[str, float]], ro
     """doc_id, source, lang, topic, n_tokens, probability and kept of each document."""
     frame = described(docs.select("doc_id", "text", "lang", "source")).drop("text")
     return _with_probability(frame, frame, targets, rounds).withColumn(
-        "kept", uniform(F.col("doc_id")) < F.coalesce("probability", F.lit(0.0))
+        "kept", uniform(F.col("doc_id"), F.col("text")) < F.coalesce("probability", F.lit(0.0))
     )
 
 
@@ -205,7 +206,7 @@ def sampled(docs: DataFrame, targets: dict[str, Power | dict[str, float]]) -> Da
     names = list(docs.columns)
     whole = docs.withColumn("whole", F.struct(*(F.col(f"`{n}`") for n in names)))
     frame = described(whole.select("doc_id", "text", "lang", "source", "whole"))
-    kept = uniform(F.col("doc_id")) < F.coalesce("probability", F.lit(0.0))
+    kept = uniform(F.col("doc_id"), F.col("text")) < F.coalesce("probability", F.lit(0.0))
     return _with_probability(frame, frame.drop("whole"), targets).where(kept).select("whole.*")
 
 
@@ -240,7 +241,7 @@ def _oracle() -> str:
     return f"""
 with recursive doc as (
   select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang, {_topic_sql()} as topic,
-    coalesce(length(text) - length(replace(text, ' ', '')) + 1, 1)::bigint as n_tokens from documents),
+    coalesce(length(text) - length(replace(text, ' ', '')) + 1, 1)::bigint as n_tokens, md5(coalesce(text, '')) as own from documents),
 cell as (select source, lang, topic, sum(n_tokens)::double as a from doc group by all),
 goal as (select *, {wish} from cell),
 ipf as (
@@ -255,7 +256,7 @@ open_cells as (
 factor as (select coalesce(min_by(c, nth) filter (c * r <= 1), 1 / min(r)) as c from open_cells),
 prob as (select source, lang, topic, least(1e0, r * (select c from factor)) as probability from ratio)
 select doc_id, d.source, d.lang, d.topic, n_tokens, round(probability, 9) as probability,
-  ('0x' || left(md5('mix' || coalesce(doc_id::varchar, '')), 8))::bigint / 4294967296e0 < probability as kept
+  ('0x' || left(md5('mix' || coalesce(doc_id::varchar, '') || ':' || own), 8))::bigint / 4294967296e0 < probability as kept
 from doc d join prob p on d.source = p.source and d.lang = p.lang and d.topic = p.topic
 """
 

@@ -112,3 +112,8 @@ def test_very_long_text_and_clashing_columns(spark):
     got = mixing.calibrated(table, mixing.TARGETS).collect()
     assert sorted(r.n_tokens for r in got) == [1, 1, 400_001]
     assert mixing.sampled(table, mixing.TARGETS).columns == table.columns
+
+
+def test_documents_without_id_are_drawn_each(spark):
+    docs = spark.createDataFrame([(None, f"text number {i}", "en", "web") for i in range(2000)], "doc_id long, text string, lang string, source string")
+    assert 800 < mixing.sampled(docs, mixing.TARGETS).count() < 1200
