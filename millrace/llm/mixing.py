@@ -195,19 +195,20 @@ def _with_probability(frame: DataFrame, described_docs: DataFrame, targets: dict
 
 def calibrated(docs: DataFrame, targets: dict[str, Power | dict[str, float]], rounds: int = ROUNDS) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, probability and kept of each document."""
-    frame = described(docs.select("doc_id", "text", "lang", "source")).drop("text")
-    return _with_probability(frame, frame, targets, rounds).withColumn(
-        "kept", uniform(F.col("doc_id"), F.col("text")) < F.coalesce("probability", F.lit(0.0))
-    )
+    drawn = docs.select("doc_id", "text", "lang", "source", uniform(F.col("doc_id"), F.col("text")).alias("drawn"))
+    frame = described(drawn).drop("text")
+    kept = F.col("drawn") < F.coalesce("probability", F.lit(0.0))
+    return _with_probability(frame, frame.drop("drawn"), targets, rounds).withColumn("kept", kept).drop("drawn")
 
 
 def sampled(docs: DataFrame, targets: dict[str, Power | dict[str, float]]) -> DataFrame:
     """The sample's documents with their own columns alone."""
     names = list(docs.columns)
     whole = docs.withColumn("whole", F.struct(*(F.col(f"`{n}`") for n in names)))
-    frame = described(whole.select("doc_id", "text", "lang", "source", "whole"))
-    kept = uniform(F.col("doc_id"), F.col("text")) < F.coalesce("probability", F.lit(0.0))
-    return _with_probability(frame, frame.drop("whole"), targets).where(kept).select("whole.*")
+    drawn = uniform(F.col("doc_id"), F.col("text")).alias("drawn")
+    frame = described(whole.select("doc_id", "text", "lang", "source", "whole", drawn)).drop("text")
+    kept = F.col("drawn") < F.coalesce("probability", F.lit(0.0))
+    return _with_probability(frame, frame.drop("whole", "drawn"), targets).where(kept).select("whole.*")
 
 
 # ---- query ----

@@ -160,6 +160,6 @@ def test_rows_without_an_id_are_linked(spark):
 def test_clashing_columns_are_kept(spark):
     rows = [(1, "one two three four five six", "a", 1, 2), (2, "one two three four five six", "b", 3, 4), (None, None, "c", 5, 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept_id string, kept_key int, _kept int")
-    got = near_dup.deduplicated(docs)
+    got = nd.deduplicated(docs)
     assert got.columns == docs.columns
     assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[2]], key=str)
