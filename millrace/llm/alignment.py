@@ -27,11 +27,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import dropped, small_batches, stored
+from millrace.llm.common import dropped, released, small_batches, stored
 
 #: Visible characters in any version of Unicode, and not U+2581: next to such a space both tokenizers cut.
 _VISIBLE = r"[!-~\u00A1-\u1679\u1681-\u180D\u180F-\u1FFF\u2C00-\u2FFF\u3001-\uD7FF]"
@@ -193,12 +194,11 @@ def pair_counts(grouped: DataFrame) -> DataFrame:
 
 
 def summed(grouped: DataFrame, pairs: DataFrame) -> DataFrame:
-    """key, whole, n_a, n_b, n_groups, n_links, n_best, count_sum, ids of each text (zeros where it isn't whole)."""
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    own = ["key", "whole", "n_a", "n_b", "ids"]
+    """key, n_a, n_best, count_sum, ids of each text, dealt by key; n_a and ids are null where it has no tokens."""
+    own = ["key", "n_a", "ids"]
     links = grouped.select(*own, "links").repartition("key").select(*own, F.explode_outer("links").alias("l")).select(*own, "l.*")
     return links.join(pairs, ["a", "b"], "left").groupBy(*own).agg(
-        F.count("a").alias("n_groups"), F.count("a").alias("n_links"), total(F.col("best").cast("int")).alias("n_best"), total("pair_n").alias("count_sum")
+        F.sum(F.col("best").cast("int")).cast("int").alias("n_best"), F.sum("pair_n").alias("count_sum")
     )
 
 
@@ -216,9 +216,19 @@ def key_of(unit: Column) -> Column:
     return F.when(F.octet_length(unit) <= 40, unit).otherwise(F.sha2(unit, 256))
 
 
+def packed(codes: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, first bytes first, compressed."""
+    return zstandard.compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked(codes: bytes) -> np.ndarray:
+    data = np.frombuffer(zstandard.decompress(codes), np.uint8)
+    return np.ascontiguousarray(data.reshape(4, -1).T).view("<u4")[:, 0]
+
+
 def coded(docs: DataFrame) -> DataFrame:
     """Chunks of documents (doc_id, text, not null or empty) as numbers of their units: rows of documents have chunk,
-    doc_id and codes (binary, unsigned 32-bit numbers of its units), rows of units have chunk, code, unit and n."""
+    doc_id and codes (the packed numbers of its units), rows of units have chunk, code, unit and n."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +257,7 @@ def coded(docs: DataFrame) -> DataFrame:
             found = np.bincount(np.concatenate(codes), minlength=len(code)) if codes else np.zeros(0, np.int64)
             found[: len(seen)] += seen
             seen = found
-            yield rows(batch.column(0), [x.tobytes() for x in codes], [], seen)
+            yield rows(batch.column(0), [packed(x) for x in codes], [], seen)
             if size >= CHUNK_CHARS:
                 yield rows(None, None, list(code), seen)
                 chunk, seen, size = chunk + 1, np.zeros(0, np.int64), 0
@@ -270,7 +280,7 @@ def _lost(docs: DataFrame, units: DataFrame, bad: DataFrame) -> DataFrame:
 
     def count(docs: pa.Table, marks: pa.Table) -> pa.Table:
         wrong = np.unique(marks.column("code").to_numpy())
-        hit = [x for x in (np.frombuffer(c.as_py(), np.uint32) for c in docs.column("codes")) if np.isin(x, wrong).any()]
+        hit = [x for x in (unpacked(c.as_py()) for c in docs.column("codes")) if np.isin(x, wrong).any()]
         code, n = np.unique(np.concatenate(hit), return_counts=True)
         return pa.table({"of": pa.array(np.full(len(code), marks.column("of")[0].as_py())), "code": pa.array(code.astype(np.int32)), "lost": pa.array(n)})
 
@@ -281,16 +291,25 @@ def _lost(docs: DataFrame, units: DataFrame, bad: DataFrame) -> DataFrame:
 
 def aligned_units(docs: DataFrame, units: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """The alignment of every distinct unit of coded documents, with counts over all of them: columns of summed()."""
-    found = units.groupBy("unit").agg(F.sum("n").alias("n")).select(key_of(F.col("unit")).alias("key"), F.col("unit").alias("text"), "n")
-    tokens = stored(tokenized(found, a_path, b_path), "tokens", True, "zstd")
-    bad, weighted = tokens.where("not whole").select("key"), tokens.where("whole")
-    if not bad.isEmpty():
-        left = weighted.join(_lost(docs, units, bad), "key", "left")
-        weighted = left.select("key", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n"), "a", "b")
-    good = groups(weighted.select("key", "n", "a", "b"), *lengths(docs.sparkSession, a_path, b_path)).withColumn("whole", F.lit(True))
-    grouped = stored(good.unionByName(bad.withColumn("whole", F.lit(False)), True), "groups", codec="zstd")
-    dropped(docs.sparkSession, tokens)
+    spark = docs.sparkSession
+
+    def encoded() -> DataFrame:
+        found = units.groupBy("unit").agg(F.sum("n").alias("n"))
+        return stored(tokenized(found.select(key_of(F.col("unit")).alias("key"), F.col("unit").alias("text"), "n"), a_path, b_path), "tokens", True, "zstd")
+
+    def by_text(tokens: DataFrame) -> DataFrame:
+        bad, weighted = tokens.where("not whole").select("key"), tokens.where("whole")
+        if not bad.isEmpty():
+            left = weighted.join(_lost(docs, units, bad), "key", "left")
+            weighted = left.select("key", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n"), "a", "b")
+        good = groups(weighted.select("key", "n", "a", "b"), *lengths(spark, a_path, b_path))
+        return stored(good.unionByName(bad, True), "groups", codec="zstd")
+
+    tokens = encoded()
+    grouped = by_text(tokens)
+    dropped(spark, tokens)
     pairs = stored(pair_counts(grouped), "pairs")
+    released(spark)
     return summed(grouped, F.broadcast(pairs) if pairs.count() <= PAIRS_BROADCAST else pairs)
 
 
@@ -301,12 +320,18 @@ def _put_together(docs: pa.Table, known: pa.Table) -> pa.Table:
     """The documents of a chunk from its units' alignments."""
     place = np.empty(known.num_rows, np.int64)
     place[known.column("code").to_numpy()] = np.arange(known.num_rows)
-    take = lambda c: known.column(c).take(pa.array(place))
-    whole, ids = take("whole").to_numpy(), take("ids").to_pylist()
-    numbers = np.stack([take(c).fill_null(0).to_numpy() for c in _NUMBERS], axis=1)
+    take = lambda c: known.column(c).combine_chunks().take(pa.array(place))
+    number = lambda column: column.cast(pa.int64()).fill_null(0).to_numpy()
+    ids = take("ids")
+    # Each group ends with a token of A and one of B, so both its parts have one more token than commas.
+    n_groups = number(pc.add(pc.count_substring(ids, ";"), 1))
+    n_a, n_best, count_sum = (number(take(c)) for c in ("n_a", "n_best", "count_sum"))
+    n_b = number(pc.count_substring(ids, ",")) + 2 * n_groups - n_a
+    numbers = np.stack([n_a, n_b, n_groups, n_groups, n_best, count_sum], axis=1)
+    whole, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.to_pylist()
     sums, digests = np.zeros((docs.num_rows, len(_NUMBERS)), np.int64), []
-    for i, codes in enumerate(docs.column("codes")):
-        at = np.frombuffer(codes.as_py(), np.uint32)
+    for i, packed in enumerate(docs.column("codes")):
+        at = unpacked(packed.as_py())
         if not whole[at].all():
             digests.append("")
             continue
@@ -323,6 +348,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     both = stored(coded(source.where("text <> ''")), "coded", codec="zstd")
     texts = both.where("codes is not null").select("chunk", "doc_id", "codes")
     units = both.where("codes is null").select("chunk", "code", "unit", "n")
+    released(docs.sparkSession)
     known = aligned_units(texts, units, a_path, b_path)
     wanted = units.select(F.col("chunk").alias("of"), "code", key_of(F.col("unit")).alias("key")).join(known, "key").drop("key")
     result = f"doc_id {id_type}, " + "".join(f"{c} bigint, " for c in _NUMBERS) + "groups_sha256 string"

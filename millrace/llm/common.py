@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -54,6 +55,12 @@ def _delete(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of jobs whose results are written and that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def dropped(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the files of a table that stored() wrote."""
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
