@@ -74,6 +74,16 @@ select seq, t_us, event_type, t_us + seq*7919%50000 as now_us, case when seq%2=0
  concat('0x000000000000000000000000', substring(concat(md5(cast(seq as string)), md5(cast(seq+1 as string))), 1, 40)) as slot0,
  concat('0x', md5(concat('base',cast(idx as string)))) as base_address, concat('0x', md5(concat('quote',cast(seq%7 as string)))) as quote_address
 from {fx_tick}""",
+    "fx_diff": """
+select seq, t_us, symbol, px, k, n%31=0 as snapshot, case when n%31=0 then null else 3*n+1-n%2 end as first_id, 3*n+3 as last_id, n
+from (select seq, t_us, symbol, k, base, quote, row_number() over (partition by symbol order by seq) - 1 as n from {fx_tick} where event_type<>'purchase') t
+join (select symbol as of, px from {fx_symbol}) s on s.of=t.symbol
+where n%23<>11""",
+    "fx_diff_level": """
+select seq, s.bid, d.px*(1e0+(case when s.bid then -1e0 else 1e0 end)*cast(1+l.lvl as double)*1e-4) as px,
+ case when d.snapshot then cast(1+(d.n+l.lvl)%10 as double) when (d.n+l.lvl*3+d.k)%4=0 then 0e0 else cast(1+(d.k+l.lvl*7)%50 as double) end as qty
+from {fx_diff} d cross join (values (0),(1),(2),(3),(4),(5),(6),(7),(8),(9),(10)) as l(lvl) cross join (values (true),(false)) as s(bid)
+where (d.snapshot and l.lvl<8) or (not d.snapshot and (l.lvl=(d.k+case when s.bid then 0 else 5 end)%11 or l.lvl=(d.n*5+d.k)%11))""",
 }
 SPARK_US = "unix_micros(cast(ts as timestamp))"
 DUCK_US = "epoch_us(ts)"
