@@ -42,6 +42,8 @@ BETWEEN = rf" (?<={_VISIBLE} )(?={_VISIBLE})"
 CHUNK_CHARS = 16 << 20
 #: Linked pairs are broadcast to the links up to so many rows of 17 bytes, and joined by shuffles beyond.
 PAIRS_BROADCAST = 1_000_000
+#: Units at most whose alignments are broadcast; of each 40 bytes at most, so that their rows have a few hundred bytes.
+FREQUENT = 1 << 18
 
 
 # ---- the two vocabularies ----
@@ -194,8 +196,8 @@ def pair_counts(grouped: DataFrame) -> DataFrame:
 
 
 def summed(grouped: DataFrame, pairs: DataFrame) -> DataFrame:
-    """key, n_a, n_best, count_sum, ids of each text, dealt by key; n_a and ids are null where it has no tokens."""
-    own = ["key", "n_a", "ids"]
+    """key, n, n_a, n_best, count_sum, ids of each text; all but key are null where it has no tokens."""
+    own = ["key", "n", "n_a", "ids"]
     links = grouped.select(*own, "links").repartition("key").select(*own, F.explode_outer("links").alias("l")).select(*own, "l.*")
     return links.join(pairs, ["a", "b"], "left").groupBy(*own).agg(
         F.sum(F.col("best").cast("int")).cast("int").alias("n_best"), F.sum("pair_n").alias("count_sum")
@@ -310,14 +312,38 @@ def aligned_units(docs: DataFrame, units: DataFrame, a_path: str, b_path: str) -
     dropped(spark, tokens)
     pairs = stored(pair_counts(grouped), "pairs")
     released(spark)
-    return summed(grouped, F.broadcast(pairs) if pairs.count() <= PAIRS_BROADCAST else pairs)
-
-
+    known = stored(summed(grouped, F.broadcast(pairs) if pairs.count() <= PAIRS_BROADCAST else pairs), "known", codec="zstd")
+    for df in (grouped, pairs):
+        dropped(spark, df)
+    return known
+
+
+def frequent(known: DataFrame) -> DataFrame:
+    """The rows of the most frequent short units, FREQUENT at most: all that occur a certain number of times."""
+    short = known.where((F.octet_length("key") <= 40) & (F.col("n") > 0))
+    step = F.floor(F.log2("n") * 16).cast("int")
+    sizes = sorted(short.groupBy(step.alias("step")).count().collect(), reverse=True)  # a few hundred rows
+    limit, total = None, 0
+    for row in sizes:
+        total += row["count"]
+        if total > FREQUENT:
+            break
+        limit = row["step"]
+    return short.where(step >= limit) if limit is not None else short.limit(0)
+
+
+_KNOWN = ("n_a", "n_best", "count_sum", "ids")
 _NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def _put_together(docs: pa.Table, known: pa.Table) -> pa.Table:
-    """The documents of a chunk from its units' alignments."""
+def _put_together(docs: pa.Table, known: pa.Table, hot: pa.Table) -> pa.Table:
+    """The documents of a chunk from its units' alignments; a frequent unit's is the row of hot with its place."""
+    at_hot = known.column("place")
+    common, rare = known.filter(at_hot.is_valid()), known.filter(at_hot.is_null())
+    known = pa.concat_tables(
+        [t.select(["code", *_KNOWN]) for t in (rare, hot.take(common.column("place")).append_column("code", common.column("code")))],
+        promote_options="permissive",
+    )
     place = np.empty(known.num_rows, np.int64)
     place[known.column("code").to_numpy()] = np.arange(known.num_rows)
     take = lambda c: known.column(c).combine_chunks().take(pa.array(place))
@@ -350,9 +376,16 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     units = both.where("codes is null").select("chunk", "code", "unit", "n")
     released(docs.sparkSession)
     known = aligned_units(texts, units, a_path, b_path)
-    wanted = units.select(F.col("chunk").alias("of"), "code", key_of(F.col("unit")).alias("key")).join(known, "key").drop("key")
+    released(docs.sparkSession)
+    hot = frequent(known).select("key", *_KNOWN).toArrow()
+    places = pa.table({"key": hot.column("key"), "place": pa.array(range(hot.num_rows), pa.int32())})
+    shared = docs.sparkSession.sparkContext.broadcast(hot.drop_columns(["key"]))
+    named = units.select(F.col("chunk").alias("of"), "code", key_of(F.col("unit")).alias("key"))
+    named = named.join(F.broadcast(docs.sparkSession.createDataFrame(places)), "key", "left")
+    rare = named.where("place is null").join(known.select("key", *_KNOWN), "key").drop("key")
+    wanted = rare.unionByName(named.where("place is not null").drop("key"), True)
     result = f"doc_id {id_type}, " + "".join(f"{c} bigint, " for c in _NUMBERS) + "groups_sha256 string"
-    full = texts.groupBy("chunk").cogroup(wanted.groupBy("of")).applyInArrow(_put_together, result)
+    full = texts.groupBy("chunk").cogroup(wanted.groupBy("of")).applyInArrow(lambda texts, known: _put_together(texts, known, shared.value), result)
     zeros = [F.lit(0).cast("long").alias(c) for c in _NUMBERS]
     return full.unionByName(source.where("text is null or text = ''").select("doc_id", *zeros, F.lit("").alias("groups_sha256")))
 

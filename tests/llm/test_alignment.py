@@ -104,3 +104,10 @@ def test_query_equals_the_plain_version(spark):
     got = sorted(tuple(r) for r in alignment.op11_token_alignment(spark, sf_dir).collect())
     want = plain([r.text for r in docs], alignment.vocabularies(*alignment.public_vocabularies()))
     assert got == sorted((r.doc_id, *x) for r, x in zip(docs, want))
+
+
+def test_without_frequent_units_and_with_them_alone(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"the same words {i % 3} ▁"[: 16 + i % 4]) for i in range(50)], "doc_id long, text string")
+    one = check(spark, docs)
+    monkeypatch.setattr(alignment, "FREQUENT", 0)
+    assert check(spark, docs) == one
