@@ -194,8 +194,9 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 # ---- query ----
 
 
-def round_trip(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, offsets_hash (of starts and ends) of each document."""
+def round_trip(docs: DataFrame, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, offsets_hash (of starts and ends) of each document, and with_ids
+    ids (binary, little-endian unsigned 32-bit)."""
     ranks_path, pattern = public_vocabulary()
     encoded = encode(docs, ranks_path, pattern, offsets=True)
     offsets = F.xxhash64("starts", "ends").alias("offsets_hash")
@@ -205,6 +206,7 @@ def round_trip(docs: DataFrame) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),
         "offsets_hash",
+        *(["ids"] if with_ids else []),
     )
 
 
