@@ -3,7 +3,7 @@
 language_id   drops documents that the language models reject (without letters, or far from every learned language)
 near_dedup    keeps one document of each near-duplicate class
 mix           samples documents so that tokens meet target weights by source, language and topic
-encode        encodes each document to token ids, decodes them again and returns their digests
+encode        encodes each document to token ids, decodes them again and returns the ids and digests of both
 
 Every stage is handed over as Parquet in the shared folder, so each starts from files and survives lost executors.
 
@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return byte_bpe.round_trip(docs)
+    return byte_bpe.round_trip(docs, with_ids=True)
 
 
 STAGES = [
