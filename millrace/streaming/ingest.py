@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 #: Columns of an update; keys of the payload are told apart by case.
-UPDATE = {"symbol": "$.m.data.s", "bid": "$.m.data.b", "bid_qty": "$.m.data.B", "ask": "$.m.data.a", "ask_qty": "$.m.data.A"}
+UPDATE = {"symbol": "$.m.data.s", "update_id": "$.m.data.u", "bid": "$.m.data.b", "bid_qty": "$.m.data.B", "ask": "$.m.data.a", "ask_qty": "$.m.data.A"}
 
 
 def updates(lines: DataFrame) -> DataFrame:
@@ -20,8 +20,9 @@ def updates(lines: DataFrame) -> DataFrame:
     get = lambda path: F.try_variant_get(line, path, "string")
     t = F.try_variant_get(line, "$.t", "bigint")
     rows = lines.where(line.isNotNull()).select(
-        t.alias("t"), get(UPDATE["symbol"]).alias("symbol"), *(get(p).cast("double").alias(c) for c, p in UPDATE.items() if c != "symbol")
-    )
+        t.alias("t"), get(UPDATE["symbol"]).alias("symbol"), get(UPDATE["update_id"]).cast("bigint").alias("update_id"),
+        *(get(p).cast("double").alias(c) for c, p in UPDATE.items() if c not in ("symbol", "update_id")),
+    )
     return rows.withColumn("day", F.to_date(F.timestamp_micros(F.expr("t div 1000"))).cast("string"))
 
 
@@ -30,3 +31,27 @@ def ingest(spark: SparkSession, source: str, sink: str, checkpoint: str, files_a
     lines = spark.readStream.option("maxFilesPerTrigger", files_a_batch).text(source)
     out = updates(lines).writeStream.format("parquet").partitionBy("day").option("checkpointLocation", checkpoint)
     return out.trigger(availableNow=True).start(sink)
+
+
+def deduplicated(rows: DataFrame, delay: str) -> DataFrame:
+    """Updates of several connections to the same streams, each once by symbol and update id. What is behind the latest
+    time by more than delay is dropped, and with it what the stream has to remember."""
+    numbered = rows.where(F.col("update_id").isNotNull()).withColumn("ts", F.timestamp_micros(F.expr("t div 1000")))
+    return numbered.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["symbol", "update_id"]).drop("ts")
+
+
+def ingest_once(spark: SparkSession, source: str, sink: str, checkpoint: str, delay: str, files_a_batch: int = 1000) -> StreamingQuery:
+    """Like ingest(), of recordings of several connections; the table gets each update once."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files_a_batch).text(source)
+    out = deduplicated(updates(lines), delay).writeStream.format("parquet").partitionBy("day").option("checkpointLocation", checkpoint)
+    return out.trigger(availableNow=True).start(sink)
+
+
+def set_aside(lines: DataFrame, table: DataFrame) -> DataFrame:
+    """Of recorded lines the updates that a table (day, symbol, update_id) doesn't have, each once, with copies (how
+    often it was recorded): what came too late. A join by day, symbol and id, to be run over the days that are due."""
+    found = updates(lines).where(F.col("update_id").isNotNull()).join(table.select("day", "symbol", "update_id"), ["day", "symbol", "update_id"], "left_anti")
+    rest = [c for c in found.columns if c not in ("day", "symbol", "update_id")]
+    return found.groupBy("day", "symbol", "update_id").agg(F.min(F.struct(*rest)).alias("first"), F.count(F.lit(1)).alias("copies")).select(
+        "day", "symbol", "update_id", "first.*", "copies"
+    )

@@ -33,35 +33,54 @@ def best_net(scores: Scores, fee_bps: float) -> tuple[np.ndarray, np.ndarray]:
     return nets[rows, at], cycles[rows, at]
 
 
+#: Rows whose books are held at once.
+PART = 8192
+
+
+def fold(book, run, times, codes, values, fee_bps, silence=None, last=None):
+    """Goes on with a book (symbols, BOOK) and an open run (start_us, opened_by, peak, cycle_id, capacity; or None)
+    over updates in order; returns both after them, and the runs closed: start_us, end_us, opened_by, closed_by, peak,
+    cycle_id, capacity. With silence, a run also ends where the next update is more than that after the last."""
+    names, done = list(SYMBOLS), []
+    for low in range(0, len(times), PART):
+        t, code = times[low : low + PART], codes[low : low + PART]
+        books = books_after(book, code, values[low : low + PART])
+        before = np.concatenate([[t[0] if last is None else last], t[:-1]])
+        book, last = books[-1], int(t[-1])
+        live = np.flatnonzero(~np.isnan(books[:, :, 0]).any(axis=1))
+        net, cycle, capacity = np.full(len(t), -np.inf), np.zeros(len(t), int), np.zeros(len(t))
+        if len(live):
+            scores = Scores(books[live])
+            net[live], cycle[live] = best_net(scores, fee_bps)
+            capacity[live] = scores.capacities(cycle[live])
+        quiet = t - before > silence if silence is not None else np.zeros(len(t), bool)
+        for i in np.flatnonzero((net > 0) | np.concatenate([[run is not None], net[:-1] > 0])):
+            if quiet[i] and run is not None:
+                done.append((run[0], int(before[i]), run[1], "(silence)", *run[2:]))
+                run = None
+            if net[i] > 0 and run is None:
+                run = [int(t[i]), names[code[i]], -math.inf, 0, 0.0]
+            if net[i] > 0 and net[i] > run[2]:
+                run[2:] = [float(net[i]), int(cycle[i]), float(capacity[i])]
+            if net[i] <= 0 and run is not None:
+                done.append((run[0], int(t[i]), run[1], names[code[i]], *run[2:]))
+                run = None
+    return book, run, done
+
+
 def episodes(quotes: DataFrame, fee_bps: float) -> DataFrame:
     """EPISODE of a stream of quotes: recording, t_us, seq, symbol, bid, ask, bid_qty, ask_qty."""
     names = list(SYMBOLS)
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else (np.full(len(names) * len(BOOK), np.nan).tolist(), None, None, None, None, None)
         book = np.array([np.nan if x is None else x for x in held[0]]).reshape(len(names), len(BOOK))
         run = None if held[1] is None else list(held[1:])
         rows = pd.concat(list(frames)).sort_values(["t_us", "seq"], kind="stable")
         rows = rows[rows["symbol"].isin(names) & rows["bid"].notna()]
-        done = []
-        if len(rows):
-            books = books_after(book, rows["symbol"].map(names.index).to_numpy(), rows[list(BOOK)].to_numpy(float))
-            book = books[-1]
-            live = np.flatnonzero(~np.isnan(books[:, :, 0]).any(axis=1))
-            if len(live):
-                scores = Scores(books[live])
-                net, cycle = best_net(scores, fee_bps)
-                capacity = scores.capacities(cycle)
-                times, symbols = rows["t_us"].to_numpy()[live], rows["symbol"].to_numpy()[live]
-                for i in np.flatnonzero((net > 0) | np.concatenate([[run is not None], net[:-1] > 0])):
-                    if net[i] > 0 and run is None:
-                        run = [int(times[i]), symbols[i], -math.inf, 0, 0.0]
-                    if net[i] > 0 and net[i] > run[2]:
-                        run[2:] = [float(net[i]), int(cycle[i]), float(capacity[i])]
-                    if net[i] <= 0 and run is not None:
-                        done.append((key[0], run[0], int(times[i]), run[1], symbols[i], *run[2:]))
-                        run = None
+        codes = rows["symbol"].map(names.index).to_numpy()
+        book, run, done = fold(book, run, rows["t_us"].to_numpy(), codes, rows[list(BOOK)].to_numpy(float), fee_bps)
         state.update((book.ravel().tolist(), *(run or [None] * 5)))
-        yield pd.DataFrame(done, columns=[c.split()[0] for c in EPISODE.split(", ")])
+        yield pd.DataFrame([(key[0], *x) for x in done], columns=[c.split()[0] for c in EPISODE.split(", ")])
 
-    return quotes.groupBy("recording").applyInPandasWithState(fold, EPISODE, STATE, "append", GroupStateTimeout.NoTimeout)
+    return quotes.groupBy("recording").applyInPandasWithState(step, EPISODE, STATE, "append", GroupStateTimeout.NoTimeout)
