@@ -129,9 +129,9 @@ def _ends(tokens: DataFrame, ids: str, lengths: DataFrame, *more: str) -> DataFr
     return rows.select("key", *more, F.col("id").alias(f"{ids}_id"), F.sum("bytes").over(so_far).cast("int").alias("end"))
 
 
-def groups(tokens: DataFrame, a_lengths: DataFrame, b_lengths: DataFrame) -> DataFrame:
-    """A row for each text that has tokens: key, n (its weight), n_a, n_b, links (array of struct(a, b): the tokens that
-    end at each cut), ids ('a1,a2|b1;a3|b2': the groups' tokens). tokens: of tokenized(), keys distinct."""
+def groups(tokens: DataFrame, a_lengths: DataFrame, b_lengths: DataFrame, width: int) -> DataFrame:
+    """A row for each text that has tokens: key, n (its weight), links (array of struct(a, b): the tokens that end at
+    each cut), ids (the groups' tokens, as packed_ids() writes them). tokens: of tokenized(), keys distinct."""
     by_text = tokens.repartition("key")
     a, b = _ends(by_text, "a", a_lengths, "n"), _ends(by_text, "b", b_lengths)
     both = a.join(b, ["key", "end"], "full_outer").withColumn("cut", F.col("a_id").isNotNull() & F.col("b_id").isNotNull())
@@ -139,10 +139,10 @@ def groups(tokens: DataFrame, a_lengths: DataFrame, b_lengths: DataFrame) -> Dat
     numbered = both.withColumn("group", F.sum(F.col("cut").cast("int")).over(so_far) - F.col("cut").cast("int"))
     rows = numbered.select("key", "n", "a_id", "b_id", "cut", "group").sortWithinPartitions("key", "end")
     key = tokens.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(_by_text, f"key {key}, n bigint, n_a bigint, n_b bigint, links array<struct<a: int, b: int>>, ids string")
+    return rows.mapInArrow(lambda batches: _by_text(batches, width), f"key {key}, n bigint, links array<struct<a: int, b: int>>, ids binary")
 
 
-def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_text(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """A row for each text from its ends, which lie next to each other in order; a text may reach over batches."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -155,13 +155,13 @@ def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pa.concat_batches([*held, batch]) if held else batch
         last = pc.index(whole.column(0), keys[-1]).as_py()
         if last:
-            yield _texts(whole.slice(0, last))
+            yield _texts(whole.slice(0, last), width)
         held = [whole.slice(last)]
     if held:
-        yield _texts(pa.concat_batches(held))
+        yield _texts(pa.concat_batches(held), width)
 
 
-def _texts(rows: pa.RecordBatch) -> pa.RecordBatch:
+def _texts(rows: pa.RecordBatch, width: int) -> pa.RecordBatch:
     key, n, a, b, cut, group = rows.columns
     total = rows.num_rows
     starts = np.concatenate([[0], 1 + np.flatnonzero(pc.not_equal(key.slice(1), key.slice(0, total - 1)).to_numpy(zero_copy_only=False))])
@@ -170,23 +170,56 @@ def _texts(rows: pa.RecordBatch) -> pa.RecordBatch:
     has = [x.is_valid().to_numpy(zero_copy_only=False) for x in (a, b)]
     before = [np.concatenate([[0], np.cumsum(x)]) for x in (*has, cut)]
     spans = [x[ends] - x[starts] for x in before]
-    # A group's last token of A and its last of B end at its cut: what follows them ends the A part and the group.
+    # In a text's groups each one's tokens of A come before those of B; the last ones of both end at its cut.
     at = [np.flatnonzero(x) for x in has]
-    text = [pc.binary_join_element_wise(x.drop_null().cast(pa.string()), pa.array(np.where(cut[w], last, ",")), "") for x, w, last in zip((a, b), at, "|;")]
     of = np.repeat(np.arange(len(starts)), ends - starts)
     where = np.concatenate(at)
     order = np.lexsort((where, np.repeat([0, 1], [len(x) for x in at]), group.to_numpy()[where], of[where]))
-    parts = pa.concat_arrays(text).take(pa.array(order))
-    offsets = np.concatenate([[0], np.cumsum(spans[0] + spans[1])]).astype(np.int32)
-    ids = pc.utf8_slice_codeunits(pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), parts), ""), 0, -1)
+    tokens = np.concatenate([x.drop_null().to_numpy() for x in (a, b)])[order]
+    ids = packed_ids(tokens, cut[where][order], spans[0] + spans[1], width)
     linked = np.flatnonzero(cut)
     pairs = pa.StructArray.from_arrays([x.take(pa.array(linked)) for x in (a, b)], ["a", "b"])
     links = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(spans[2])]).astype(np.int32)), pairs)
-    first = pa.array(starts)
     weight = pa.array(np.maximum.reduceat(n.fill_null(0).to_numpy(), starts))
-    return pa.RecordBatch.from_arrays(
-        [key.take(first), weight, pa.array(spans[0]), pa.array(spans[1]), links, ids], ["key", "n", "n_a", "n_b", "links", "ids"]
-    )
+    return pa.RecordBatch.from_arrays([key.take(pa.array(starts)), weight, links, ids], ["key", "n", "links", "ids"])
+
+
+def id_width(a_path: str, b_path: str) -> int:
+    """Bytes of a token's id."""
+    both = vocabularies(a_path, b_path)
+    return 2 if max(len(both.a_bytes), len(both.b_bytes)) <= 1 << 16 else 4
+
+
+def packed_ids(tokens: np.ndarray, last: np.ndarray, sizes: np.ndarray, width: int) -> pa.Array:
+    """Each text's tokens (sizes of them) as their ids, and a bit for each: whether it is its group's last of its side."""
+    offsets = np.concatenate([[0], np.cumsum(sizes * width + -(-sizes // 8))])
+    nth = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    start = np.repeat(offsets[:-1], sizes)
+    out = np.zeros(offsets[-1], np.uint8)
+    out[((start + nth * width)[:, None] + np.arange(width)).ravel()] = tokens.astype(f"<u{width}").view(np.uint8)
+    bits = start + np.repeat(sizes * width, sizes) + nth // 8
+    np.bitwise_or.at(out, bits, (last.astype(np.uint8) << (nth % 8).astype(np.uint8)))
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
+
+
+def unpacked_ids(ids: pa.Array, width: int) -> tuple[np.ndarray, list[str]]:
+    """(texts, 3): tokens of A, of B, and groups of each; and the groups' text ('' without tokens)."""
+    data = b"".join(x for x in ids.to_pylist() if x)
+    size = pc.binary_length(ids).fill_null(0).to_numpy().astype(np.int64)
+    n = 8 * size // (8 * width + 1)
+    row = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    start = (np.cumsum(size) - size)[row]
+    raw = np.frombuffer(data, np.uint8)
+    tokens = raw[((start + nth * width)[:, None] + np.arange(width)).ravel()].view(f"<u{width}")
+    last = (raw[start + n[row] * width + nth // 8] >> (nth % 8).astype(np.uint8)) & 1
+    # Every part has its last token, and parts of A and of B take turns.
+    in_b = (np.cumsum(last) - last) % 2
+    counts = np.stack([np.bincount(row, w, len(n)) for w in (1 - in_b, in_b, in_b * last)], axis=1).astype(np.int64)
+    after = pa.array(np.where(last == 1, np.where(in_b == 1, ";", "|"), ","))
+    parts = pc.binary_join_element_wise(pa.array(tokens).cast(pa.string()), after, "")
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), parts)
+    return counts, pc.utf8_slice_codeunits(pc.binary_join(lists, ""), 0, -1).to_pylist()
 
 
 def pair_counts(grouped: DataFrame) -> DataFrame:
@@ -196,8 +229,8 @@ def pair_counts(grouped: DataFrame) -> DataFrame:
 
 
 def summed(grouped: DataFrame, pairs: DataFrame) -> DataFrame:
-    """key, n, n_a, n_best, count_sum, ids of each text; all but key are null where it has no tokens."""
-    own = ["key", "n", "n_a", "ids"]
+    """key, n, n_best, count_sum, ids of each text; all but key are null where it has no tokens."""
+    own = ["key", "n", "ids"]
     links = grouped.select(*own, "links").repartition("key").select(*own, F.explode_outer("links").alias("l")).select(*own, "l.*")
     return links.join(pairs, ["a", "b"], "left").groupBy(*own).agg(
         F.sum(F.col("best").cast("int")).cast("int").alias("n_best"), F.sum("pair_n").alias("count_sum")
@@ -304,7 +337,7 @@ def aligned_units(docs: DataFrame, units: DataFrame, a_path: str, b_path: str) -
         if not bad.isEmpty():
             left = weighted.join(_lost(docs, units, bad), "key", "left")
             weighted = left.select("key", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n"), "a", "b")
-        good = groups(weighted.select("key", "n", "a", "b"), *lengths(spark, a_path, b_path))
+        good = groups(weighted.select("key", "n", "a", "b"), *lengths(spark, a_path, b_path), id_width(a_path, b_path))
         return stored(good.unionByName(bad, True), "groups", codec="zstd")
 
     tokens = encoded()
@@ -332,11 +365,13 @@ def frequent(known: DataFrame) -> DataFrame:
     return short.where(step >= limit) if limit is not None else short.limit(0)
 
 
-_KNOWN = ("n_a", "n_best", "count_sum", "ids")
+_KNOWN = ("n_best", "count_sum", "ids")
+#: Units whose tokens are written out at once.
+UNITS = 1 << 16
 _NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def _put_together(docs: pa.Table, known: pa.Table, hot: pa.Table) -> pa.Table:
+def _put_together(docs: pa.Table, known: pa.Table, hot: pa.Table, width: int) -> pa.Table:
     """The documents of a chunk from its units' alignments; a frequent unit's is the row of hot with its place."""
     at_hot = known.column("place")
     common, rare = known.filter(at_hot.is_valid()), known.filter(at_hot.is_null())
@@ -348,16 +383,17 @@ def _put_together(docs: pa.Table, known: pa.Table, hot: pa.Table) -> pa.Table:
     place[known.column("code").to_numpy()] = np.arange(known.num_rows)
     take = lambda c: known.column(c).combine_chunks().take(pa.array(place))
     number = lambda column: column.cast(pa.int64()).fill_null(0).to_numpy()
-    ids = take("ids")
-    # Each group ends with a token of A and one of B, so both its parts have one more token than commas.
-    n_groups = number(pc.add(pc.count_substring(ids, ";"), 1))
-    n_a, n_best, count_sum = (number(take(c)) for c in ("n_a", "n_best", "count_sum"))
-    n_b = number(pc.count_substring(ids, ",")) + 2 * n_groups - n_a
-    numbers = np.stack([n_a, n_b, n_groups, n_groups, n_best, count_sum], axis=1)
-    whole, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.to_pylist()
+    packed = take("ids")
+    whole, counts, ids = packed.is_valid().to_numpy(zero_copy_only=False), [np.zeros((0, 3), np.int64)], []
+    for low in range(0, len(packed), UNITS):
+        some, texts = unpacked_ids(packed.slice(low, UNITS), width)
+        counts.append(some)
+        ids += texts
+    n_a, n_b, n_groups = np.concatenate(counts).T
+    numbers = np.stack([n_a, n_b, n_groups, n_groups, number(take("n_best")), number(take("count_sum"))], axis=1)
     sums, digests = np.zeros((docs.num_rows, len(_NUMBERS)), np.int64), []
-    for i, packed in enumerate(docs.column("codes")):
-        at = unpacked(packed.as_py())
+    for i, codes in enumerate(docs.column("codes")):
+        at = unpacked(codes.as_py())
         if not whole[at].all():
             digests.append("")
             continue
@@ -379,13 +415,14 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     released(docs.sparkSession)
     hot = frequent(known).select("key", *_KNOWN).toArrow()
     places = pa.table({"key": hot.column("key"), "place": pa.array(range(hot.num_rows), pa.int32())})
+    width = id_width(a_path, b_path)
     shared = docs.sparkSession.sparkContext.broadcast(hot.drop_columns(["key"]))
     named = units.select(F.col("chunk").alias("of"), "code", key_of(F.col("unit")).alias("key"))
     named = named.join(F.broadcast(docs.sparkSession.createDataFrame(places)), "key", "left")
     rare = named.where("place is null").join(known.select("key", *_KNOWN), "key").drop("key")
     wanted = rare.unionByName(named.where("place is not null").drop("key"), True)
     result = f"doc_id {id_type}, " + "".join(f"{c} bigint, " for c in _NUMBERS) + "groups_sha256 string"
-    full = texts.groupBy("chunk").cogroup(wanted.groupBy("of")).applyInArrow(lambda texts, known: _put_together(texts, known, shared.value), result)
+    full = texts.groupBy("chunk").cogroup(wanted.groupBy("of")).applyInArrow(lambda texts, known: _put_together(texts, known, shared.value, width), result)
     zeros = [F.lit(0).cast("long").alias(c) for c in _NUMBERS]
     return full.unionByName(source.where("text is null or text = ''").select("doc_id", *zeros, F.lit("").alias("groups_sha256")))
 

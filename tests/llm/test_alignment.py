@@ -111,3 +111,23 @@ def test_without_frequent_units_and_with_them_alone(spark, monkeypatch):
     one = check(spark, docs)
     monkeypatch.setattr(alignment, "FREQUENT", 0)
     assert check(spark, docs) == one
+
+
+@pytest.mark.parametrize("width", [2, 4])
+def test_packed_ids(width):
+    import numpy as np
+
+    draw = random.Random(width)
+    texts = [[(draw.randint(1, 12), draw.randint(1, 12)) for _ in range(draw.randint(1, 9))] for _ in range(200)]
+    tokens, last, sizes, want = [], [], [], []
+    for groups in texts:
+        parts = [[draw.randrange(60_000) for _ in range(k)] for group in groups for k in group]
+        tokens += sum(parts, [])
+        last += [k + 1 == len(p) for p in parts for k in range(len(p))]
+        sizes.append(sum(map(len, parts)))
+        sides = [",".join(map(str, p)) for p in parts]
+        want.append(";".join(f"{a}|{b}" for a, b in zip(sides[::2], sides[1::2])))
+    packed = alignment.packed_ids(np.array(tokens), np.array(last), np.array(sizes), width)
+    counts, got = alignment.unpacked_ids(packed, width)
+    assert got == want
+    assert counts.tolist() == [[sum(a for a, _ in g), sum(b for _, b in g), len(g)] for g in texts]
