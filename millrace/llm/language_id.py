@@ -215,8 +215,8 @@ def sample_rows(labelled: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("spread", "doc_id", "digest"))
     return (
         labelled.where(spread < share)
-        .select(*row, "text", spread.alias("spread"))
-        .dropDuplicates(["lang", "doc_id", "digest"])
+        .groupBy(*row, spread.alias("spread"))
+        .agg(F.get(F.collect_set("text"), F.lit(0)).alias("text"))  # by hash: a sort's pages in each of many tasks add up
         .withColumn("nth", nth)
         .where(F.col("nth") <= per_language)
         .select("text", "lang", (F.col("nth") % CALIBRATE == 0).alias("calibrate"))
