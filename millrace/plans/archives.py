@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.stats import at_ratio, at_share, median, share_above
+from millrace.functions.stats import MIDDLE, order_statistics, ratio_pick, share_above, share_pick
 from millrace.model import QUOTES
 from millrace.operators import timeseries as ts
 from millrace.plans.quotes import mids
@@ -103,10 +103,10 @@ def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lags in ms from event to receipt, with the event time's unit found by its size, by type of event."""
     event_us = F.when(F.col("event_time") > 1e14, F.col("event_time")).otherwise(F.col("event_time") * 1000)
     rows = market(spark, sf_dir, "fx_capture").select("event_type", ((F.col("now_us") - event_us) / 1e3).alias("ms"))
-    return rows.groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.min("ms"), 6).alias("least"),
-        *(F.round(at_share("ms", q), 6).alias(f"p{round(q * 100)}") for q in (0.5, 0.9, 0.99)), F.round(F.max("ms"), 6).alias("most"),
-    )
+    picks = {f"p{round(q * 100)}": share_pick(q) for q in (0.5, 0.9, 0.99)}
+    ranks = order_statistics(rows, ["event_type"], "ms", picks)
+    ends = rows.groupBy("event_type").agg(F.min("ms").alias("least"), F.max("ms").alias("most"))
+    return ends.join(F.broadcast(ranks), "event_type").select("event_type", "n", *(F.round(c, 6).alias(c) for c in ("least", *picks, "most")))
 
 
 ORACLE["latency_summary"] = f"""with {duck_ctes("fx_capture")},
@@ -136,11 +136,15 @@ select seq, round(case when straight then 2 else -2 end*ln(root),9) as ln_price
 
 @query
 def dex_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gas_price = (1 + F.col("seq") % 5) * 1e9
+    return gap_report(spark, sf_dir, market(spark, sf_dir, "fx_pool").withColumn("gas_price", gas_price))
+
+
+def gap_report(spark: SparkSession, sf_dir: str, pools: DataFrame) -> DataFrame:
     """Pools against the exchange's book: distance to its mid, and the better direction's edge after fees and gas."""
-    pools = market(spark, sf_dir, "fx_pool")
     bnb = mids(market(spark, sf_dir, "fx_quote").where("symbol = 'BNBUSDT'")).select("t_us", "seq", F.col("mid").alias("bnb"))
     rows = ts.asof(pools, bnb, [], ["bnb"]).where("bnb is not null")
-    gas = SWAP_GAS * (1 + F.col("seq") % 5) * 1e9 / 1e18 * F.col("bnb") / SIZE_USD * 1e4
+    gas = SWAP_GAS * F.col("gas_price") / 1e18 * F.col("bnb") / SIZE_USD * 1e4
     share = F.when(F.col("symbol") == "USDCUSDT", 0e0).when(F.col("quote") == "USDC", 0.95).otherwise(1e0)
     kept = (1 - share * TAKER_BPS / 1e4) * (1 - F.col("pool_fee"))
     sell, buy = F.col("bid") * kept / F.col("pool_price") - 1, F.col("pool_price") * kept / F.col("ask") - 1
@@ -148,11 +152,19 @@ def dex_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
         "symbol", "pool_fee", F.abs((F.col("pool_price") / ((F.col("bid") + F.col("ask")) / 2) - 1) * 1e4).alias("gap"),
         (F.greatest(sell, buy) * 1e4 - gas).alias("edge"), gas.alias("gas"),
     )
-    return rows.groupBy("symbol", "pool_fee").agg(
-        F.count(F.lit(1)).alias("n"), F.round(median("gas"), 6).alias("gas_bps"), F.round(median("gap"), 6).alias("median_gap"),
-        F.round(at_ratio("gap", 19, 20), 6).alias("p95_gap"), F.round(F.max("gap"), 6).alias("max_gap"), F.round(median("edge"), 6).alias("median_edge"),
-        F.round(F.max("edge"), 6).alias("max_edge"), F.round(share_above(F.col("edge"), 0.0), 6).alias("positive"),
-    )
+    keys, each = ["symbol", "pool_fee"], F.array(*(F.struct(F.lit(c).alias("what"), F.col(c).alias("value")) for c in ("gas", "gap", "edge")))
+    sums = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.max("gap").alias("max_gap"), F.max("edge").alias("max_edge"), share_above(F.col("edge"), 0.0).alias("positive")
+    )
+    long = rows.select(*keys, F.explode(each).alias("e")).select(*keys, "e.*")
+    ranks = order_statistics(long, [*keys, "what"], "value", {"p95": ratio_pick(19, 20), **MIDDLE})
+    of = lambda what, c: F.max(F.when(F.col("what") == what, c))
+    middle = (F.col("low") + F.col("high")) / 2
+    wide = ranks.groupBy(*keys).agg(
+        of("gas", middle).alias("gas_bps"), of("gap", middle).alias("median_gap"), of("gap", F.col("p95")).alias("p95_gap"), of("edge", middle).alias("median_edge")
+    )
+    found = sums.join(F.broadcast(wide), keys)  # a row for each pool
+    return found.select(*keys, "n", *(F.round(c, 6).alias(c) for c in ("gas_bps", "median_gap", "p95_gap", "max_gap", "median_edge", "max_edge", "positive")))
 
 
 ORACLE["dex_gap"] = f"""with {duck_ctes("fx_pool", "fx_quote")},

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.stats import at_ratio, median
+from millrace.functions.stats import MIDDLE, median, order_statistics, ratio_pick
 from millrace.operators.timeseries import rolling_sum
 from millrace.sources.market import duck_ctes, market
 
@@ -23,6 +23,10 @@ def query(f):
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """perp, t_ms, rate, interval_h, week (the sum over the seven days up to each payment)."""
     rows = market(spark, sf_dir, "fx_funding").select("perp", F.unix_millis(F.col("ts").cast("timestamp")).alias("t_ms"), "rate", "interval_h")
+    return with_weeks(rows)
+
+
+def with_weeks(rows: DataFrame) -> DataFrame:
     return rows.withColumn("week", rolling_sum(rows, "rate", WEEK_MS, ["perp"], "t_ms"))
 
 
@@ -38,9 +42,13 @@ ORACLE["funding_rolling"] = f"with {_PAID} select perp, t_ms, rate, round(week,9
 
 @query
 def funding_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return carried(payments(spark, sf_dir))
+
+
+def carried(rows: DataFrame) -> DataFrame:
     """Each perpetual's funding per day and year, share of positive payments, worst and best seven days."""
     days = (F.max("t_ms") - F.min("t_ms")) / float(DAY_MS) + F.max_by("interval_h", "t_ms") / 24
-    found = payments(spark, sf_dir).groupBy("perp").agg(
+    found = rows.groupBy("perp").agg(
         F.count(F.lit(1)).alias("payments"), (F.sum("rate") / days).alias("per_day"),
         (F.avg(F.when(F.col("rate") > 0, 1e0).otherwise(0e0)) * 100).alias("positive"), F.min("week").alias("worst"), F.max("week").alias("best"),
     )
@@ -60,9 +68,18 @@ select perp, payments, round(per_day*1e4,6) as per_day_bps, round(per_day*36500,
 
 def basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """coin, bucket_us, b: the perpetual's close over the spot's, in bps, of buckets that both have."""
-    closes = market(spark, sf_dir, "fx_close")
-    of = lambda m: closes.where(F.col("market") == m).select("coin", "bucket_us", F.col("close").alias(m))
-    return of("spot").join(of("perp"), ["coin", "bucket_us"]).select("coin", "bucket_us", ((F.col("perp") / F.col("spot") - 1) * 1e4).alias("b"))
+    return basis_of(market(spark, sf_dir, "fx_close"))
+
+
+def basis_of(closes: DataFrame) -> DataFrame:
+    of = lambda m: closes.where(F.col("market") == m).select("coin", "bucket_us", "close")
+    return basis_between(of("spot"), of("perp"))
+
+
+def basis_between(spot: DataFrame, perp: DataFrame) -> DataFrame:
+    """coin, bucket_us, b of closes (coin, bucket_us, close) of both markets."""
+    both = spot.withColumnRenamed("close", "spot").join(perp.withColumnRenamed("close", "perp"), ["coin", "bucket_us"])
+    return both.select("coin", "bucket_us", ((F.col("perp") / F.col("spot") - 1) * 1e4).alias("b"))
 
 
 _BASIS = f"""{duck_ctes("fx_close")},
@@ -71,11 +88,15 @@ b as (select s.coin, s.bucket_us, (p.close/s.close-1)*1e4 as b from fx_close s j
 
 @query
 def basis_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return basis(spark, sf_dir).groupBy("coin").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("b"), 6).alias("mean"), F.round(at_ratio("b", 1, 20), 6).alias("p5"),
-        F.round(median("b"), 6).alias("median"), F.round(at_ratio("b", 19, 20), 6).alias("p95"), F.round(F.min("b"), 6).alias("min"),
-        F.round(F.max("b"), 6).alias("max"),
-    )
+    return basis_report(basis(spark, sf_dir))
+
+
+def basis_report(rows: DataFrame) -> DataFrame:
+    """rows is read three times."""
+    sums = rows.groupBy("coin").agg(F.count(F.lit(1)).alias("n"), F.avg("b").alias("mean"), F.min("b").alias("min"), F.max("b").alias("max"))
+    ranks = order_statistics(rows, ["coin"], "b", {"p5": ratio_pick(1, 20), "p95": ratio_pick(19, 20), **MIDDLE}).drop("n")
+    found = sums.join(F.broadcast(ranks), "coin").withColumn("median", (F.col("low") + F.col("high")) / 2)  # a row for each coin
+    return found.select("coin", "n", *(F.round(c, 6).alias(c) for c in ("mean", "p5", "median", "p95", "min", "max")))
 
 
 ORACLE["basis_stats"] = f"""with {_BASIS}

@@ -307,7 +307,7 @@ def markout_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select(
         "pair", "n", F.round("w", 2).alias("notional"), F.round("gain", 6).alias("bps"), F.round(F.col("gain") - MAKER_BPS, 6).alias("after_fee"),
         *mk.kept_report(ANCHOR_KEPT),
-    )
+    ).orderBy(F.desc("notional"), "pair")
 
 
 ORACLE["markout_anchor"] = f"""with {duck_ctes("fx_quote", "fx_trade")},
@@ -359,7 +359,7 @@ def quote_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         return (value / F.col(f"bid_{s}") - 1) * 1e4, (F.col(f"ask_{s}") / value - 1) * 1e4
 
     rows = _sampled(spark, sf_dir).select(F.explode(_sides({s: edges(s) for s in SYMBOLS})).alias("x")).select("x.*")
-    return rows.groupBy("symbol", "side").agg(*_edge_report(rows))
+    return rows.groupBy("symbol", "side").agg(*_edge_report(rows)).orderBy(F.desc("median_bps"), "symbol", "side")
 
 
 ORACLE["quote_edges"] = f"""with {_BASE}, {_GRID_SQL},
@@ -409,7 +409,7 @@ def hedged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     usual = rows.groupBy("symbol", "side", "path").agg(F.count(F.lit(1)).alias("times"), F.min("t_us").alias("first"))
     first = Window.partitionBy("symbol", "side").orderBy(F.desc("times"), "first")
     usual = usual.withColumn("r", F.row_number().over(first)).where("r = 1").select("symbol", "side", "path")
-    return rows.groupBy("symbol", "side").agg(*_edge_report(rows)).join(usual, ["symbol", "side"])
+    return rows.groupBy("symbol", "side").agg(*_edge_report(rows)).join(usual, ["symbol", "side"]).orderBy(F.desc("median_bps"), "symbol", "side")
 
 
 ORACLE["hedged_edges"] = f"""{_HEDGE_SQL},

@@ -163,7 +163,7 @@ def markout_own(spark: SparkSession, sf_dir: str) -> DataFrame:
         "symbol", "n", F.round("w", 2).alias("notional"), F.round("usdt", 2).alias("usdt"),
         *(F.round(f"m_{i}", 6).alias(f"m_{i}") for i in range(4)),
         F.round(F.col("m_3") - MAKER_BPS, 6).alias("after_fee"),
-    )
+    ).orderBy(F.desc("m_3"), "symbol")
 
 
 _OWN = """own as (select symbol, count(*) as n, sum(w) as w, case when bool_and(rate is not null) then sum(w*rate) end as usdt,

@@ -24,13 +24,17 @@ def query(f):
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs_of(*(market(spark, sf_dir, view) for view in ("fx_listing", "fx_touch", "fx_day")))
+
+
+def pairs_of(listing: DataFrame, touches: DataFrame, days: DataFrame) -> DataFrame:
     """symbol, base, quote, n, spread (median, bps), usd (daily volume) of trading pairs with valid quotes."""
-    listed = market(spark, sf_dir, "fx_listing").where((F.col("status") == "TRADING") & F.col("quote").isin(*QUOTES))
-    touch = market(spark, sf_dir, "fx_touch").where((F.col("bid") > 0) & (F.col("ask") > F.col("bid")))
+    listed = listing.where((F.col("status") == "TRADING") & F.col("quote").isin(*QUOTES))
+    touch = touches.where((F.col("bid") > 0) & (F.col("ask") > F.col("bid")))
     bps = (F.col("ask") - F.col("bid")) / ((F.col("ask") + F.col("bid")) / 2) * 1e4
     spreads = touch.join(listed, "symbol", "left_semi").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), median(bps).alias("spread"))
     usd = F.element_at(F.create_map(*(F.lit(x) for kv in USD.items() for x in kv)), F.col("quote"))
-    day = market(spark, sf_dir, "fx_day").join(listed, "symbol").withColumn("usd", F.col("quote_volume") * usd)
+    day = days.join(listed, "symbol").withColumn("usd", F.col("quote_volume") * usd)
     return spreads.join(day.select("symbol", "base", "quote", "usd"), "symbol")
 
 
@@ -71,8 +75,11 @@ top_a as (from anchored order by ceiling desc, symbol limit {TOP}), top_o as (fr
 
 @query
 def spread_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned(pairs(spark, sf_dir))
+
+
+def scanned(found: DataFrame) -> DataFrame:
     """All wide pairs, and whether they have an anchor."""
-    found = pairs(spark, sf_dir)
     has = anchored(found).select("symbol", F.lit(True).alias("has"))
     rows = wide(found).join(has, "symbol", "left")
     return rows.select(

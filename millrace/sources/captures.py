@@ -127,15 +127,55 @@ def archive_trades(rows: DataFrame, cells: str = "cells") -> DataFrame:
     )
 
 
-def archive_closes(rows: DataFrame, cells: str = "cells") -> DataFrame:
-    """file, t_ms, close of kline rows; of rows with one time in a file the last one counts."""
+def archive_closes(rows: DataFrame, cells: str = "cells", by: tuple[str, ...] = ("file",), order: tuple[str, ...] = ("nth",)) -> DataFrame:
+    """by, t_ms, close of kline rows; of rows with one time the last one of the last file counts."""
     cell = lambda i: F.get(cells, F.lit(i))
-    return rows.groupBy("file", normalised_ms(cell(0).cast("bigint")).alias("t_ms")).agg(
-        F.max_by(cell(4).cast("double"), F.col("nth")).alias("close")
+    return rows.groupBy(*by, normalised_ms(cell(0).cast("bigint")).alias("t_ms")).agg(
+        F.max_by(cell(4).cast("double"), F.struct(*order)).alias("close")
     )
 
 
-def archive_funding(rows: DataFrame, cells: str = "cells") -> DataFrame:
-    """file, t_ms, rate, interval_h of funding rows."""
+def archive_funding(rows: DataFrame, cells: str = "cells", by: tuple[str, ...] = ("file",)) -> DataFrame:
+    """by, t_ms, rate, interval_h of funding rows."""
     cell = lambda i: F.get(cells, F.lit(i)).cast("double")
-    return rows.select("file", cell(0).cast("bigint").alias("t_ms"), cell(2).alias("rate"), cell(1).alias("interval_h"))
+    return rows.select(*by, cell(0).cast("bigint").alias("t_ms"), cell(2).alias("rate"), cell(1).alias("interval_h"))
+
+
+# ---- captured JSON ----
+
+
+def _parsed(lines: DataFrame, kind: str) -> DataFrame:
+    return lines.select(F.from_json("value", kind).alias("j"))
+
+
+def exchange_info(lines: DataFrame) -> DataFrame:
+    """symbol, status, base, quote of captured listings, a document in each line (column value)."""
+    rows = _parsed(lines, "symbols array<struct<symbol: string, status: string, baseAsset: string, quoteAsset: string>>")
+    return rows.select(F.explode("j.symbols").alias("s")).select("s.symbol", "s.status", F.col("s.baseAsset").alias("base"), F.col("s.quoteAsset").alias("quote"))
+
+
+def book_tickers(lines: DataFrame) -> DataFrame:
+    """symbol, bid, ask of captured best prices, an array in each line."""
+    rows = _parsed(lines, "array<struct<symbol: string, bidPrice: string, askPrice: string>>").select(F.explode("j").alias("s"))
+    return rows.select("s.symbol", F.col("s.bidPrice").cast("double").alias("bid"), F.col("s.askPrice").cast("double").alias("ask"))
+
+
+def day_tickers(lines: DataFrame) -> DataFrame:
+    """symbol, quote_volume of captured daily figures, an array in each line."""
+    rows = _parsed(lines, "array<struct<symbol: string, quoteVolume: string>>").select(F.explode("j").alias("s"))
+    return rows.select("s.symbol", F.col("s.quoteVolume").cast("double").alias("quote_volume"))
+
+
+def pool_samples(lines: DataFrame) -> DataFrame:
+    """The columns of each captured sample (seq, t_us, symbol, pool_fee, base_address, quote_address), bid and ask of its
+    book, slot0 and gas_price as the two answers of the batched call give them (in order of their ids)."""
+    kind = (
+        "seq bigint, t_us bigint, symbol string, pool_fee double, base_address string, quote_address string, "
+        "rpc array<struct<id: int, result: string>>, book struct<bidPrice: string, askPrice: string>"
+    )
+    answer = lambda i: F.filter("j.rpc", lambda x: x["id"] == i)[0]["result"]
+    return _parsed(lines, kind).select(
+        *(f"j.{c}" for c in ("seq", "t_us", "symbol", "pool_fee", "base_address", "quote_address")),
+        F.col("j.book.bidPrice").cast("double").alias("bid"), F.col("j.book.askPrice").cast("double").alias("ask"),
+        answer(0).alias("slot0"), hex_double(F.substring(answer(1), 3, 64)).alias("gas_price"),
+    )
