@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from millrace.model import DAY, SYMBOLS
 from millrace.operators import graph
-from millrace.operators.timeseries import segment_of
+from millrace.operators.timeseries import balanced, segment_of
 
 BOOK = ("bid", "ask", "bid_qty", "ask_qty")
 LENGTHS = (3, 4, 5)
@@ -39,20 +39,19 @@ def _cycles() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return uses, np.array([(c + c[:1] * 5)[:5] for c in legs]), np.array([len(c) for c in legs])
 
 
-def dealt(quotes: DataFrame, segment: int = DAY) -> DataFrame:
-    """_seg, _seed, t_us, seq, symbol, *BOOK: the updates of each segment in order behind their seeds."""
-    rows = quotes.where(F.col("bid").isNotNull() & F.col("symbol").isin(*SYMBOLS)).select(
-        segment_of(F.col("t_us"), segment).alias("_seg"), F.lit(False).alias("_seed"), "t_us", "seq", "symbol", *BOOK
-    )
-    last = F.max_by(F.struct("t_us", *BOOK), F.struct("t_us", "seq")).alias("end")
-    ends = rows.groupBy("_seg", "symbol").agg(last)
-    # A symbol's last row of a segment seeds the segments after it, up to the next one in which it has rows.
-    after = F.coalesce(F.lead("_seg").over(Window.partitionBy("symbol").orderBy("_seg")), F.max("_seg").over(Window.partitionBy()))
-    seeds = ends.withColumn("after", after).where(F.col("after") > F.col("_seg"))
-    seeds = seeds.select(
-        F.explode(F.sequence(F.col("_seg") + 1, "after")).alias("_seg"), F.lit(True).alias("_seed"), "end.t_us",
-        F.lit(-1).cast("bigint").alias("seq"), "symbol", *(f"end.{c}" for c in BOOK),
-    )
+def dealt(quotes: DataFrame, segment: int = DAY, most: int | None = None) -> DataFrame:
+    """_seg, _seed, t_us, seq, symbol, *BOOK: the updates of each segment in order behind their seeds. With most, segments
+    of more rows are cut."""
+    known = quotes.where(F.col("bid").isNotNull() & F.col("symbol").isin(*SYMBOLS))
+    known = balanced(known, most, "t_us", segment) if most else known.withColumn("_seg", segment_of(F.col("t_us"), segment))
+    rows = known.select("_seg", F.lit(False).alias("_seed"), "t_us", "seq", "symbol", *BOOK)
+    own = lambda s: F.when(F.col("symbol") == s, F.struct("t_us", "seq"))
+    ends = rows.groupBy("_seg").agg(*(F.max_by(F.struct("t_us", "symbol", *BOOK), own(s)).alias(s) for s in SYMBOLS))
+    # A segment starts with each symbol's last row of the segments before it; there is one row for each segment.
+    before = Window.partitionBy().orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    seeds = ends.select("_seg", *(F.last(s, True).over(before).alias(s) for s in SYMBOLS))
+    seeds = seeds.select("_seg", F.explode(F.array(*SYMBOLS)).alias("end")).where("end is not null")
+    seeds = seeds.select("_seg", F.lit(True).alias("_seed"), "end.t_us", F.lit(-1).cast("bigint").alias("seq"), "end.symbol", *(f"end.{c}" for c in BOOK))
     return rows.unionByName(seeds).repartition("_seg").sortWithinPartitions("_seg", F.desc("_seed"), "t_us", "seq")
 
 
@@ -137,7 +136,7 @@ def folded(
     return source.mapInArrow(task, schema)
 
 
-def scored(quotes: DataFrame, segment: int = DAY) -> DataFrame:
+def scored(quotes: DataFrame, segment: int = DAY, most: int | None = None) -> DataFrame:
     """_seg, t_us, seq, symbol of every update with a complete book; for n of LENGTHS: e_<n>, c_<n>, k_<n>, the best
     cycle's gross log edge, number and capacity."""
     columns = [f"{c}_{n}" for n in LENGTHS for c in "eck"]
@@ -152,10 +151,10 @@ def scored(quotes: DataFrame, segment: int = DAY) -> DataFrame:
         return pa.RecordBatch.from_arrays([rows.column(k) for k in (0, 2, 3, 4)] + out, ["_seg", "t_us", "seq", "symbol", *columns])
 
     kinds = ", ".join(f"e_{n} double, c_{n} int, k_{n} double" for n in LENGTHS)
-    return folded(dealt(quotes, segment), f"_seg bigint, t_us bigint, seq bigint, symbol string, {kinds}", emit)
+    return folded(dealt(quotes, segment, most), f"_seg bigint, t_us bigint, seq bigint, symbol string, {kinds}", emit)
 
 
-def every_cycle(quotes: DataFrame, what: str = "edges", segment: int = DAY) -> DataFrame:
+def every_cycle(quotes: DataFrame, what: str = "edges", segment: int = DAY, most: int | None = None) -> DataFrame:
     """seq, t_us, symbol and an array by cycle number of every update with a complete book: all cycles' gross log
     edges, or their capacities."""
 
@@ -171,10 +170,10 @@ def every_cycle(quotes: DataFrame, what: str = "edges", segment: int = DAY) -> D
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(values).ravel(), from_pandas=True))
         return pa.RecordBatch.from_arrays([rows.column(3), rows.column(2), rows.column(4), lists], ["seq", "t_us", "symbol", what])
 
-    return folded(dealt(quotes, segment), f"seq bigint, t_us bigint, symbol string, {what} array<double>", emit)
+    return folded(dealt(quotes, segment, most), f"seq bigint, t_us bigint, symbol string, {what} array<double>", emit)
 
 
-def time_shares(quotes: DataFrame, hurdles: list[float], near: float, segment: int = DAY) -> DataFrame:
+def time_shares(quotes: DataFrame, hurdles: list[float], near: float, segment: int = DAY, most: int | None = None) -> DataFrame:
     """cycle_id, above_us, near_us, max_edge, max_net: how long each cycle's gross edge was above 0, and its net edge
     above -near; the state before each update counts for the time up to it."""
     costs = np.array(hurdles)
@@ -188,7 +187,7 @@ def time_shares(quotes: DataFrame, hurdles: list[float], near: float, segment: i
             ["cycle_id", "above_us", "near_us", "max_edge"],
         )
 
-    parts = folded(dealt(quotes, segment), "cycle_id int, above_us bigint, near_us bigint, max_edge double", emit)
+    parts = folded(dealt(quotes, segment, most), "cycle_id int, above_us bigint, near_us bigint, max_edge double", emit)
     cost = F.element_at(F.array(*map(F.lit, hurdles)), F.col("cycle_id") + 1)
     return (
         parts.groupBy("cycle_id")

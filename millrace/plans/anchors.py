@@ -67,7 +67,7 @@ ORACLE["anchor_basis"] = f"with {_T} select coin, bucket::bigint as bucket, roun
 def _grid(trades: DataFrame, start: int, end: int) -> DataFrame:
     """coin, t_us, seq: each coin at each grid step from day0 + start to the end less `end`."""
     span = _span(trades).select((F.col("day0") + start).alias("t0"), (F.col("end_us") - end - 1).alias("t1")).where("t1 >= t0")
-    return trades.select("coin").distinct().crossJoin(F.broadcast(ts.grid(span, GRID))).withColumn("seq", F.col("t_us"))
+    return ts.grid(trades.select("coin").distinct().crossJoin(F.broadcast(span)), GRID).withColumn("seq", F.col("t_us"))
 
 
 _G = lambda start, end: f"""g as (select coin, unnest(range(day0+{start}, end_us-{end}, {GRID})) as t_us from span, (select distinct coin from fx_alt_trade))"""

@@ -8,3 +8,5 @@ GRID = 3_600 * SECOND
 MAKER_BPS = 7.5
 FRESH = 36_000 * SECOND
 FLAT = 7.5
+#: Rows of a segment beyond which it is cut.
+ROWS = 1_000

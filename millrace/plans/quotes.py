@@ -10,7 +10,7 @@ from millrace.functions.stats import MIDDLE, median, order_statistics, ratio_pic
 from millrace.model import STABLES, SYMBOLS
 from millrace.operators import markout as mk
 from millrace.operators import timeseries as ts
-from millrace.plans.common import FRESH, GRID, HORIZONS, MAKER_BPS, PRE
+from millrace.plans.common import FRESH, GRID, HORIZONS, MAKER_BPS, PRE, ROWS
 from millrace.sources.market import duck_ctes, market
 
 QUERIES, ORACLE = {}, {}
@@ -79,7 +79,7 @@ from fx_trade t asof left join fx_quote q on t.symbol=q.symbol and t.t_us>=q.t_u
 def asof_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = mids(market(spark, sf_dir, "fx_quote"))
     bounds = quotes.groupBy("symbol").agg(F.min("t_us").alias("t0"), F.max("t_us").alias("t1"))
-    found = ts.asof(ts.grid(bounds, GRID), quotes, ["symbol"], ["mid"], strict=True)
+    found = ts.asof(ts.grid(bounds, GRID), quotes, ["symbol"], ["mid"], strict=True, most=ROWS)
     return found.select("symbol", "t_us", "mid")
 
 
