@@ -47,6 +47,7 @@ def test_carried_state_lookups_and_episodes_are_the_same(spark):
     found = [ts.asof(probes, rows, ["symbol"], ["bid"], strict=strict, most=most) for strict in (False, True) for most in (None, 250)]
     assert same(found[0], found[1]) and same(found[2], found[3])
     runs = [ep.episodes(ep.scenarios(screen.scored(rows, most=most), (0.0, 5.0, 8.0)), ["scenario"]) for most in (None, 200)]
+    runs = [r.withColumns({c: F.round(c, 12) for c in ("peak", "capacity")}) for r in runs]  # products of other shapes
     assert runs[0].count() > 20
     assert same(*runs)
 
