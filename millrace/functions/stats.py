@@ -71,6 +71,12 @@ def order_statistics(rows: DataFrame, keys: Sequence[str], value: str, picks: di
     )
 
 
+def medians(rows: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
+    """keys, n and the median of each key's values that aren't null, whatever their number."""
+    found = order_statistics(rows, keys, value, MIDDLE)
+    return found.select(*keys, "n", ((F.col("low") + F.col("high")) / 2).alias(name))
+
+
 def at_share(x: Column | str, q: float) -> Column:
     """The value at place min(n - 1, floor(q * n)) of the ascending values of a group that one task can hold."""
     s = F.sort_array(F.collect_list(x))

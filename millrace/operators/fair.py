@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.stats import median
+from millrace.functions.stats import medians
 from millrace.model import ASSETS, LEGS, SYMBOLS
 
 ESTIMATORS = ("own", "routes", "usdt", "routes_vw", "all_vw")
@@ -70,20 +70,16 @@ def all_vw(symbol: str) -> Column:
 BY_NAME = {"own": mid, "routes": routes, "usdt": usdt, "routes_vw": routes_vw, "all_vw": all_vw}
 
 
-def for_symbol(name: str, column: str = "symbol") -> Column:
-    """The estimator's value for the symbol that a column names."""
-    out = F.lit(None).cast("double")
-    for s in SYMBOLS:
-        out = F.when(F.col(column) == s, BY_NAME[name](s)).otherwise(out)
-    return out
+def usdt_medians(trades: DataFrame) -> DataFrame:
+    """One row: px_BTC, px_ETH, the median prices of their USDT trades."""
+    each = medians(trades.where(F.col("symbol").isin("BTCUSDT", "ETHUSDT")), ["symbol"], "price")
+    return each.agg(*(F.max(F.when(F.col("symbol") == q + "USDT", F.col("median"))).alias(f"px_{q}") for q in ("BTC", "ETH")))
 
 
 def traded_volume(trades: DataFrame) -> DataFrame:
     """symbol, n, volume: traded notional in USDT of the whole recording; quotes in BTC and ETH count at the median
     price of their USDT trades."""
-    px = trades.agg(
-        *(median(F.when(F.col("symbol") == q + "USDT", F.col("price"))).alias(f"px_{q}") for q in ("BTC", "ETH"))
-    )
+    px = usdt_medians(trades)
     rate = F.when(F.col("quote") == "BTC", F.col("px_BTC")).when(F.col("quote") == "ETH", F.col("px_ETH")).otherwise(1e0)
     return (
         trades.crossJoin(F.broadcast(px))  # one row

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.stats import median
+from millrace.functions.stats import medians
 from millrace.model import ASSETS, FEES_BPS, NEAR_BPS, SCHEDULE, SYMBOLS, fee_table, parse_fees
 from millrace.operators import episodes as ep
 from millrace.operators import graph, screen
@@ -239,10 +239,11 @@ ORACLE["episode_stats"] = f"{_WITH}, {_CAPS} " + " union all ".join(_stats_sql(f
 @query
 def episode_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six most frequent pairs of symbols that open and close episodes; of equal ones the first seen."""
-    pairs = _found(spark, sf_dir, (FLAT,)).groupBy("opened_by", "closed_by").agg(
-        F.count(F.lit(1)).alias("n"), median("ms").alias("median_ms"), F.min("run").alias("first_seq")
-    )
-    return pairs.orderBy(F.desc("n"), "first_seq").limit(6)
+    found = stored(_found(spark, sf_dir, (FLAT,)).select("opened_by", "closed_by", "ms", "run"), "episodes")
+    pair = ["opened_by", "closed_by"]
+    top = found.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"), F.min("run").alias("first_seq")).orderBy(F.desc("n"), "first_seq").limit(6)
+    lasting = medians(found.join(F.broadcast(top.select(*pair)), pair), pair, "ms", "median_ms").drop("n")
+    return top.join(F.broadcast(lasting), pair).select(*pair, "n", "median_ms", "first_seq").orderBy(F.desc("n"), "first_seq")
 
 
 ORACLE["episode_attribution"] = f"""{_WITH}, {_CAPS}, {_BEST_OF(FLAT)}, {_RUNS}

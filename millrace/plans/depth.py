@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.stats import at_share
+from millrace.functions.stats import order_statistics, share_pick
 from millrace.model import ASSETS, SCHEDULE, SYMBOLS, flat_fees, parse_fees
 from millrace.operators import depth, graph, sizing
 from millrace.operators import timeseries as ts
 from millrace.plans.common import FLAT, GRID
 from millrace.plans.cycles import _DIMS, _EDGES, _FEES, _PX, _STATE
+from millrace.session import stored
 from millrace.sources.market import market
 
 QUERIES, ORACLE = {}, {}
@@ -102,15 +103,19 @@ select seq, cycle_id::int as cycle_id, round(sin,6) as start_in, round(sout,6) a
 def depth_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each fee scenario: snapshots with a profitable cycle, and the best one's size and profit."""
     found = depth.sized(depth.survivors(_state(spark, sf_dir), SCENARIOS))
-    per = depth.hits(found, graph.cycle_table(spark).select("cycle_id", "path"))
-    best = F.col("best")
+    per = stored(depth.hits(found, graph.cycle_table(spark).select("cycle_id", "path")), "hits")
+    best, measures, picks = F.col("best"), ("size", "profit"), {"p50": share_pick(0.5), "p90": share_pick(0.9)}
     row = per.groupBy("scenario").agg(
         F.count("best").alias("hits"),
         (F.count("best") / F.count(F.lit(1)) * 100).alias("percent"),
-        *(at_share(F.when(best.isNotNull(), best[f"{c}_usdt"]), q).alias(f"{n}_{c}") for c in ("size", "profit") for n, q in (("p50", 0.5), ("p90", 0.9))),
-        *(F.max(best[f"{c}_usdt"]).alias(f"max_{c}") for c in ("size", "profit")),
+        *(F.max(best[f"{c}_usdt"]).alias(f"max_{c}") for c in measures),
         F.max("best.path").alias("last_path"),
     )
+    each = F.array(*(F.struct(F.lit(c).alias("what"), best[f"{c}_usdt"].alias("value")) for c in measures))
+    long = per.where(best.isNotNull()).select("scenario", F.explode(each).alias("e")).select("scenario", "e.*")
+    ranks = order_statistics(long, ["scenario", "what"], "value", picks)
+    of = lambda what, c: F.max(F.when(F.col("what") == what, F.col(c))).alias(f"{c}_{what}")
+    row = row.join(F.broadcast(ranks.groupBy("scenario").agg(*(of(c, n) for c in measures for n in picks))), "scenario", "left")  # a row for each scenario
     return row.where("hits > 0").select("scenario", "hits", *(F.round(c, 6).alias(c) for c in row.columns if c not in ("scenario", "hits", "last_path")), "last_path")
 
 

@@ -242,7 +242,7 @@ def fv_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fills kept where the quote was N bps better than an estimate, marked to two estimates later; by symbol and for
     the cross pairs and all pairs together."""
     trades = market(spark, sf_dir, "fx_trade").drop("base")
-    medians = trades.agg(*(median(F.when(F.col("symbol") == q + "USDT", F.col("price"))).alias(f"px_{q}") for q in ("BTC", "ETH")))
+    medians = fair.usdt_medians(trades)
     found = _looked_up(spark, sf_dir, trades, fair.ESTIMATORS, [-PRE, MARK]).crossJoin(F.broadcast(medians)).crossJoin(F.broadcast(_last_update(spark, sf_dir)))
     found = found.where((F.col("t_us") + MARK < F.col("last_us")) & F.col("at_0.own").isNotNull() & F.col("at_1.own").isNotNull())
     px = F.when(F.col("quote") == "BTC", F.col("px_BTC")).when(F.col("quote") == "ETH", F.col("px_ETH")).otherwise(1e0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.stats import median
+from millrace.functions.stats import medians
 from millrace.model import QUOTES
 from millrace.plans.common import MAKER_BPS
 from millrace.sources.market import duck_ctes, market
@@ -32,7 +32,8 @@ def pairs_of(listing: DataFrame, touches: DataFrame, days: DataFrame) -> DataFra
     listed = listing.where((F.col("status") == "TRADING") & F.col("quote").isin(*QUOTES))
     touch = touches.where((F.col("bid") > 0) & (F.col("ask") > F.col("bid")))
     bps = (F.col("ask") - F.col("bid")) / ((F.col("ask") + F.col("bid")) / 2) * 1e4
-    spreads = touch.join(listed, "symbol", "left_semi").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), median(bps).alias("spread"))
+    spreads = touch.join(listed, "symbol", "left_semi").select("symbol", bps.alias("bps"))
+    spreads = medians(spreads, ["symbol"], "bps", "spread")
     usd = F.element_at(F.create_map(*(F.lit(x) for kv in USD.items() for x in kv)), F.col("quote"))
     day = days.join(listed, "symbol").withColumn("usd", F.col("quote_volume") * usd)
     return spreads.join(day.select("symbol", "base", "quote", "usd"), "symbol")
