@@ -23,7 +23,7 @@ def test_equals_brute_force(spark, kind, monkeypatch):
         rows = {i: centres[0] if i % 3 else v for i, v in rows.items()}
     if kind == "large":
         rows = {i: v * 10**6 for i, v in rows.items()}
-    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in rows.items()], "vec_id long, vector array<long>")
+    vectors = spark.createDataFrame([(i, i, v.tolist()) for i, v in rows.items()], "row long, vec_id long, vector array<long>")
     queries = vectors.where("vec_id % 50 = 0")
     got = {}
     for r in top_k.search(vectors, queries, k=5, pivots=8, block=128).collect():
@@ -38,7 +38,7 @@ def test_bounds_save_work():
     vectors = np.repeat(centres, 50, axis=0) + rng.integers(-5, 5, (2000, 16))
     far = top_k.pivot_distances(vectors, centres[:20])
     ids = np.arange(2000)
-    found = top_k.best_in_block(ids[:40], vectors[:40], far[:40], ids, vectors, far, 5)
+    found = top_k.best_in_block(ids[:40], vectors[:40], far[:40], ids, ids, vectors, far, 5)
     assert sum(f[2] for f in found) < 0.5 * 40 * 2000
 
 
@@ -51,10 +51,24 @@ def test_left_out_and_repeated_rows(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
     vectors = top_k.integers(table)
     got = top_k.search(vectors, vectors.where("vec_id % 50 = 0")).orderBy("rank").collect()
-    assert [(r.query_id, r.vec_id, r.score) for r in got] == [(0, 3, 256 * 128), (0, 5, -256 + 128 * 256), (0, 4, 0)]
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == [(0, 3, 256 * 128), (0, 5, 128 * 256 - 256), (0, 5, 128 * 256 - 256), (0, 4, 0)]
 
 
 def test_empty_table(spark):
     table = spark.createDataFrame([], "vec_id long, embedding array<float>")
     vectors = top_k.integers(table)
     assert top_k.search(vectors, vectors).count() == 0
+
+
+def test_rows_that_repeat_an_id(spark):
+    rows = [(50, [1.0]), (50, [2.0]), (50, [2.0]), (1, [3.0]), (1, [4.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    vectors = top_k.integers(table)
+    got = top_k.search(vectors, vectors.where("vec_id % 50 = 0"), k=4).collect()
+    one = 256 * 256
+    want = [
+        (50, rank, vec_id, score * one)
+        for own in ([(1, 4), (1, 3), (50, 2), (50, 2)], *2 * [[(1, 8), (1, 6), (50, 4), (50, 2)]])
+        for rank, (vec_id, score) in enumerate(own, 1)
+    ]
+    assert sorted(map(tuple, got)) == sorted(want)
