@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.model import DAY, SYMBOLS, Leg
+from millrace.model import ASSETS, DAY, SYMBOLS, Leg
 from millrace.operators import graph, sizing
 from millrace.operators.timeseries import book_state
 
@@ -51,9 +51,23 @@ def fee_array(fees: dict[str, float]) -> Column:
     return F.array(*(F.lit(fees[s]) for s in SYMBOLS))
 
 
-def survivors(state: DataFrame, scenarios: dict[str, dict[str, float]]) -> DataFrame:
+def asset_prices() -> Column:
+    """USDT for a unit of each asset, by its number, over a wide book state."""
+    return F.array(*map(graph.usdt_price, ASSETS))
+
+
+def leg_assets() -> Column:
+    """By cycle: array of struct(symbol, number, side, src, dst) of its legs; src and dst are numbers of assets."""
+    one = lambda leg: F.struct(
+        F.lit(leg.symbol).alias("symbol"), F.lit(_NUMBER[leg.symbol]).alias("number"), F.lit(leg.side).alias("side"),
+        F.lit(ASSETS.index(leg.src)).alias("src"), F.lit(ASSETS.index(leg.dst)).alias("dst"),
+    )
+    return F.array(*(F.array(*map(one, c)) for c in graph.cycles()))
+
+
+def survivors(state: DataFrame, scenarios: dict[str, dict[str, float]], more: dict[str, Column] | None = None) -> DataFrame:
     """seq, scenario, cycle_id, legs, start_px (USDT for a unit of the start asset) of the cycles whose gross edge is
-    above their hurdle; a row with a null cycle_id for snapshots without any."""
+    above their hurdle; a row with a null cycle_id for snapshots without any. more: further columns over the state."""
     cycles = graph.cycles()
     hurdle = lambda fees: F.array(*(F.lit(graph.hurdle_of(c, fees)) for c in cycles))
     each = F.array(
@@ -62,7 +76,8 @@ def survivors(state: DataFrame, scenarios: dict[str, dict[str, float]]) -> DataF
             for name, fees in scenarios.items()
         )
     )
-    scored = graph.edges(state, ["seq", "books", *(f"{c}_{s}" for s in SYMBOLS for c in ("bid", "ask"))])
+    touch = [f"{c}_{s}" for s in SYMBOLS for c in ("bid", "ask")]
+    scored = graph.edges(state, ["seq", "t_us", "books", *touch])
     rows = scored.withColumn("s", F.explode(each))
     above = F.filter(
         F.sequence(F.lit(1), F.lit(len(cycles))),
@@ -74,7 +89,7 @@ def survivors(state: DataFrame, scenarios: dict[str, dict[str, float]]) -> DataF
     return rows.select(
         "seq", "s.scenario", (F.col("place") - 1).alias("cycle_id"),
         F.when(F.col("place").isNotNull(), with_levels(legs, F.col("books"), F.col("s.fees"))).alias("legs"),
-        F.element_at(starts, F.col("place")).alias("start_px"),
+        F.element_at(starts, F.col("place")).alias("start_px"), *(c.alias(n) for n, c in (more or {}).items()),
     )
 
 

@@ -48,7 +48,11 @@ _LONG = ", ".join(f"('{s}',bid_{s},bid_qty_{s},ask_{s},ask_qty_{s})" for s in SY
 _START = "case split_part(path,'->',1) " + " ".join(f"when '{a}' then {p}" for a, p in _PX.items()) + " end"
 
 
-def _survivors_sql(scenarios: dict[str, dict[str, float]], packet: float | None) -> str:
+def _survivors_sql(scenarios: dict[str, dict[str, float]], packet: float | None, held: str | None = None) -> str:
+    """held: what there is of a leg's source, by which its levels are cut."""
+    before = "coalesce(list_sum(list_transform(l0[1:k-1], lambda x: x.cap)), 0)"
+    cut = f"""list_filter(list_transform(range(1,6), lambda k: {{'cap': least(l0[k].cap, {held} - {before}), 'rate': l0[k].rate, 'px': l0[k].px}}),
+  lambda x: x.cap > 0)""" if held else "l0"
     fees = ", ".join(f"('{name}','{s}',{f!r}::double)" for name, by in scenarios.items() for s, f in by.items())
     most = f"{packet!r}::double/start_px" if packet else "'inf'::double"
     return f"""with recursive {_DIMS}, {_EDGES},
@@ -59,7 +63,8 @@ starts as (select seq, scenario, cycle_id, path, {_START} as start_px from surv
 bk as (select seq, v.symbol, v.bid, v.bid_qty, v.ask, v.ask_qty from st, lateral (values {_LONG}) v(symbol, bid, bid_qty, ask, ask_qty)),
 leg_of as (select cycle_id, unnest(range(1, n_legs+1)) as i, unnest(symbols) as symbol, unnest(sides) as side from cyc),
 sz as (select seq, scenario, cycle_id, path, start_px, {most} as most, count(*) as n, list(side order by i) as sides,
-  list({_LEVELS} order by i) as lv from starts join leg_of using (cycle_id) join bk using (seq, symbol) join scen using (scenario, symbol) group by all),
+  list({cut} order by i) as lv
+ from (select *, {_LEVELS} as l0 from starts join leg_of using (cycle_id) join bk using (seq, symbol) join scen using (scenario, symbol)) group by seq, scenario, cycle_id, path, start_px),
 walked(seq, scenario, cycle_id, j, rem, sin, sout, base, lim, go) as (
  select seq, scenario, cycle_id, list_transform(lv, lambda l: 1::bigint), list_transform(lv, lambda l: l[1].cap), 0e0, 0e0,
   list_transform(lv, lambda l: 0e0), list_transform(lv, lambda l: null::double), true from sz

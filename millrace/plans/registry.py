@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import anchors, archives, carry, cycles, depth, diffs, fair_values, quotes, screening, stored_files, streams
+from millrace.plans import anchors, archives, carry, cycles, depth, diffs, fair_values, orders, quotes, screening, stored_files, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-for _part in (quotes, cycles, depth, fair_values, carry, screening, archives, anchors, diffs, streams, stored_files):
+for _part in (quotes, cycles, depth, orders, fair_values, carry, screening, archives, anchors, diffs, streams, stored_files):
     QUERIES.update(_part.QUERIES)
     ORACLE.update(_part.ORACLE)
 FLAGSHIP = "episodes"
