@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.model import ASSETS, SYMBOLS
-from millrace.operators import depth, lots, shadow
+from millrace.operators import allocation, depth, lots, shadow
 from millrace.plans.common import HORIZONS, ROWS
 from millrace.plans.cycles import _PX
 from millrace.plans.depth import PACKET, SCENARIOS, _state, _survivors_sql
@@ -145,3 +145,22 @@ def shadow_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["shadow_report"] = f"""{_SHADOW}
 select delay, count(*) as scored, round(avg(filled::int::double)*100,6) as percent_filled, round(avg(fill_share),6) as fill_share, round(sum(pnl_usdt),4) as pnl_usdt,
  round(sum(case when filled then pnl_usdt else 0e0 end),4) as pnl_filled_usdt from score group by delay"""
+
+
+def _allocated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = _state(spark, sf_dir).select("seq", "books", depth.asset_prices().alias("prices"))
+    return allocation.allocated(state, ["seq"], SCHEDULED["schedule"])
+
+
+@query
+def allocate_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every snapshot's depth dealt out to its cycles, the one that earns most first, the others on what is left."""
+    found = _allocated(spark, sf_dir)
+    return found.select("seq", "place", "cycle_id", F.round("start_in", 6).alias("start_in"), F.round("profit_usdt", 6).alias("profit_usdt"))
+
+
+@query
+def allocate_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders of those cycles by snapshot and symbol, opposite legs set off against each other."""
+    rows = allocation.netted(_allocated(spark, sf_dir), ["seq"], F.element_at(depth.leg_assets(), F.col("cycle_id") + 1))
+    return rows.select("seq", "symbol", *(F.round(c, 6).alias(c) for c in ("sold", "bought", "net")))
