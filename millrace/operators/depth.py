@@ -21,10 +21,11 @@ def snapshots(levels: DataFrame) -> DataFrame:
     return rows.select("seq", "t_us", "symbol", pick("col1").alias("bids"), pick("col2").alias("asks"))
 
 
-def depth_state(books: DataFrame, segment: int = DAY) -> DataFrame:
+def depth_state(books: DataFrame, segment: int = DAY, stamped: bool = False) -> DataFrame:
     """Every snapshot once all symbols have been seen: seq, t_us, symbol, books (array by symbol number of struct(bids,
-    asks)) and the wide touch (bid_<symbol>, ask_<symbol>: the first level's prices, whatever its quantity)."""
-    rows = books.select("seq", "t_us", "symbol", F.struct("bids", "asks").alias("book"))
+    asks), stamped: with the book's own t_us) and the wide touch (bid_<symbol>, ask_<symbol>: the first level's prices,
+    whatever its quantity)."""
+    rows = books.select("seq", "t_us", "symbol", F.struct("bids", "asks", *(["t_us"] if stamped else [])).alias("book"))
     state = book_state(rows, list(SYMBOLS), ("book",), segment)
     touch = {f"{c[:3]}_{s}": F.col(f"book_{s}")[c][0]["px"] for s in SYMBOLS for c in ("bids", "asks")}
     return state.select("seq", "t_us", "symbol", F.array(*(f"book_{s}" for s in SYMBOLS)).alias("books"), *(c.alias(n) for n, c in touch.items()))
@@ -76,8 +77,9 @@ def survivors(state: DataFrame, scenarios: dict[str, dict[str, float]], more: di
             for name, fees in scenarios.items()
         )
     )
+    also = {f"_{n}": c for n, c in (more or {}).items()}
     touch = [f"{c}_{s}" for s in SYMBOLS for c in ("bid", "ask")]
-    scored = graph.edges(state, ["seq", "t_us", "books", *touch])
+    scored = graph.edges(state.withColumns(also) if also else state, ["seq", "books", *touch, *also])
     rows = scored.withColumn("s", F.explode(each))
     above = F.filter(
         F.sequence(F.lit(1), F.lit(len(cycles))),
@@ -89,7 +91,7 @@ def survivors(state: DataFrame, scenarios: dict[str, dict[str, float]], more: di
     return rows.select(
         "seq", "s.scenario", (F.col("place") - 1).alias("cycle_id"),
         F.when(F.col("place").isNotNull(), with_levels(legs, F.col("books"), F.col("s.fees"))).alias("legs"),
-        F.element_at(starts, F.col("place")).alias("start_px"), *(c.alias(n) for n, c in (more or {}).items()),
+        F.element_at(starts, F.col("place")).alias("start_px"), *(F.col(n).alias(n[1:]) for n in also),
     )
 
 

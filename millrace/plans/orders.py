@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.model import ASSETS, SYMBOLS
-from millrace.operators import allocation, depth, lots, shadow
+from millrace.operators import allocation, depth, fill_model, lots, shadow
 from millrace.plans.common import HORIZONS, ROWS
 from millrace.plans.cycles import _PX
 from millrace.plans.depth import PACKET, SCENARIOS, _state, _survivors_sql
@@ -30,7 +30,12 @@ def query(f):
 
 def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = {"t_us": F.col("t_us"), "prices": depth.asset_prices()}
-    rows = depth.survivors(_state(spark, sf_dir), SCHEDULED, more).where(F.col("cycle_id").isNotNull())
+    return _numbered(depth.survivors(_state(spark, sf_dir), SCHEDULED, more))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Survivors with the largest input and their legs' symbols and assets."""
+    rows = rows.where(F.col("cycle_id").isNotNull())
     return rows.withColumn("most", PACKET / F.col("start_px")).withColumn("of", F.element_at(depth.leg_assets(), F.col("cycle_id") + 1))
 
 
@@ -94,10 +99,13 @@ select seq, cycle_id::int as cycle_id, case when not whole then 'lot' when round
  {", ".join(f'round({c},6) as {c}' for c in ("planned", "used", '"out"', "rest_usdt", "profit_usdt"))}, {", ".join(f"round(base[{i}],6) as base_qty_{i}" for i in range(1, 6))} from o"""
 
 
-def _shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _survivors(spark, sf_dir)
-    keys = ["seq", "cycle_id"]
-    found = depth.sizing.size_cycles(rows, [*keys, "t_us", "prices", "of"], most="most").where("start_in > 0")
+def _scored(spark: SparkSession, sf_dir: str, rows: DataFrame, more: list[str]) -> DataFrame:
+    """Shadow scores of sized survivors, with columns that go along."""
+    keys = ["seq", "cycle_id", *more]
+    found = depth.sizing.size_cycles(rows, [*keys, "t_us", "prices", "of", "start_px"], most="most").where("start_in > 0")
+    if more:
+        found = found.withColumns({"profit_usdt": F.col("profit") * F.col("start_px"), "margin": F.col("profit") / F.col("start_in") * 1e4, "decided_us": F.col("t_us")})
+        keys = [*keys, "profit_usdt", "margin", "decided_us"]
     fees = depth.fee_array(SCHEDULED["schedule"])
     price = lambda at: F.element_at(F.col("prices"), at + 1)
     legs = F.transform("of", lambda leg, i: F.struct(
@@ -108,6 +116,10 @@ def _shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shadow.scores(found.withColumn("legs", legs), keys, books, HORIZONS, most=ROWS)
 
 
+def _shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, _survivors(spark, sf_dir), [])
+
+
 @query
 def shadow_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sized cycle against the books that stand after each delay: whether all legs fill at their limits, which part
@@ -147,6 +159,44 @@ select delay, count(*) as scored, round(avg(filled::int::double)*100,6) as perce
  round(sum(case when filled then pnl_usdt else 0e0 end),4) as pnl_filled_usdt from score group by delay"""
 
 
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shadow scores with what was known at the decision: age of the run, the oldest leg's book, legs, margin in bps."""
+    state = depth.depth_state(depth.snapshots(market(spark, sf_dir, "fx_depth")), stamped=True)
+    more = {"t_us": F.col("t_us"), "prices": depth.asset_prices(), "book_us": F.transform("books", lambda b: b["t_us"])}
+    rows = stored(_numbered(depth.survivors(state, SCHEDULED, more)), "survivors")
+    before = fill_model.previous(market(spark, sf_dir, "fx_quote").select("seq", "t_us"), most=ROWS).select("seq", "prev_seq")
+    runs = stored(rows.select("seq", "t_us", "cycle_id").join(before, "seq"), "runs")
+    ages = fill_model.aged(runs, most=ROWS).select("seq", "cycle_id", "age_us")
+    oldest = F.array_min(F.transform("of", lambda leg: F.element_at(F.col("book_us"), leg["number"] + 1)))
+    rows = rows.withColumns({"stale_us": F.col("t_us") - oldest, "n_legs": F.size("of"), "held_out": fill_model.held_out(F.col("t_us"))})
+    rows = stored(rows.drop("book_us").join(ages, ["seq", "cycle_id"]), "aged")
+    found = _scored(spark, sf_dir, rows, ["age_us", "stale_us", "n_legs", "held_out"])
+    return stored(fill_model.described(found), "outcomes")
+
+
+def _valued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _outcomes(spark, sf_dir)
+    learned = rows.where(~F.col("held_out"))
+    model = fill_model.fitted(learned)
+    share = 0.0 if model else learned.agg(F.avg(F.col("filled").cast("double"))).first()[0] or 0.0
+    return fill_model.expected(fill_model.probability(rows, model, share), learned)
+
+
+@query
+def fill_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of filling against what filled, by delay and tenth, on days that the model hasn't seen."""
+    found = fill_model.calibration(_valued(spark, sf_dir).where("held_out"))
+    return found.select("delay", "bin", "n", F.round("p_mean", 6).alias("p_mean"), F.round("filled_share", 6).alias("filled_share"))
+
+
+@query
+def expected_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sized cycle by delay: its probability to fill, its profit if it does, and the value to expect of it."""
+    return _valued(spark, sf_dir).select(
+        "seq", "cycle_id", "delay", "held_out", *(F.round(c, 4).alias(c) for c in ("p_fill", "profit_usdt", "ev_usdt"))
+    )
+
+
 def _allocated(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = _state(spark, sf_dir).select("seq", "books", depth.asset_prices().alias("prices"))
     return allocation.allocated(state, ["seq"], SCHEDULED["schedule"])
