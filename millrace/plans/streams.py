@@ -72,7 +72,7 @@ def stream_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes of the recording found by a stateful stream: those that are closed within it."""
     path = _recorded(spark, sf_dir)
     rows = ingest.updates(spark.readStream.text(f"{path}/*")).select(
-        F.lit("all").alias("recording"), F.expr("t div 1000").alias("t_us"), F.col("t").alias("seq"), "symbol", "bid", "ask", "bid_qty", "ask_qty"
+        F.lit("all").alias("recording"), F.expr("t div 1000").alias("t_us"), F.col("update_id").alias("seq"), "symbol", "bid", "ask", "bid_qty", "ask_qty"
     )
     out = screening.episodes(rows, FLAT).writeStream.format("parquet").option("checkpointLocation", f"{path}-checkpoint")
     out.trigger(availableNow=True).start(f"{path}-episodes").awaitTermination()

@@ -92,7 +92,7 @@ class Episodes(Ordered):
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.book = handle.getValueState("book", "book array<double>, last_us bigint")
-        self.run = handle.getValueState("run", "start_us bigint, opened_by string, peak double, cycle_id int, capacity double")
+        self.run = handle.getValueState("run", "start_us bigint, opened_seq bigint, opened_by string, peak double, cycle_id int, capacity double")
 
     def _state(self):
         book, last = self.book.get() if self.book.exists() else ([None] * len(self.symbols) * len(BOOK), None)
@@ -114,8 +114,8 @@ class Episodes(Ordered):
         if not rows:
             return self._out(key, [])
         values = np.array([[np.nan if x is None else x for x in r[3:]] for r in rows], float)
-        times, codes = np.array([r[0] for r in rows], np.int64), np.array([self.symbols.index(r[2]) for r in rows])
-        book, run, done = fold(book, run, times, codes, values, self.fee_bps, self.silence, last)
+        times, seqs, codes = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([self.symbols.index(r[2]) for r in rows])
+        book, run, done = fold(book, run, times, seqs, codes, values, self.fee_bps, self.silence, last)
         last = int(times[-1])
         self.book.update(([None if np.isnan(x) else float(x) for x in book.ravel()], last))
         self._set_run(run)
@@ -131,7 +131,7 @@ class Episodes(Ordered):
         if waiting is not None and waiting - last <= self.silence:
             return self._out(key, [])
         self._set_run(None)
-        return self._out(key, [(run[0], last, run[1], SILENCE, *run[2:])])
+        return self._out(key, [(run[0], last, run[2], SILENCE, *run[3:])])
 
 
 def episodes(quotes: DataFrame, fee_bps: float, delay: str, width: int, silence: int | None = None) -> DataFrame:
