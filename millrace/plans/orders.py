@@ -112,8 +112,10 @@ def _scored(spark: SparkSession, sf_dir: str, rows: DataFrame, more: list[str])
         leg["symbol"].alias("symbol"), leg["side"].alias("side"), F.element_at(fees, leg["number"] + 1).alias("fee"), price(leg["src"]).alias("src_px"),
         price(leg["dst"]).alias("dst_px"), F.get("leg_base_qty", i).alias("base_qty"), F.get("limit_px", i).alias("limit_px"),
     ))
-    books = depth.snapshots(market(spark, sf_dir, "fx_depth"))
-    return shadow.scores(found.withColumn("legs", legs), keys, books, HORIZONS, most=ROWS)
+    # Lookups read both sides several times.
+    books = stored(depth.snapshots(market(spark, sf_dir, "fx_depth")), "books")
+    found = stored(found.select(*keys, *([] if "t_us" in keys else ["t_us"]), legs.alias("legs")), "sized")
+    return shadow.scores(found, keys, books, HORIZONS, most=ROWS)
 
 
 def _shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
