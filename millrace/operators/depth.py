@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.model import ASSETS, DAY, SYMBOLS, Leg
 from millrace.operators import graph, sizing
-from millrace.operators.timeseries import book_state
+from millrace.operators.timeseries import asof, book_state, grid
 
 _NUMBER = {s: i for i, s in enumerate(SYMBOLS)}
 
@@ -31,6 +31,25 @@ def depth_state(books: DataFrame, segment: int = DAY, stamped: bool = False) ->
     return state.select("seq", "t_us", "symbol", F.array(*(f"book_{s}" for s in SYMBOLS)).alias("books"), *(c.alias(n) for n, c in touch.items()))
 
 
+def sampled(books: DataFrame, step: int) -> DataFrame:
+    """t_us, books (array by symbol number of struct(bids, asks)): all symbols' books before each point of a grid that
+    starts where the last symbol is first seen; that point itself has no row. Of each symbol only the last book of each
+    step is looked up, and no row but a point's holds more than one book."""
+    known = books.where(F.col("symbol").isin(*SYMBOLS))
+    seen = known.groupBy("symbol").agg(F.min("t_us").alias("first"), F.max("t_us").alias("last"))
+    bounds = seen.agg(F.max("first").alias("t0"), F.max("last").alias("t1"), F.count(F.lit(1)).alias("n")).where(F.col("n") == len(SYMBOLS)).drop("n")
+    # What a point sees is the last book of a step: steps begin at points, so one book for each step is sent along.
+    slot = F.when(F.col("t_us") < F.col("t0"), F.lit(-1)).otherwise(F.expr(f"(t_us - t0) div {step}")).alias("_slot")
+    last = known.crossJoin(F.broadcast(bounds)).groupBy("symbol", slot).agg(
+        F.max_by(F.struct("t_us", "seq", F.struct("bids", "asks").alias("book")), F.struct("t_us", "seq")).alias("l")
+    ).select("symbol", "l.*")
+    points = grid(bounds, step).where(F.col("t_us").isNotNull()).withColumn("symbol", F.explode(F.array(*map(F.lit, SYMBOLS))))
+    found = asof(points.withColumn("point", F.col("t_us")), last, ["symbol"], ["book"], strict=True).where(F.col("book").isNotNull())
+    rows = found.groupBy(F.col("point").alias("t_us")).agg(*(F.first(F.when(F.col("symbol") == s, F.col("book")), True).alias(f"_{s}") for s in SYMBOLS))
+    complete = rows.where(" and ".join(f"_{s} is not null" for s in SYMBOLS))
+    return complete.select("t_us", F.array(*(f"_{s}" for s in SYMBOLS)).alias("books"))
+
+
 def _literal(legs: tuple[Leg, ...]) -> Column:
     return F.array(*(F.struct(F.lit(_NUMBER[leg.symbol]).alias("number"), F.lit(leg.side).alias("side")) for leg in legs))
 
