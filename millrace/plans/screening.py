@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.stats import medians
 from millrace.model import QUOTES
 from millrace.plans.common import MAKER_BPS
+from millrace.session import stored
 from millrace.sources.market import duck_ctes, market
 
 QUERIES, ORACLE = {}, {}
@@ -24,16 +25,17 @@ def query(f):
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs_of(*(market(spark, sf_dir, view) for view in ("fx_listing", "fx_touch", "fx_day")))
+    """pairs_of() the tables, worked out once: its users read it several times."""
+    return stored(pairs_of(*(market(spark, sf_dir, view) for view in ("fx_listing", "fx_touch", "fx_day"))), "pairs")
 
 
 def pairs_of(listing: DataFrame, touches: DataFrame, days: DataFrame) -> DataFrame:
     """symbol, base, quote, n, spread (median, bps), usd (daily volume) of trading pairs with valid quotes."""
-    listed = listing.where((F.col("status") == "TRADING") & F.col("quote").isin(*QUOTES))
+    listed = stored(listing.where((F.col("status") == "TRADING") & F.col("quote").isin(*QUOTES)), "listed")
     touch = touches.where((F.col("bid") > 0) & (F.col("ask") > F.col("bid")))
     bps = (F.col("ask") - F.col("bid")) / ((F.col("ask") + F.col("bid")) / 2) * 1e4
     spreads = touch.join(listed, "symbol", "left_semi").select("symbol", bps.alias("bps"))
-    spreads = medians(spreads, ["symbol"], "bps", "spread")
+    spreads = medians(stored(spreads, "spreads"), ["symbol"], "bps", "spread")
     usd = F.element_at(F.create_map(*(F.lit(x) for kv in USD.items() for x in kv)), F.col("quote"))
     day = days.join(listed, "symbol").withColumn("usd", F.col("quote_volume") * usd)
     return spreads.join(day.select("symbol", "base", "quote", "usd"), "symbol")
