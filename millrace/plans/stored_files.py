@@ -141,23 +141,28 @@ _HEX = "case when seq%3=0 then 1e0/power(floor(sqrt(1e0/pool_price)*109951162777
 ORACLE["files_dex_gap"] = arc.ORACLE["dex_gap"].replace("from fx_pool p", f"from (select * replace ({_HEX} as pool_price) from fx_pool) p")
 
 
+#: Rows of a captured answer at most: there are more answers where there is more to tell, not longer ones.
+ANSWER = 500
+
+
 @query
 def files_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """spread_scan of captured listings, best prices and daily figures in JSON."""
     folder = _folder(spark)
     listing, touch, day = (market(spark, sf_dir, v) for v in ("fx_listing", "fx_touch", "fx_day"))
     text = lambda c, name: F.col(c).cast("string").alias(name)
-    documents = {  # an answer holds a few hundred symbols
+    documents = {
         "info": (listing, F.struct("symbol", "status", text("base", "baseAsset"), text("quote", "quoteAsset")), lambda rows: F.struct(rows.alias("symbols"))),
         "book": (touch, F.struct("symbol", text("bid", "bidPrice"), text("ask", "askPrice")), lambda rows: rows),
         "day": (day, F.struct("symbol", text("quote_volume", "quoteVolume")), lambda rows: rows),
     }
     for name, (rows, item, whole) in documents.items():
-        answers = rows.groupBy(F.pmod(F.xxhash64("symbol"), F.lit(97)).alias("part"), F.pmod(F.xxhash64(item), F.lit(31))).agg(F.collect_list(item).alias("items"))
+        numbered = rows.select(item.alias("item"), F.expr(f"monotonically_increasing_id() div {ANSWER}").alias("answer"))
+        answers = numbered.groupBy("answer").agg(F.collect_list("item").alias("items"))
         answers.select(F.to_json(whole(F.col("items"))).alias("value")).write.option("compression", "gzip").text(f"{folder}/{name}")
     read = lambda name: spark.read.text(f"{folder}/{name}")
     found = screening.pairs_of(captures.exchange_info(read("info")), captures.book_tickers(read("book")), captures.day_tickers(read("day")))
-    return screening.scanned(found)
+    return screening.scanned(stored(found, "pairs"))
 
 
 ORACLE["files_pairs"] = screening.ORACLE["spread_scan"]
