@@ -1,6 +1,6 @@
 """Stateful streams over rows in the order of event time, whatever order they come in.
 
-Rows wait in a map state by time bucket until the watermark has passed the bucket; a timer at its end hands them on in
+Rows wait in a map state by time bucket and part (a frame's rows, so nothing that waits is written again) until the watermark has passed the bucket; a timer at its end hands them on in
 order. What comes after the watermark is dropped by the engine (`ingest.set_aside` finds it again). A task holds one
 bucket of one key at a time, and the state of its key.
 """
@@ -41,27 +41,37 @@ class Ordered(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         inner = ", ".join(f"{n}: {k}" for n, k in (field.split() for field in self.row.split(", ")))
-        self.held = handle.getMapState("held", "bucket bigint", f"rows array<struct<{inner}>>")
+        self.held = handle.getMapState("held", "bucket bigint, part bigint", f"rows array<struct<{inner}>>")
+        self.parts = handle.getMapState("parts", "bucket bigint", "n bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         for frame in rows:
             plain = frame[self.names].astype(object).where(frame[self.names].notna(), None)
             for bucket, part in plain.groupby(frame["t_us"] // self.width):
                 place = (int(bucket),)
-                held = [tuple(r) for r in self.held.getValue(place)[0]] if self.held.containsKey(place) else []
-                self.held.updateValue(place, (held + [tuple(r) for r in part.itertuples(index=False)],))
+                n = self.parts.getValue(place)[0] if self.parts.containsKey(place) else 0
+                self.held.updateValue((*place, n), ([tuple(r) for r in part.itertuples(index=False)],))
+                self.parts.updateValue(place, (n + 1,))
                 self.handle.registerTimer((place[0] + 1) * self.width // 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        due = sorted(b for (b,) in self.held.keys() if (b + 1) * self.width <= until)
+        due = sorted(b for (b,) in self.parts.keys() if (b + 1) * self.width <= until)
+        t_us, seq = self.names.index("t_us"), self.names.index("seq")
         for bucket in due:
-            rows = sorted((tuple(r) for r in self.held.getValue((bucket,))[0]), key=lambda r: (r[self.names.index("t_us")], r[self.names.index("seq")]))
-            self.held.removeKey((bucket,))
+            rows = sorted(self.rows_of(bucket), key=lambda r: (r[t_us], r[seq]))
+            for part in range(self.parts.getValue((bucket,))[0]):
+                self.held.removeKey((bucket, part))
+            self.parts.removeKey((bucket,))
             yield self.released(key, rows, (bucket + 1) * self.width)
         yield self.passed(key, until)
 
+    def rows_of(self, bucket: int) -> Iterator[tuple]:
+        """A bucket's rows that wait; each part holds what one frame brought."""
+        for part in range(self.parts.getValue((bucket,))[0]):
+            yield from (tuple(r) for r in self.held.getValue((bucket, part))[0])
+
     def released(self, key, rows: list[tuple], until: int) -> pd.DataFrame:
         raise NotImplementedError
 
@@ -71,9 +81,9 @@ class Ordered(StatefulProcessor):
 
     def first_held(self) -> int | None:
         """The earliest time that still waits."""
-        buckets = [b for (b,) in self.held.keys()]
+        buckets = [b for (b,) in self.parts.keys()]
         at = self.names.index("t_us")
-        return min(r[at] for r in self.held.getValue((min(buckets),))[0]) if buckets else None
+        return min(r[at] for r in self.rows_of(min(buckets))) if buckets else None
 
 
 # ---- episodes ----
