@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.model import ASSETS, SYMBOLS
-from millrace.operators import allocation, depth, fill_model, lots, shadow
+from millrace.model import SYMBOLS
+from millrace.operators import allocation, depth, depth_fold, fill_model, lots, shadow
 from millrace.plans.common import HORIZONS, ROWS
 from millrace.plans.cycles import _PX
 from millrace.plans.depth import PACKET, SCENARIOS, _state, _survivors_sql
@@ -43,27 +43,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
 def size_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cycle above its hurdle, sized within a packet and the balances, then rounded to whole lots leg by leg: what
     it spends and gets, what stays on the way, and whether it is still an order. Balances bound each leg's input."""
-    held = F.array(*(F.lit(HELD[a]) for a in ASSETS))
-    by_symbol = lots.lot_array(LOTS, list(SYMBOLS))
-    legs = F.zip_with(
-        "legs", "of", lambda leg, of: F.struct(leg["side"].alias("side"), lots.within(leg["levels"], F.element_at(held, of["src"] + 1)).alias("levels"))
-    )
-    rows = _survivors(spark, sf_dir).withColumn("legs", legs)
-    whole = F.zip_with("legs", "of", lambda leg, of: F.struct(leg["side"].alias("side"), leg["levels"].alias("levels"), F.element_at(by_symbol, of["number"] + 1).alias("lot")))
-    px = F.transform("of", lambda of: F.element_at(F.col("prices"), of["src"] + 1))
-    found = depth.sizing.size_cycles(rows.withColumns({"whole": whole, "px": px}), ["seq", "cycle_id", "start_px", "whole", "px"], most="most")
-    found = found.withColumn("o", lots.whole_lots(F.col("whole"), F.col("start_in")))
-    marked = F.zip_with("o.rest", "px", lambda rest, p: rest * p)
-    rest = F.aggregate(F.slice(marked, 2, 4), F.lit(0e0), lambda a, b: a + b)
-    found = found.withColumns({"used": F.col("o.used")[0], "rest_usdt": rest})
-    profit = (F.col("o.out") - F.col("used")) * F.col("start_px") + F.col("rest_usdt")
-    verdict = F.when(~F.col("o.whole"), "lot").when(F.round(profit, 6) <= 0, "edge").otherwise("order")
-    return found.select(
-        "seq", "cycle_id", verdict.alias("verdict"), *(F.round(c, 6).alias(n) for n, c in {
-            "planned": F.col("start_in"), "used": F.col("used"), "out": F.col("o.out"), "rest_usdt": F.col("rest_usdt"), "profit_usdt": profit,
-            **{f"base_qty_{i + 1}": F.get("o.base_qty", F.lit(i)) for i in range(5)},
-        }.items()),
-    )
+    return depth_fold.size_lots(market(spark, sf_dir, "fx_depth"), SCENARIOS["schedule"], PACKET, HELD, LOTS)
 
 
 def _by(values: dict[str, object], column: str) -> str:
