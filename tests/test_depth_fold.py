@@ -93,9 +93,17 @@ def test_many_allocations_at_once_take_the_first_of_equals():
     assert (found.cycle_id[found.row == 1] == found.cycle_id[found.row == 2]).all()
 
 
-@pytest.mark.parametrize("name", ["size_lots"])
+@pytest.mark.parametrize("name", ["size_lots", "size_cycles"])
 def test_no_row_carries_books(spark, name):
     """Ten books went with each update, and each cycle's legs twice, through shuffles, windows and into Python."""
     queries = orders.QUERIES if name in orders.QUERIES else depth_plans.QUERIES
     plan = queries[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "book_BTCUSDT" not in plan and "collect_list" not in plan and "levels" not in plan
+
+
+def test_hits_carry_no_books(spark, monkeypatch):
+    plans = []
+    keep = depth_plans.stored
+    monkeypatch.setattr(depth_plans, "stored", lambda df, what: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, what))
+    assert depth_plans.depth_hits(spark, SF).count()
+    assert plans and not any("book_BTCUSDT" in p or "collect_list" in p for p in plans)
