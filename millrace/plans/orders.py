@@ -180,8 +180,7 @@ def expected_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _allocated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = _state(spark, sf_dir).select("seq", "books", depth.asset_prices().alias("prices"))
-    return allocation.allocated(state, ["seq"], SCHEDULED["schedule"])
+    return depth_fold.allocated(market(spark, sf_dir, "fx_depth"), SCHEDULED["schedule"])
 
 
 @query

@@ -93,7 +93,7 @@ def test_many_allocations_at_once_take_the_first_of_equals():
     assert (found.cycle_id[found.row == 1] == found.cycle_id[found.row == 2]).all()
 
 
-@pytest.mark.parametrize("name", ["size_lots", "size_cycles"])
+@pytest.mark.parametrize("name", ["size_lots", "size_cycles", "allocate_cycles", "allocate_orders"])
 def test_no_row_carries_books(spark, name):
     """Ten books went with each update, and each cycle's legs twice, through shuffles, windows and into Python."""
     queries = orders.QUERIES if name in orders.QUERIES else depth_plans.QUERIES
