@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import markout as mk
 from millrace.plans.common import FLAT, HORIZONS, MAKER_BPS, PRE
 from millrace.plans.cycles import _BEST_OF, _CAPS, _RUNS, _WITH
 from millrace.plans.quotes import _MARKED, _OWN, _own, with_rate
-from millrace.session import shared_dir
+from millrace.session import shared_dir, stored
 from millrace.sources import captures
 from millrace.sources.market import duck_ctes, market
 from millrace.streaming import ingest, ordered, screening
@@ -24,16 +24,22 @@ def query(f):
     return f
 
 
-def record(quotes: DataFrame, path: str, order: str = "t_us") -> None:
-    """Quotes as a recording, more lines where there is one already: {"t":ns,"m":{"stream":...,"data":...}} lines, gzipped, a folder for each UTC day."""
+def record(quotes: DataFrame, path: str, order: str = "t_us", copies: Column | None = None) -> None:
+    """Quotes as a recording, more lines where there is one already: {"t":ns,"m":{"stream":...,"data":...}} lines, gzipped, a folder for each UTC day.
+
+    Tasks get ranges of days and order, so a day of many lines is several files, one after the other in that order.
+    Quotes are dealt as columns and written out where they lie; copies says how often a line is repeated.
+    """
     text = lambda c: F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"'))
     line = F.concat(
         F.lit('{"t":'), (F.col("t_us") * 1000).cast("string"), F.lit(',"m":{"stream":"'), F.lower("symbol"), F.lit('@bookTicker","data":{"s":'), text("symbol"),
         F.lit(',"u":'), F.col("seq").cast("string"), F.lit(',"b":'), text("bid"), F.lit(',"B":'), text("bid_qty"), F.lit(',"a":'), text("ask"), F.lit(',"A":'), text("ask_qty"), F.lit("}}}"),
     )
+    if copies is not None:
+        line = F.concat(F.repeat(F.concat(line, F.lit("\n")), copies - 1), line)
     day = F.to_date(F.timestamp_micros("t_us"))
-    rows = quotes.select(day.alias("day"), F.col(order).alias("_at"), line.alias("value")).repartition("day").sortWithinPartitions("day", "_at")
-    rows.drop("_at").write.mode("append").partitionBy("day").option("compression", "gzip").text(path)
+    rows = quotes.withColumns({"day": day, "_at": F.col(order)}).repartitionByRange("day", "_at").sortWithinPartitions("day", "_at")
+    rows.select("day", line.alias("value")).write.mode("append").partitionBy("day").option("compression", "gzip").text(path)
 
 
 def _recorded(spark: SparkSession, sf_dir: str) -> str:
@@ -87,6 +93,8 @@ select start_us, end_us, opened_by, closed_by, round(peak,9) as peak, top.c::int
 #: How late lines may be, and the reorder buffer's bucket, scaled to the test tables.
 DELAY = "1 day"
 WIDTH = 6 * 3_600_000_000
+#: Files of a batch: however many there are. The files of a delivery aren't in the order of time, so a second batch of them would come late.
+ONE_BATCH = 2**31 - 1
 
 
 def _parts(rows: DataFrame) -> DataFrame:
@@ -105,15 +113,16 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     late lines are found again."""
     path = f"{shared_dir(spark)}/recording-{uuid.uuid4().hex}"
     rows = _parts(market(spark, sf_dir, "fx_quote")).withColumn("shuffled", F.xxhash64("seq"))
-    again = rows.where("part = 0 and seq % 11 = 0").withColumn("part", F.lit(1))
-    for part in range(3):
-        own = rows.where(F.col("part") == part)
-        both = own.unionByName(own.where("seq % 3 <> 0"))
-        record(both.unionByName(again) if part == 1 else both, path, "shuffled")
-        ingest.ingest_once(spark, f"{path}/*", f"{path}-table", f"{path}-checkpoint", DELAY).awaitTermination()
-    kinds = "t bigint, symbol string, update_id bigint, bid double, bid_qty double, ask double, ask_qty double, day string"
-    table = spark.read.schema(kinds).option("basePath", f"{path}-table").parquet(f"{path}-table")
-    late = ingest.set_aside(spark.read.text(f"{path}/*"), table)
+    with ingest.small_shares(spark):
+        for part in range(3):
+            copies = F.when(F.col("part") == part, F.when(F.col("seq") % 3 == 0, 1).otherwise(2))
+            if part == 1:
+                copies = copies.when((F.col("part") == 0) & (F.col("seq") % 11 == 0), 1)
+            record(rows.where(copies.isNotNull()), path, "shuffled", copies)
+            ingest.ingest_once(spark, f"{path}/*", f"{path}-table", f"{path}-checkpoint", DELAY, ONE_BATCH).awaitTermination()
+        kinds = "t bigint, symbol string, update_id bigint, bid double, bid_qty double, ask double, ask_qty double, day string"
+        table = spark.read.schema(kinds).option("basePath", f"{path}-table").parquet(f"{path}-table")
+        late = stored(ingest.set_aside(spark.read.text(f"{path}/*"), table), "late")
     columns = ["update_id", "t", "symbol", "bid", "bid_qty", "ask", "ask_qty", "day", "copies"]
     return table.withColumn("copies", F.lit(None).cast("bigint")).select(*columns).unionByName(late.select(*columns))
 
