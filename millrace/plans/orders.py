@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.model import SYMBOLS
-from millrace.operators import allocation, depth, depth_fold, fill_model, lots, shadow
+from millrace.operators import allocation, depth, depth_fold, fill_model, lots, outcomes, shadow
 from millrace.plans.common import HORIZONS, ROWS
 from millrace.plans.cycles import _PX
 from millrace.plans.depth import PACKET, SCENARIOS, _state, _survivors_sql
@@ -79,13 +79,10 @@ select seq, cycle_id::int as cycle_id, case when not whole then 'lot' when round
  {", ".join(f'round({c},6) as {c}' for c in ("planned", "used", '"out"', "rest_usdt", "profit_usdt"))}, {", ".join(f"round(base[{i}],6) as base_qty_{i}" for i in range(1, 6))} from o"""
 
 
-def _scored(spark: SparkSession, sf_dir: str, rows: DataFrame, more: list[str]) -> DataFrame:
-    """Shadow scores of sized survivors, with columns that go along."""
-    keys = ["seq", "cycle_id", *more]
+def _shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shadow scores of sized survivors."""
+    keys, rows = ["seq", "cycle_id"], _survivors(spark, sf_dir)
     found = depth.sizing.size_cycles(rows, [*keys, "t_us", "prices", "of", "start_px"], most="most").where("start_in > 0")
-    if more:
-        found = found.withColumns({"profit_usdt": F.col("profit") * F.col("start_px"), "margin": F.col("profit") / F.col("start_in") * 1e4, "decided_us": F.col("t_us")})
-        keys = [*keys, "profit_usdt", "margin", "decided_us"]
     fees = depth.fee_array(SCHEDULED["schedule"])
     price = lambda at: F.element_at(F.col("prices"), at + 1)
     legs = F.transform("of", lambda leg, i: F.struct(
@@ -94,14 +91,10 @@ def _scored(spark: SparkSession, sf_dir: str, rows: DataFrame, more: list[str])
     ))
     # Lookups read both sides several times.
     books = stored(depth.snapshots(market(spark, sf_dir, "fx_depth")), "books")
-    found = stored(found.select(*keys, *([] if "t_us" in keys else ["t_us"]), legs.alias("legs")), "sized")
+    found = stored(found.select(*keys, "t_us", legs.alias("legs")), "sized")
     return shadow.scores(found, keys, books, HORIZONS, most=ROWS)
 
 
-def _shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir, _survivors(spark, sf_dir), [])
-
-
 @query
 def shadow_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sized cycle against the books that stand after each delay: whether all legs fill at their limits, which part
@@ -143,17 +136,9 @@ select delay, count(*) as scored, round(avg(filled::int::double)*100,6) as perce
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shadow scores with what was known at the decision: age of the run, the oldest leg's book, legs, margin in bps."""
-    state = depth.depth_state(depth.snapshots(market(spark, sf_dir, "fx_depth")), stamped=True)
-    more = {"t_us": F.col("t_us"), "prices": depth.asset_prices(), "book_us": F.transform("books", lambda b: b["t_us"])}
-    rows = stored(_numbered(depth.survivors(state, SCHEDULED, more)), "survivors")
-    before = fill_model.previous(market(spark, sf_dir, "fx_quote").select("seq", "t_us"), most=ROWS).select("seq", "prev_seq")
-    runs = stored(rows.select("seq", "t_us", "cycle_id").join(before, "seq"), "runs")
-    ages = fill_model.aged(runs, most=ROWS).select("seq", "cycle_id", "age_us")
-    oldest = F.array_min(F.transform("of", lambda leg: F.element_at(F.col("book_us"), leg["number"] + 1)))
-    rows = rows.withColumns({"stale_us": F.col("t_us") - oldest, "n_legs": F.size("of"), "held_out": fill_model.held_out(F.col("t_us"))})
-    rows = stored(rows.drop("book_us").join(ages, ["seq", "cycle_id"]), "aged")
-    found = _scored(spark, sf_dir, rows, ["age_us", "stale_us", "n_legs", "held_out"])
-    return stored(fill_model.described(found), "outcomes")
+    found = stored(outcomes.followed(market(spark, sf_dir, "fx_depth"), SCHEDULED["schedule"], PACKET, HORIZONS), "outcomes")
+    rows = outcomes.scored(found, stored(outcomes.entries(found), "entries"), HORIZONS)
+    return fill_model.described(rows.withColumn("held_out", fill_model.held_out(F.col("t_us"))))
 
 
 def _valued(spark: SparkSession, sf_dir: str) -> DataFrame:
