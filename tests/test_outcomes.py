@@ -100,7 +100,7 @@ def test_levels_without_a_place_and_none_at_all(spark, levels):
         outcomes.followed(levels, FEES, PACKET, DELAYS, HOUR)
 
 
-@pytest.mark.parametrize("name", ["expected_values"])
+@pytest.mark.parametrize("name", ["expected_values", "fill_calibration"])
 def test_no_row_carries_books(spark, monkeypatch, name):
     """Ten books went with each update, and each cycle's legs and levels through joins and twice into the shared folder."""
     plans, keep = [], orders.stored
